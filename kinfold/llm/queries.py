@@ -1,4 +1,16 @@
 """The subpackage's part of the query catalogue."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from kinfold.llm import chat_format, mixing, sharding, url_filter
+
+QUERIES: dict = {
+    "op3_url_filters": url_filter.op3_url_filters,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_sharding": sharding.op7_sharding,
+    "op9_chat_formatting": chat_format.op9_chat_formatting,
+}
+
+ORACLE_SQL: dict = {
+    "op3_url_filters": url_filter.OP3_SQL,
+}
