@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat_format, mixing, sharding, url_filter
+from kinfold.llm import chat_format, fingerprint, mixing, quality, sharding, url_filter
 
 QUERIES: dict = {
     "op3_url_filters": url_filter.op3_url_filters,
+    "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
