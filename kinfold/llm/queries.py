@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat_format, fingerprint, mixing, quality, sharding, url_filter
+from kinfold.llm import chat_format, fingerprint, mixing, ngram_join, quality, sharding, token_counts, url_filter
 
 QUERIES: dict = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
 }
 
