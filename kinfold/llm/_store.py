@@ -24,6 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that long texts don't decide what a Python worker and its executor need."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def free(spark: SparkSession) -> None:
     """Let go of shuffle files whose DataFrames are gone: Spark frees them when the driver collects garbage."""
     import gc

@@ -5,8 +5,8 @@ count); these are dealt by hash to the parts of the count table, where counts of
 back to the chunks that asked, are joined to the chunk's exploded n-grams, and summed per document.
 
 S(w | context) = c(context w) / c(context) where c(context w) >= ``MIN_COUNT``, else ``BACKOFF`` * S(w | shorter context);
-for single words c(w) / N. Counts cover all documents. N-grams are told apart by 56 bits of hash (a shared hash adds
-two counts up; below 0.03 % of n-grams at 2e13 different ones). Log scores are natural and summed over a text's words.
+for single words c(w) / N. Counts cover all documents. N-grams are told apart by a hash of 18 bits more than the input's
+bytes take, so at any size under two n-grams in a million share theirs (their counts add up). Log scores are natural and summed over a text's words.
 
 Defined cases: null texts and texts without words have 0 tokens, log score 0 and no mean; a text's first words have
 shorter contexts; repeated rows are scored and counted each; a null doc_id is scored; an empty table gives an empty
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm._kernel import _stream, mix, text_buffer, words
+from kinfold.llm._store import small_batches
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 CHUNK_BYTES = 4 << 20
@@ -30,8 +31,12 @@ _PLACE = _stream(211, 16) | np.uint64(1)
 _EMPTY = np.uint64(1)  # the n-gram of no words: counts all words
 
 
-def grams(word: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """56-bit hash of the n words that end at each word; 0 where the text has fewer before it."""
+def hash_bits(size: int) -> int:
+    return min(62, 18 + max(1, size).bit_length())
+
+
+def grams(word: np.ndarray, doc: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Hash (2 or more) of the n words that end at each word; 0 where the text has fewer before it."""
     total = np.full(len(word), n, np.uint64)
     inside = np.ones(len(word), bool)
     for j in range(n):
@@ -39,93 +44,97 @@ def grams(word: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         inside[:j] = False
     if n > 1:
         inside[n - 1 :] = doc[n - 1 :] == doc[: len(doc) - n + 1]
-    out = mix(total) >> np.uint64(8)
+    out = np.maximum(mix(total) >> np.uint64(64 - bits), np.uint64(2))
     out[~inside] = 0
     return out
 
 
 def pack(value: np.ndarray) -> bytes:
-    """Rising 56-bit numbers as differences of 5 bytes (8 where these don't hold them, told by the length)."""
-    step = np.diff(value, prepend=np.uint64(0))
-    if len(step) and int(step.max()) >= 1 << 40:
-        return step.astype("<u8").tobytes()
-    return step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Rising numbers as differences of as many bytes as the greatest takes (told by the length)."""
+    step = np.diff(value, prepend=value[:1])
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return value[:1].astype("<u8").tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
-    if len(data) == 8 * n:
-        step = np.frombuffer(data, "<u8").astype(np.uint64)
-    else:
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(data, np.uint8).reshape(n, 5)
-        step = wide.view("<u8").ravel().astype(np.uint64)
-    return np.cumsum(step, dtype=np.uint64)
+    first, width = np.frombuffer(data, "<u8", 1)[0], (len(data) - 8) // n
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=8).reshape(n, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + first
+
+
+def pack_counts(count: np.ndarray) -> bytes:
+    """A byte each; 255 points to the next of the large ones behind them."""
+    return np.minimum(count, 255).astype("u1").tobytes() + count[count >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, "u1", n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=n)
+    return out
 
 
-def _chunk_grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _chunk_grams(table: pa.Table, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     flat, offs = text_buffer(table.column("text"))
     with np.errstate(over="ignore"):
         word, doc, per = words(flat, offs)
-        return [grams(word, doc, n) for n in range(1, order + 1)], word, doc, per
+        return [grams(word, doc, n, bits) for n in range(1, order + 1)], word, doc, per
 
 
-def _ask(parts: int, order: int):
+def _ask(parts: int, order: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        by_order, word, _, _ = _chunk_grams(table, order)
+        by_order, word, _, _ = _chunk_grams(table, order, bits)
         value, count = np.unique(np.concatenate([g[g > 0] for g in by_order]), return_counts=True)
         value, count = np.append(_EMPTY, value), np.append(len(word), count)
-        # 56-bit hashes in rising order: parts are ranges
-        edges = (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 56) // parts)) if parts > 1 else np.zeros(0, np.uint64)
+        edges = np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)  # parts are ranges of hashes
         cut = np.concatenate([[0], np.searchsorted(value, edges), [len(value)]])
         some = np.flatnonzero(np.diff(cut))
         chunk = table.column("chunk")[0].as_py()
-        sizes = np.diff(cut)[some]
         return pa.table({
-            "part": pa.array(some), "chunk": pa.array([chunk] * len(some), pa.int64()), "n": pa.array(sizes),
+            "part": pa.array(some), "chunk": pa.array([chunk] * len(some), pa.int64()), "n": pa.array(np.diff(cut)[some]),
             "hashes": pa.array([pack(value[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-            "counts": pa.array([_narrow(count[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+            "counts": pa.array([pack_counts(count[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
         })
 
     return run
 
 
-def _narrow(count: np.ndarray) -> bytes:
-    return count.astype("u1" if count.max() < 256 else "<u8").tobytes()
-
-
-def _answer():
-    def run(table: pa.Table) -> pa.Table:
-        sizes = np.array(table.column("n").to_pylist(), np.int64)
-        value = np.concatenate([unpack(x, n) for x, n in zip(table.column("hashes").to_pylist(), sizes, strict=True)])
-        count = np.concatenate([np.frombuffer(x, "u1" if len(x) == n else "<u8").astype(np.int64) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
-        order = np.argsort(value, kind="stable")
-        ranked = value[order]
-        begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        total = np.add.reduceat(count[order], begin)
-        back = np.empty(len(value), np.float32)
-        back[order] = np.repeat(total, np.diff(np.append(begin, len(value))))
-        ends = np.cumsum(sizes)
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array([back[z - n : z].tobytes() for z, n in zip(ends, sizes, strict=True)], pa.binary())})
-
-    return run
+def _answer(table: pa.Table) -> pa.Table:
+    """The count table of one range of hashes: the sum over all chunks, sent back in each chunk's order."""
+    sizes = np.array(table.column("n").to_pylist(), np.int64)
+    value = np.concatenate([unpack(x, n) for x, n in zip(table.column("hashes").to_pylist(), sizes.tolist(), strict=True)])
+    count = np.concatenate([unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes.tolist(), strict=True)])
+    order = np.argsort(value)
+    ranked = value[order]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    total = np.add.reduceat(count[order], begin)
+    back = np.empty(len(value), np.int64)
+    back[order] = np.repeat(total, np.diff(np.append(begin, len(value))))
+    ends = np.cumsum(sizes)
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "n": table.column("n"), "totals": pa.array([pack_counts(back[z - n : z]) for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())})
 
 
 SCORES = "doc_id long, n_tokens long, log_score double, mean_log_score double"
 
 
-def _score(order: int, backoff: float, min_count: int):
+def _score(order: int, backoff: float, min_count: int, bits: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({c.split()[0]: pa.array([], t) for c, t in zip(SCORES.split(", "), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        by_order, word, doc, per = _chunk_grams(texts, order)
-        parts = np.argsort(np.array(answers.column("part").to_pylist(), np.int64))
-        told = answers.column("totals").to_pylist()
-        total = np.concatenate([np.frombuffer(told[i], np.float32) for i in parts]).astype(float)
-        known = np.append(_EMPTY, np.unique(np.concatenate([g[g > 0] for g in by_order])))
-        count = [np.full(len(word), total[0])]
-        for g in by_order:
-            c = np.where(g > 0, total[np.minimum(np.searchsorted(known, g), len(known) - 1)], 0.0)
-            count.append(c)
+        by_order, word, doc, per = _chunk_grams(texts, order, bits)
+        told, n = answers.column("totals").to_pylist(), answers.column("n").to_pylist()
+        rising = np.argsort(np.array(answers.column("part").to_pylist(), np.int64)).tolist()
+        total = np.concatenate([unpack_counts(told[i], n[i]) for i in rising]).astype(float)
+        # The totals are in the order of the chunk's distinct n-grams: sort its n-grams alike and deal them out.
+        every = np.concatenate(by_order)
+        order_ = np.argsort(every)
+        ranked = every[order_]
+        fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        which = np.cumsum(fresh) - (1 if len(ranked) and ranked[0] == 0 else 0)  # 0 for what is no n-gram, then from 1
+        dealt = np.empty(len(every))
+        dealt[order_] = total[which]
+        dealt[every == 0] = 0.0
+        count = [np.full(len(word), total[0]), *np.split(dealt, order)]
         log = np.log(count[1] / count[0]) if len(word) else np.zeros(0)
         for n in range(2, order + 1):  # from short contexts to long ones
             context = np.append(0.0, count[n - 1][:-1])[: len(word)]
@@ -141,14 +150,16 @@ def _score(order: int, backoff: float, min_count: int):
 
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) of every row."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-size // CHUNK_BYTES))
     parts = max(8, -(-size * order // (6 * PART_GRAMS)))
     body = F.coalesce(F.col("text"), F.lit(""))
     dealt = docs.select("doc_id", body.alias("text"), F.pmod(F.xxhash64("doc_id", F.length(body)), F.lit(chunks)).cast("long").alias("chunk"))
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(parts, order), "part long, chunk long, n long, hashes binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(_answer(), "chunk long, part long, totals binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, backoff, min_count), SCORES)
+    bits = hash_bits(size)
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(parts, order, bits), "part long, chunk long, n long, hashes binary, counts binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "chunk long, part long, n long, totals binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, backoff, min_count, bits), SCORES)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm._kernel import SPACE, _stream, mix, slices, words
+from kinfold.llm._store import small_batches
 
 VOCAB, DIMS, NONZERO = 2048, 64, 6
 SHAPES = 3 * 2 * 3 * 5
@@ -187,6 +188,7 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network | None]:
     """Word vectors from all documents, and the network from at most ``train_rows`` labelled rows that aren't held out."""
+    small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
