@@ -3,7 +3,7 @@
 Slot j of the schedule takes the j-th van der Corput point; the source whose interval of cumulative targets holds the
 point owns the slot. A source's slots are ranked; rank r takes its block r modulo its number of blocks, cut from the
 source's documents in hash order, so a source is passed over again only after all of it was used. The number of slots
-is a power of two, so each source gets its share of them to within one or two; a last block is cut at the target.
+is a power of two, so each source gets its share of them to within one or two; the last block is cut at the target.
 
 Defined cases: size is the number of words; null and empty texts have size 0 and are never taken; a null source is a
 source of its own, after all others; repeated rows are rows like any other; an empty table gives an empty result;
@@ -84,9 +84,15 @@ def mix(rows: DataFrame, source: str = "source", order: tuple[str, ...] = ("doc_
         spread = ends.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_begin") / cell), F.floor(F.col("_end") / cell))))
         owned = slots.withColumn("_cell", F.floor(F.col("_at") / cell)).join(spread, "_cell").where("_at >= _begin and _at < _end").select("slot", "_i")
     ranked = prefix_sum(owned, "_i", [F.col("slot")], F.lit(1).cast("long"), "_rank", buckets_for(slots_all))
-    tally = plan.select("_i", "source_size", "target").withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    used = ranked.join(tally, "_i").withColumn("_left", F.floor(F.col("target") - (F.col("_rank") / F.col("_blocks")).cast("long") * F.col("source_size") - (F.col("_rank") % F.col("_blocks")) * block))
-    used = used.where((F.col("_left") > 0) & (F.col("_rank") < F.col("_blocks") * passes)).select("_i", (F.col("_rank") % F.col("_blocks")).alias("_block"), F.least(F.col("_left"), F.lit(block)).cast("long").alias("_words"))
+    tally = plan.where("target > 0").select("_i", "source_size", "target").withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    whole = F.floor(F.col("target") / F.col("source_size"))
+    tally = tally.withColumn("_need", (whole * F.col("_blocks") + F.ceil((F.col("target") - whole * F.col("source_size")) / block)).cast("long"))
+    # Where rounding leaves a source short of slots, the missing few follow at the schedule's end.
+    short = tally.join(owned.groupBy("_i").agg(F.count("*").alias("_got")), "_i", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).where("_need > _got")
+    ranked = ranked.select("_i", "_rank").unionByName(short.select("_i", F.explode(F.sequence("_got", F.col("_need") - 1)).alias("_rank")))
+    pass_ = (F.col("_rank") / F.col("_blocks")).cast("long")
+    used = ranked.join(tally, "_i").withColumn("_left", F.floor(F.col("target") + 1e-6 - pass_ * F.col("source_size") - (F.col("_rank") % F.col("_blocks")) * block))
+    used = used.where((F.col("_left") > 0) & (F.col("_rank") < F.col("_need"))).select("_i", (F.col("_rank") % F.col("_blocks")).alias("_block"), F.least(F.col("_left"), F.lit(block)).cast("long").alias("_words"))
     used = used.groupBy("_i", "_block").agg(F.collect_list("_words").alias("_uses"))  # at most `passes` of them
 
     # Documents on their source's line, in hash order, cut where blocks end.
