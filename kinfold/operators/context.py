@@ -12,8 +12,8 @@ MOST_SUPPRESSED = 2000
 
 
 def value_rows(df: DataFrame, key: str, paths: list[str]) -> DataFrame:
-    """(id, path, value): distinct raw values of each path of each record."""
-    parts = [df.select(F.col(f"`{key}`").alias("id"), F.lit(p).alias("path"), F.explode(F.array_distinct(read_values(df, p))).alias("value")) for p in paths]
+    """(_rid, path, value): distinct raw values of each path of each record."""
+    parts = [df.select(F.col(f"`{key}`").alias("_rid"), F.lit(p).alias("path"), F.explode(F.array_distinct(read_values(df, p))).alias("value")) for p in paths]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

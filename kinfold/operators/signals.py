@@ -147,8 +147,8 @@ class PooledSignal(Signal):
 
     def prepare(self, df, key):
         rows = self._pooled(df, key)
-        pooled = rows.groupBy("id").agg(F.collect_set("_n").alias(self.column()), F.collect_set(F.struct("path", self.seed_value().alias("v"))).alias(self.column("v")))
-        return df.join(pooled, df[key] == pooled["id"], "left").drop("id")
+        pooled = rows.groupBy("_rid").agg(F.collect_set("_n").alias(self.column()), F.collect_set(F.struct("path", self.seed_value().alias("v"))).alias(self.column("v")))
+        return df.join(pooled, df[key] == pooled["_rid"], "left").drop("_rid")
 
     def score(self, left, right):
         a, b = self.of(left), self.of(right)
@@ -198,9 +198,9 @@ class RarityWeightedSignal(Signal):
     def prepare(self, df, key):
         rows = value_rows(df, key, self.fields)
         table = rarity_table(rows).select(F.col("value").alias("_v"), "idf")
-        own = rows.select("id", F.lower(F.trim("value")).alias("_v")).where("_v <> ''").distinct().join(table, "_v")
-        packed = own.groupBy("id").agg(F.collect_list(F.struct(F.col("_v").alias("v"), "idf")).alias(self.column()))
-        return df.join(packed, df[key] == packed["id"], "left").drop("id")
+        own = rows.select("_rid", F.lower(F.trim("value")).alias("_v")).where("_v <> ''").distinct().join(table, "_v")
+        packed = own.groupBy("_rid").agg(F.collect_list(F.struct(F.col("_v").alias("v"), "idf")).alias(self.column()))
+        return df.join(packed, df[key] == packed["_rid"], "left").drop("_rid")
 
     def score(self, left, right):
         a, b = self.of(left), self.of(right)

@@ -29,7 +29,7 @@ PARTS_CONFIG = {
 
 
 def parts(spark, sf):
-    df = table(spark, sf, "part").withColumn("code", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))
+    df = table(spark, sf, "part").withColumn("code", F.concat_ws("/", "p_brand", (F.col("p_size") % 10).cast("string")))
     return analyze(df, [Binding("p_name", {"clean": "name_clean"})])
 
 
@@ -40,7 +40,7 @@ def part_pairs(spark, sf):
 
 _TOKENS = "list_distinct(string_split(lower(p_name), ' '))"
 _PAIRS_SQL = f"""
-WITH e AS (SELECT p_partkey AS k, p_name, p_brand, p_type, p_brand || '/' || p_size AS code, {_TOKENS} AS t FROM part),
+WITH e AS (SELECT p_partkey AS k, p_name, p_brand, p_type, p_brand || '/' || (p_size % 10) AS code, {_TOKENS} AS t FROM part),
      hot AS (SELECT code FROM e GROUP BY code HAVING count(*) > 1000),
      typ AS (SELECT p_type, count(*) AS c, sum(count(*)) OVER () AS n FROM e GROUP BY p_type),
      idf AS (SELECT p_type, CASE WHEN n < 2 THEN 0.0 ELSE ln(n / c) / ln(n) END AS idf FROM typ),
@@ -111,7 +111,7 @@ def _twin_parts(spark, sf):
 
 
 _TWINS = """
-WITH e AS (SELECT p_partkey AS k, p_brand || '/' || p_size AS code, list_distinct(string_split(lower(p_name), ' ')) AS n, list_distinct(string_split(lower(p_type), ' ')) AS t FROM part),
+WITH e AS (SELECT p_partkey AS k, p_brand || '/' || (p_size % 10) AS code, list_distinct(string_split(lower(p_name), ' ')) AS n, list_distinct(string_split(lower(p_type), ' ')) AS t FROM part),
      p AS (SELECT a.k AS left_key, b.k AS right_key, a.n AS n1, b.n AS n2, a.t AS t1, b.t AS t2 FROM e a JOIN e b ON a.code = b.code AND a.k < b.k)
 """
 _BLEND = "((len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) + len(list_intersect({a}, {b})) / least(len({a}), len({b}))) / 2)"
