@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.dates import latest_date, legacy_date_iso, parse_flexible_date
 from kinfold.functions.ids import document_id
 from kinfold.functions.paths import read_path, read_values
+from kinfold.functions.phonetic import encode_column
 from kinfold.functions.text import ANALYZERS, NA_VALUES, na_to_null, normalize_join_key
 from kinfold.operators.enrich import LookupPolicy, build_lookup, enrich, outcome_dates, without
 from kinfold.operators.population import compile_selector, population, seeded_sample
@@ -210,18 +211,11 @@ def nested_path_values(spark, sf):
     return nested.select("c_mktsegment", F.explode(read_values(nested, "orders.lines.l_partkey")).alias("p")).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count_distinct("p").alias("parts"))
 
 
-_LINES = "(SELECT doc_id, unnest(l) AS h, len(l) AS n FROM lines)"
-
-
-@query(f"""WITH lines AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 60)) AS l FROM documents),
- pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS i, any_value(a.n) AS x, any_value(b.n) AS y FROM {_LINES} a JOIN {_LINES} b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b FROM pairs WHERE i / least(x, y) >= 0.9""")
-def similar_documents_by_lines(spark, sf):
-    lines = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 60))
-    rows = table(spark, sf, "documents").select("doc_id", lines.alias("l")).select("doc_id", F.size("l").alias("n"), F.explode("l").alias("h"))
-    a, b = (rows.withColumnsRenamed({"doc_id": f"doc_{s}", "n": f"n_{s}"}) for s in "ab")
-    pairs = a.join(b, "h").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("i"), F.first("n_a").alias("x"), F.first("n_b").alias("y"))
-    return pairs.where(F.col("i") / F.least("x", "y") >= 0.9).select("doc_a", "doc_b")
+@query()
+def double_metaphone_tokens(spark, sf):
+    words = table(spark, sf, "part").select(F.array_distinct(F.split("p_name", " ")).alias("tokens")).distinct()
+    coded = encode_column(words.withColumn("token", F.explode("tokens")).select("token", F.array("token").alias("code")).distinct(), "code", "double_metaphone")
+    return coded.select("token", F.explode("code").alias("code")).distinct()
 
 
 @query("SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS n FROM lineitem) WHERE n <= 2")
