@@ -11,9 +11,11 @@ Segments travel as packed blocks of (signature, set), dealt by signature; equal
 with two sets or more become groups. Pairs are then verified exactly, in three rounds:
  0. every set with the set it shares most groups with;
  1. every set with the first of each of its groups, where these aren't connected yet;
- 2. all pairs of a group that aren't connected yet. In a group of more than ``HOT`` components only sets whose hot and
-    empty segments add up to K or more can depend on it (all others meet their partners in another group too), so only
-    these are paired there. That loses no link and caps nothing.
+ 2. all sets of a group that aren't connected yet: where the group is, small histograms tell which could be connected; over
+    all groups these make clusters, and inside a cluster products of 0/1 matrices give all intersections exactly.
+In a group of more than ``HOT`` components only sets whose hot and empty segments add up to K or more can depend on it
+(all others meet their partners in another group too), so only these are compared there. That loses no link and caps
+nothing. The work inside a cluster grows with the square of its texts that differ; only connecting edges leave it.
 
 Defined cases: A-Z are lower-cased; null texts and texts without words have no shingles and link with nothing, not even
 each other; fewer than k words make one shingle; repeated rows have the same set; a null doc_id takes part, but a
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm._graph import components
 from kinfold.llm._kernel import distinct_sets, mix, shingles, slices, words
-from kinfold.llm._store import free, stored
+from kinfold.llm._store import free, small_batches, stored
 
 K_WORDS, NUM, DEN = 5, 75, 100
 BAND_HI = 6 * 2 ** np.arange(40, dtype=np.int64)
@@ -202,7 +204,28 @@ def _groups(num: int, den: int):
 GROUPS = "band int, gid long, weight long, members array<long>"
 
 
-def _bodies(k: int, num: int, den: int):
+def histogram(value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Per set, how many hashes fall into each of 2^j bins, one byte each (255: that or more), a bin holding one to two on average."""
+    ends, out = np.cumsum(n), []
+    for z, c in zip(ends.tolist(), n.tolist(), strict=True):
+        bins = 1 << max(0, c.bit_length() - 1)
+        count = np.bincount((value[z - c : z] & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+        out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+    return out
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Upper bound of the intersection of two sets, from their histograms."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    a[a == 255], b[b == 255] = 1 << 40, 1 << 40
+    if len(a) > len(b):
+        a = a.reshape(-1, len(b)).sum(0)
+    elif len(b) > len(a):
+        b = b.reshape(-1, len(a)).sum(0)
+    return int(np.minimum(a, b).sum())
+
+
+def _profiles(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, flat, offs in slices(batches, "text"):
             value, n, name = sets_of(flat, offs, k)
@@ -211,65 +234,199 @@ def _bodies(k: int, num: int, den: int):
             beyond = np.zeros(len(n), np.int64)
             if also.any():
                 beyond[also] = signatures(value[np.repeat(also, n)], n[also], own[also] + 1, num, den)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(own.astype(np.int32)), pa.array(missing), pa.array(beyond), pa.array(histogram(value, n), pa.binary())], names=["set_id", "n", "band", "missing", "missing_next", "histogram"])
+
+    return run
+
+
+PROFILES = "set_id long, n long, band int, missing long, missing_next long, histogram binary"
+
+
+def _bodies(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flat, offs in slices(batches, "text"):
+            value, n, name = sets_of(flat, offs, k)
             ends = np.cumsum(n)
             body = [value[z - c : z].tobytes() for z, c in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(own.astype(np.int32)), pa.array(missing), pa.array(beyond), pa.array(body, pa.binary())], names=["set_id", "n", "band", "missing", "missing_next", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body, pa.binary())], names=["set_id", "body"])
 
     return run
 
 
-BODIES = "set_id long, n long, band int, missing long, missing_next long, body binary"
+def _kept(test):
+    """Keep the pairs (a, b) whose left and right binaries pass ``test``."""
 
-
-def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            left, right = batch.column("body_a"), batch.column("body_b")
-            last, a = None, None
-            for i in range(batch.num_rows):
-                x = left[i].as_buffer()
-                if last is None or not x.equals(last):
-                    last, a = x, np.frombuffer(x, np.uint64)
-                b = np.frombuffer(right[i].as_buffer(), np.uint64)
-                if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
-                    continue
-                short, long = (a, b) if len(a) < len(b) else (b, a)
-                spot = np.searchsorted(long, short)
-                both = int((long[np.minimum(spot, len(long) - 1)] == short).sum())
-                good[i] = den * both >= num * (len(a) + len(b) - both)
-            mask = pa.array(good)
+            left, right = batch.column("left"), batch.column("right")
+            mask = pa.array([test(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets that link."""
-    body = bodies.select("set_id", "body")
-    with_b = pairs.join(body.withColumnsRenamed({"set_id": "b", "body": "body_b"}), "b")
-    both = with_b.join(body.withColumnsRenamed({"set_id": "a", "body": "body_a"}), "a")
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(_verified(num, den), "a long, b long")
+def _could_link(num: int, den: int):
+    def test(x, y) -> bool:
+        a, b = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+        some, others = int(a.sum()), int(b.sum())
+        if 255 in a or 255 in b:
+            return True
+        return (den + num) * min(most_common(a, b), some, others) >= num * (some + others)
+
+    return test
+
+
+def _links(num: int, den: int):
+    def test(x, y) -> bool:
+        a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        short, long = (a, b) if len(a) < len(b) else (b, a)
+        spot = np.searchsorted(long, short)
+        both = int((long[np.minimum(spot, len(long) - 1)] == short).sum())
+        return den * both >= num * (len(a) + len(b) - both)
+
+    return test
+
+
+def _paired(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with ``column`` of both sets as left and right."""
+    right = table.select(F.col("set_id").alias("b"), F.col(column).alias("right"))
+    left = table.select(F.col("set_id").alias("a"), F.col(column).alias("left"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
+
+
+class Verifier:
+    """Exact check of pairs: first an upper bound of the intersection from small histograms, then the shingles themselves."""
+
+    def __init__(self, texts: DataFrame, owners: DataFrame, profiles: DataFrame, k: int, num: int, den: int):
+        self.texts, self.owners, self.profiles, self.k, self.num, self.den = texts, owners, profiles, k, num, den
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        size = self.profiles.select("set_id", "n")
+        fit = pairs.select("a", "b").join(size.withColumnsRenamed({"set_id": "a", "n": "_na"}), "a").join(size.withColumnsRenamed({"set_id": "b", "n": "_nb"}), "b")
+        fit = fit.where(F.least("_na", "_nb") * self.den >= F.greatest("_na", "_nb") * self.num)
+        return stored(_paired(fit, self.profiles, "histogram").mapInArrow(_kept(_could_link(self.num, self.den)), "a long, b long"), "ngram-possible")
+
+    def links(self, possible: DataFrame) -> DataFrame:
+        need = possible.select(F.col("a").alias("set_id")).unionByName(possible.select(F.col("b").alias("set_id"))).distinct()
+        bodies = stored(texts_of(self.texts, self.owners, need).mapInArrow(_bodies(self.k), "set_id long, body binary"), "ngram-bodies")
+        return stored(_paired(possible, bodies, "body").mapInArrow(_kept(_links(self.num, self.den)), "a long, b long").distinct(), "ngram-links")
+
+
+def texts_of(texts: DataFrame, owners: DataFrame, need: DataFrame) -> DataFrame:
+    """The text of one document for each set of ``need``."""
+    ids = stored(owners.join(need, "set_id").select("doc_id"), "ngram-owners")
+    few = ids.count()
+    chosen = F.broadcast(ids) if few <= BROADCAST_ROWS else ids  # 8 bytes a row; beyond, both sides are shuffled
+    return texts.join(chosen, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+
+
+def _near_in_group(size: np.ndarray, label: np.ndarray, table: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of a group (by rising size), the later ones of other components that its histogram can't rule out."""
+    bins = np.array([len(h) for h in table])
+    by_bins = {b: np.flatnonzero(bins == b) for b in np.unique(bins).tolist()}
+    rows = {b: np.stack([table[i] for i in at]).astype(np.int16) for b, at in by_bins.items()}
+    for b, m in rows.items():
+        m[m == 255] = 1 << 13  # 255 or more: no bound from this bin
+    folded = {(2 * b, b): rows[2 * b].reshape(len(rows[2 * b]), 2, b).sum(1, dtype=np.int16) for b in rows if 2 * b in rows}
+    place = np.empty(len(size), np.int64)
+    for at in by_bins.values():
+        place[at] = np.arange(len(at))
+    reach = np.searchsorted(size, size * den // num, "right")
+    for i in range(len(size)):
+        b, hits = int(bins[i]), []
+        for other, m in ((b, rows[b]), (2 * b, folded.get((2 * b, b)))):
+            if m is None:
+                continue
+            at = by_bins[other]
+            a, z = np.searchsorted(at, i + 1), np.searchsorted(at, reach[i])
+            if z > a:
+                most = np.minimum(rows[b][place[i]], m[a:z]).sum(1, dtype=np.int64)
+                j = at[a:z]
+                hits.append(j[(label[j] != label[i]) & ((den + num) * most >= num * (size[i] + size[j]))])
+        if hits:
+            yield i, np.concatenate(hits)
+
+
+def _roots(n: int, pairs: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Component (by its least index) of each of n members, from (i, partners) pairs."""
+    root = np.arange(n)
+    for i, j in pairs:
+        touched = np.unique(root[np.append(j, i)])
+        if len(touched) > 1:
+            root[np.isin(root, touched[1:])] = touched[0]
+    return root
 
 
-def _cross(hot: int, num: int, den: int):
-    """All pairs of a group between components, but for its first member, which round 1 has compared with all."""
+def _possible_edges(num: int, den: int):
+    """What histograms allow to be connected in a group: an edge from each such set to the first of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets, label, size, free_, first in zip(*(batch.column(c) for c in ("sets", "labels", "sizes", "needs", "first")), strict=True):
-                sets, label, size, need = (np.asarray(x.values) for x in (sets, label, size, free_))
-                if len(set(label.tolist())) > hot:
-                    keep = need.astype(bool)
-                    sets, label, size = sets[keep], label[keep], size[keep]
+            left, right = [], []
+            for sets, label, size, table in zip(*(batch.column(c) for c in ("sets", "labels", "sizes", "histograms")), strict=True):
+                sets, label, size = (np.asarray(x.values) for x in (sets, label, size))
                 order = np.argsort(size, kind="stable")
+                table = [np.frombuffer(table.values[int(i)].as_buffer(), np.uint8) for i in order]
                 sets, label, size = sets[order], label[order], size[order]
-                reach = np.searchsorted(size, size * den // num, "right")
-                for i in range(len(sets)):
-                    j = np.arange(i + 1, reach[i])
-                    j = j[(label[j] != label[i]) & (sets[j] != first.as_py())] if sets[i] != first.as_py() else j[:0]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[i], sets[j])), pa.array(np.maximum(sets[i], sets[j]))], names=["a", "b"])
+                root = _roots(len(sets), [(i, j) for i, j in _near_in_group(size, label, table, num, den) if len(j)])
+                other = root != np.arange(len(sets))
+                left.append(sets[root[other]])
+                right.append(sets[other])
+            edges = np.stack([np.concatenate(left), np.concatenate(right)], 1) if left else np.zeros((0, 2), np.int64)
+            edges = np.unique(edges, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    return run
+
+
+BLOCK_ROWS, BLOCK_COLUMNS = 1024, 4096
+
+
+def _common(bodies: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Intersection sizes of all pairs of sets, as blocks (row from, column from, counts), by products of 0/1 matrices.
+
+    Only hashes that two sets have can count, so the matrices' columns are those.
+    """
+    flat, n = np.concatenate(bodies), np.array([len(b) for b in bodies])
+    owner = np.repeat(np.arange(len(bodies)), n)
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    fresh = np.append(True, flat[1:] != flat[:-1])
+    column = np.cumsum(fresh) - 1
+    several = (np.bincount(column) > 1)[column]
+    _, column = np.unique(column[several], return_inverse=True)
+    owner = owner[several]
+    width = int(column.max()) + 1 if len(column) else 0
+    cuts = np.searchsorted(column, np.arange(0, width + BLOCK_COLUMNS, BLOCK_COLUMNS))
+    for r in range(0, len(bodies), BLOCK_ROWS):
+        for c in range(r, len(bodies), BLOCK_ROWS):
+            rows, cols = min(BLOCK_ROWS, len(bodies) - r), min(BLOCK_ROWS, len(bodies) - c)
+            total = np.zeros((rows, cols), np.float32)
+            for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                own, at = owner[a:z], column[a:z] - k * BLOCK_COLUMNS
+                x, y = np.zeros((rows, BLOCK_COLUMNS), np.float32), np.zeros((cols, BLOCK_COLUMNS), np.float32)
+                for m, base, size in ((x, r, rows), (y, c, cols)):
+                    inside = (own >= base) & (own < base + size)
+                    m[own[inside] - base, at[inside]] = 1
+                total += x @ y.T
+            yield r, c, total
+
+
+def _linked_lists(num: int, den: int):
+    """Exact links inside each list, as edges from every set to the first of its component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = np.asarray(table.column("set").combine_chunks())
+        bodies = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("body").combine_chunks()]
+        _, keep = np.unique(sets, return_index=True)
+        sets, bodies = sets[keep], [bodies[i] for i in keep]
+        n, pairs = np.array([len(b) for b in bodies]), []
+        for r, c, both in _common(bodies):
+            good = (den + num) * both.astype(np.int64) >= num * (n[r : r + len(both), None] + n[None, c : c + both.shape[1]])
+            pairs += [(r + int(i), c + np.flatnonzero(good[i])) for i in np.flatnonzero(good.any(1))]
+        root = _roots(len(sets), pairs)
+        other = root != np.arange(len(sets))
+        return pa.table({"a": pa.array(sets[root[other]]), "b": pa.array(sets[other])})
 
     return run
 
@@ -277,6 +434,7 @@ def _cross(hot: int, num: int, den: int):
 def set_components(docs: DataFrame, k: int = K_WORDS, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, n_shingles, set_id) of all rows, and (node, label) of the linked sets, or None without links."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", "text")
     rows = stored(texts.mapInArrow(_described(k, ["doc_id"]), "doc_id long, n_shingles long, set_id long"), "ngram-rows")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -289,46 +447,54 @@ def set_components(docs: DataFrame, k: int = K_WORDS, num: int = NUM, den: int =
 
     stars = groups.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b"))
     stars = stored(stars.groupBy("a", "b").agg(F.count("*").alias("shared")), "ngram-stars")
-    wanted = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id"))).distinct()
-    named = stored(rows.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set_id").select("doc_id").distinct(), "ngram-wanted")
-    few = named.count()
-    if few == 0:
+    if stars.isEmpty():
         return rows, None
-    chosen = F.broadcast(named) if few <= BROADCAST_ROWS else named
-    bodies = texts.join(chosen, texts["doc_id"].eqNullSafe(named["doc_id"]), "left_semi").select("text").mapInArrow(_bodies(k, num, den), BODIES)
-    bodies = stored(bodies.join(wanted, "set_id").dropDuplicates(["set_id"]), "ngram-bodies")
-
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = stored(verified(best, bodies, num, den), "ngram-links")
+    wanted = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id"))).distinct()
+    owners = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    owners = stored(owners.join(wanted, "set_id"), "ngram-wanted")
+    profiles = stored(texts_of(texts, owners, owners.select("set_id")).mapInArrow(_profiles(k, num, den), PROFILES), "ngram-profiles")
+    check = Verifier(texts, owners, profiles, k, num, den)
+
+    stars = check.possible(stars).join(stars, ["a", "b"])
+    best = stored(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")), "ngram-best")
+    links = check.links(best)
     labels = components(links)
 
     def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
         return df.join(labels.withColumnsRenamed({"node": column, "label": "_l"}), column, "left").withColumn(out, F.coalesce("_l", column)).drop("_l")
 
-    apart = labelled(labelled(stars, "a", "_a"), "b", "_b").where("_a <> _b").join(best.withColumnsRenamed({"a": "_ba"}), "b", "left").where("a <> _ba").select("a", "b")
-    links = stored(links.unionByName(verified(apart, bodies, num, den)), "ngram-links")
+    apart = labelled(labelled(stars.select("a", "b"), "a", "_a"), "b", "_b").where("_a <> _b").select("a", "b")
+    apart = stored(apart.join(best, ["a", "b"], "left_anti"), "ngram-apart")
+    links = stored(links.unionByName(check.links(apart)), "ngram-links")
     labels = components(links)
     free(spark)
 
-    members = labelled(groups.where(F.size("members") > 2).select("band", "gid", "weight", F.element_at("members", 1).alias("first"), F.explode("members").alias("set")), "set", "label")
-    open_ = members.groupBy("band", "gid").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("band", "gid")
-    members = stored(members.join(open_, ["band", "gid"]).join(bodies.select(F.col("set_id").alias("set"), "n", F.col("band").alias("_own"), "missing", "missing_next"), "set"), "ngram-open")
-    many = members.groupBy("band", "gid").agg(F.count_distinct("label").alias("_n")).where(F.col("_n") > HOT)
+    # Round 2: groups of more than two sets that still hold several components.
+    own = profiles.select(F.col("set_id").alias("set"), "n", F.col("band").alias("_own"), "missing", "missing_next").dropDuplicates(["set"])
+    wide = groups.where(F.size("members") > 2).select("band", "gid", "weight", F.element_at("members", 1).alias("first"), F.explode("members").alias("set"))
+    members = labelled(wide, "set", "label")
+    spread = members.groupBy("band", "gid").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.approx_count_distinct("label").alias("_labels")).where("_lo <> _hi")
+    members = stored(members.join(spread.select("band", "gid", (F.col("_labels") > HOT).alias("is_hot")), ["band", "gid"]), "ngram-open")
     ms, ds = allocation(num, den)
     given = F.create_map(*[F.lit(int(x)) for b, (m, d) in enumerate(zip(ms[:32], ds[:32], strict=True)) for x in (b, m + d)])
     hi = F.create_map(*[F.lit(x) for b in range(32) for x in (b, int(BAND_HI[b]))])
-    hot = members.join(many.select("band", "gid"), ["band", "gid"]).groupBy("set", "band").agg(F.sum("weight").alias("_hot"))
-    members = members.join(hot, ["set", "band"], "left")
+    hot = members.where("is_hot").groupBy("set", "band").agg(F.sum("weight").alias("_hot")).join(own, "set")
     empty = F.when(F.col("band") == F.col("_own"), F.col("missing")).otherwise(F.col("missing_next"))
     furthest = F.floor((F.col("n") + F.least(F.floor(F.col("n") * den / num), hi[F.col("band")])) * (den - num) / (den + num))
-    slack = given[F.col("band")] - furthest
-    members = members.withColumn("need", (F.coalesce("_hot", F.lit(0)) + empty >= slack).cast("int"))
-    item = F.struct(F.col("set").alias("s"), F.col("label").alias("l"), F.col("n"), F.col("need"))
-    rest = members.groupBy("band", "gid", "first").agg(F.collect_list(item).alias("_m"))
-    rest = rest.select("first", F.col("_m.s").alias("sets"), F.col("_m.l").alias("labels"), F.col("_m.n").alias("sizes"), F.col("_m.need").alias("needs"))
-    pairs = stored(rest.mapInArrow(_cross(HOT, num, den), "a long, b long").distinct(), "ngram-pairs")
-    more = verified(pairs, bodies, num, den)
-    links = stored(links.unionByName(more), "ngram-links")
+    bound_to = hot.where(F.col("_hot") + empty >= given[F.col("band")] - furthest).select("set", "band", F.lit(True).alias("_bound"))
+    members = members.join(bound_to, ["set", "band"], "left").where("not is_hot or _bound")
+    bodies = profiles.select(F.col("set_id").alias("set"), "n", "histogram").dropDuplicates(["set"])
+    item = F.struct(F.col("set").alias("s"), F.col("label").alias("l"), F.col("n"), F.col("histogram").alias("h"))
+    rest = members.join(bodies, "set").groupBy("band", "gid", "first").agg(F.collect_list(item).alias("_m")).where(F.size("_m") > 1)
+    rest = rest.select(F.col("_m.s").alias("sets"), F.col("_m.l").alias("labels"), F.col("_m.n").alias("sizes"), F.col("_m.h").alias("histograms"))
+    edges = stored(rest.mapInArrow(_possible_edges(num, den), "a long, b long").distinct(), "ngram-possible")
+    if edges.isEmpty():
+        return rows, labels
+    joined = components(edges)
+    listed = joined.select(F.col("label").alias("gid"), F.col("node").alias("set")).unionByName(joined.select(F.col("label").alias("gid"), F.col("label").alias("set")).distinct())
+    bodies = stored(texts_of(texts, owners, listed.select(F.col("set").alias("set_id")).distinct()).mapInArrow(_bodies(k), "set_id long, body binary"), "ngram-bodies")
+    inside = listed.join(bodies.withColumnRenamed("set_id", "set"), "set").groupBy("gid").applyInArrow(_linked_lists(num, den), "a long, b long")
+    links = stored(links.unionByName(inside.distinct()), "ngram-links")
     return rows, components(links)
 
 
