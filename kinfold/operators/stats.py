@@ -160,6 +160,17 @@ def _ranked(df: DataFrame, order: Column, ties: list[str], buckets: int) -> Data
     return dealt.withColumn("_in", inside).join(F.broadcast(start), "_b").withColumn("_rank", F.col("_in") + F.col("_s")).drop("_o", "_b", "_in", "_s")
 
 
+def result_rows(views: dict[str, DataFrame]) -> DataFrame:
+    """All result tables of a validation as rows of one, told apart by ``view``; columns that a view lacks are NULL."""
+    out = None
+    for name, rows in views.items():
+        named = rows.withColumn("view", F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no results")
+    return out
+
+
 def signal_headroom(weights: dict[str, float], kind: str, observed_mean: float) -> dict[str, float]:
     """Share of the configured weight that a signal has, and how much of it a mean score leaves unused."""
     share = weights[kind] / sum(weights.values())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -13,8 +14,9 @@ from kinfold.functions.dates import legacy_date_iso
 from kinfold.functions.ids import blank_key_count, document_id
 from kinfold.functions.text import Binding, normalize_join_key
 from kinfold.operators.enrich import LookupPolicy, checked_lookup, enrich
+from kinfold.operators.signals import Context, build_signals
 from kinfold.plans.config import PHASES, check_project_shape, validate
-from kinfold.plans.sweep import Provenance, analyze, spec_fingerprint, sweep
+from kinfold.plans.sweep import Provenance, analyze, preflight, spec_fingerprint, sweep
 from kinfold.sources.catalog import Catalog, dated_name, last_wins
 from kinfold.sources.tables import numbered, pinned, read_csv, read_json_config
 
@@ -141,7 +143,11 @@ class Project:
         if len(concrete) != 1:
             raise ValueError(f"{config['source_index']} is {len(concrete)} tables")
         expected = spec_fingerprint(self._bindings(config.get("source_settings_step", step)))
-        pairs = sweep(self.catalog.read(config["source_index"]), config, Provenance(concrete[0], config["source_index"], expected))
+        entities = self.catalog.read(config["source_index"])
+        signals = build_signals(config["signals"], Context(config.get("ignore_values", {}), lifecycle=config.get("lifecycle")))
+        for note in preflight(entities, signals, expected, self.catalog.meta(concrete[0]).get("analysis_fingerprint")):
+            logging.getLogger(__name__).warning("%s: %s", step, note)
+        pairs = sweep(entities, config, Provenance(concrete[0], config["source_index"], expected))
         self.catalog.create(name)
         self.catalog.write(name, pairs)
         self.catalog.stamp(name, {"source_index": concrete[0], "analysis_fingerprint": expected})

@@ -247,3 +247,23 @@ def test_undirected_keeps_the_better(spark):
     df = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.7), ("a", "c", 0.1)], "l string, r string, total double")
     assert {(r["l"], r["r"]) for r in scoring.undirected(df, "l", "r").collect()} == {("b", "a"), ("a", "c")}
     assert spec_fingerprint(BINDINGS) and len(spec_fingerprint(BINDINGS)) == 16
+
+
+def test_result_rows_and_headroom(spark):
+    rows = stats.result_rows({"bands": spark.createDataFrame([("a", 1)], "band string, hits long"), "summary": spark.createDataFrame([(1.5,)], "lift double")}).collect()
+    assert {(r["view"], r["band"], r["lift"]) for r in rows} == {("bands", "a", None), ("summary", None, 1.5)}
+    assert stats.signal_headroom({"temporal": 0.1, "x": 0.9}, "temporal", 0.25) == pytest.approx({"weight_share": 0.1, "mean_contribution": 0.025, "headroom": 0.075})
+
+
+def test_ceilings_and_preflight(spark):
+    row = "lookups_failed long, lookups long, scores_failed long, scores long"
+    metrics.sweep_ceilings(spark.createDataFrame([(0, 10, 9, 100)], row))
+    with pytest.raises(RuntimeError):
+        metrics.sweep_ceilings(spark.createDataFrame([(1, 10, 0, 100)], row))
+    from kinfold.plans.sweep import preflight
+
+    signals = build_signals(CONFIG["signals"][:1], Context({}))
+    assert preflight(firms(spark), signals, "a", "b") and not preflight(firms(spark), signals, "a", "a")
+    for bad in (firms(spark).limit(0), firms(spark).drop("tok:name.clean")):
+        with pytest.raises(ValueError):
+            preflight(bad, signals)
