@@ -7,6 +7,10 @@ one-deletion neighbourhood). If these numbers add up to H+K, the hits of any lin
 How many segments get 2 is chosen by cost per band. A set is indexed in its own band, and in the next one if a larger
 partner could be there.
 
+A segment that is empty in both sets is a hit without a signature. A pair can be found by such hits alone only if the
+empty weight of both sets reaches the least sum of their hits, so exactly the sets where it does are cut again by another
+hash, up to ``LEVELS`` times; what is still left after the last cut gets signatures of its empty subsets too.
+
 Segments travel as packed blocks of (signature, set), dealt by signature; equal sets are folded per task before. Buckets
 with two sets or more become groups. Pairs are then verified exactly, in three rounds:
  0. every set with the set it shares most groups with;
@@ -40,6 +44,7 @@ from kinfold.llm._store import free, small_batches, stored
 K_WORDS, NUM, DEN = 5, 75, 100
 BAND_HI = 6 * 2 ** np.arange(40, dtype=np.int64)
 HOT = 48
+LEVELS = 8
 PART_SIGNATURES = 400_000
 BROADCAST_ROWS = 200_000
 
@@ -83,13 +88,17 @@ def sets_of(flat: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return value, n, name
 
 
-def signatures(value: np.ndarray, n: np.ndarray, band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sets (flat hashes, sizes) in the given bands: signatures, the set of each, and per set the weight of empty subsets."""
+def cut(value: np.ndarray, n: np.ndarray, band: np.ndarray, num: int, den: int, level: int = 0, empty: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets (flat hashes, sizes) in the given bands: signatures, the set of each, and per set the weight of empty subsets.
+
+    ``level`` chooses the hash that cuts; with ``empty``, empty subsets have signatures too.
+    """
     ms, ds = allocation(num, den)
     m, d = ms[band], ds[band]
     base = np.cumsum(m) - m
     owner = np.repeat(np.arange(len(n)), n)
-    segment = (((value >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    by = value if level == 0 else mix(value ^ mix(np.array([level], np.uint64)))
+    segment = (((by >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
     at = base[owner] + segment
     term = mix(value ^ _S)
     sums = np.zeros(int(m.sum()), np.uint64)
@@ -97,12 +106,12 @@ def signatures(value: np.ndarray, n: np.ndarray, band: np.ndarray, num: int, den
     size = np.bincount(at, minlength=len(sums))
     of = np.repeat(np.arange(len(n)), m)
     seg = np.arange(len(sums)) - base[of]
-    place = mix((band[of].astype(np.uint64) << np.uint64(40)) + seg.astype(np.uint64))
+    place = mix((band[of].astype(np.uint64) << np.uint64(40)) + np.uint64(level << 32) + seg.astype(np.uint64))
     doubled = seg < d[of]
     missing = np.bincount(of, (size == 0) * (1 + doubled) + ((size == 1) & doubled), minlength=len(n)).astype(np.int64)
-    full = size > 0
+    full = (size > 0) | empty
     out, who = [mix(sums[full] + place[full])], [of[full]]
-    drop = doubled[at] & (size[at] > 1)
+    drop = doubled[at] & ((size[at] > 1) | empty)
     if drop.any():
         out.append(mix(sums[at[drop]] - term[drop] + place[at[drop]]))
         who.append(owner[drop])
@@ -110,6 +119,28 @@ def signatures(value: np.ndarray, n: np.ndarray, band: np.ndarray, num: int, den
     return (sig & ~np.uint64(31)) | band[who].astype(np.uint64), who, missing
 
 
+def unsure(n: np.ndarray, band: np.ndarray, missing: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sets whose empty weight reaches the least sum of the hits with their furthest partner in the band."""
+    ms, ds = allocation(num, den)
+    furthest = (n + np.minimum(n * den // num, BAND_HI[band])) * (den - num) // (den + num)
+    return missing >= ms[band] + ds[band] - furthest
+
+
+def signatures(value: np.ndarray, n: np.ndarray, band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of which any linked pair shares one, the set of each, and per set the weight of empty subsets in the first cut."""
+    sig, who, missing = cut(value, n, band, num, den)
+    sigs, whos, at, left = [sig], [who], np.arange(len(n)), missing
+    for level in range(1, LEVELS + 1):
+        again = unsure(n, band, left, num, den)
+        if not again.any():
+            break
+        value, n, band, at = value[np.repeat(again, n)], n[again], band[again], at[again]
+        sig, who, left = cut(value, n, band, num, den, level, level == LEVELS)
+        sigs.append(sig)
+        whos.append(at[who])
+    return np.concatenate(sigs), np.concatenate(whos), missing
+
+
 def bands_of(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Own band of each size, and whether a partner may be in the next one."""
     own = np.searchsorted(BAND_HI, n)
@@ -151,14 +182,14 @@ def _blocks(k: int, num: int, den: int, parts: int):
             part = (((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
             part, sig, who = part[order], sig[order], who[order]
-            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             sigs, whos, names = [], [], []
-            for a, z in zip(cut, np.append(cut[1:], len(part)), strict=True):
+            for a, z in zip(start, np.append(start[1:], len(part)), strict=True):
                 used, index = np.unique(who[a:z], return_inverse=True)
                 sigs.append(sig[a:z].tobytes())
                 whos.append(index.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes())
                 names.append(name[used].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int64)), pa.array(sigs, pa.binary()), pa.array(whos, pa.binary()), pa.array(names, pa.binary())], names=["part", "sigs", "owners", "sets"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int64)), pa.array(sigs, pa.binary()), pa.array(whos, pa.binary()), pa.array(names, pa.binary())], names=["part", "sigs", "owners", "sets"])
 
     return run
 
@@ -230,10 +261,10 @@ def _profiles(k: int, num: int, den: int):
         for _, flat, offs in slices(batches, "text"):
             value, n, name = sets_of(flat, offs, k)
             own, also = bands_of(n, num, den)
-            missing = signatures(value, n, own, num, den)[2]
+            missing = cut(value, n, own, num, den)[2]
             beyond = np.zeros(len(n), np.int64)
             if also.any():
-                beyond[also] = signatures(value[np.repeat(also, n)], n[also], own[also] + 1, num, den)[2]
+                beyond[also] = cut(value[np.repeat(also, n)], n[also], own[also] + 1, num, den)[2]
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(own.astype(np.int32)), pa.array(missing), pa.array(beyond), pa.array(histogram(value, n), pa.binary())], names=["set_id", "n", "band", "missing", "missing_next", "histogram"])
 
     return run

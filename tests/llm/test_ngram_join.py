@@ -53,6 +53,39 @@ def test_threshold_is_exact(spark):
     assert got[2] == 1 and got[3] == 1 and got[4] == components([(1, full), (2, most), (3, full + " x"), (4, less + " y z")])[4][1]
 
 
+def test_short_near_copies_are_found(spark):
+    """A pair whose shared shingles all lie in the segment that differs, the other segments being empty in both."""
+    r, rows = random.Random(4), []
+    for i in range(400):
+        w = [f"{i}x{r.random()}" for _ in range(8 + i % 12)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-1]))]
+    got = {r["doc_id"]: r["component_id"] for r in g.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i in range(400) if got[2 * i + 1] != 2 * i] == []
+
+
+@pytest.mark.parametrize("levels", [1, 2, 8])
+def test_linked_pairs_share_a_signature(monkeypatch, levels):
+    """All size pairs to 24 shingles at every overlap that links, a hundred random pairs each."""
+    monkeypatch.setattr(g, "LEVELS", levels)
+    r, sets, names = np.random.default_rng(levels), [], []
+    for x in range(1, 25):
+        for y in range(x, 25):
+            for both in range(1, x + 1):
+                if 100 * both >= 75 * (x + y - both):
+                    for _ in range(100):
+                        v = r.integers(0, 2**64, x + y - both, np.uint64)
+                        sets += [v[:x], v[x - both :]]
+                        names.append((x, y, both))
+    n, value = np.array([len(s) for s in sets]), np.concatenate(sets)
+    own, _ = g.bands_of(n, 75, 100)
+    band = np.repeat(np.maximum(own[::2], own[1::2]), 2)
+    sig, who, _ = g.signatures(value, n, band, 75, 100)
+    seen = np.unique(np.stack([sig, (who // 2).astype(np.uint64), (who % 2).astype(np.uint64)], 1), axis=0)
+    shared = (seen[1:, :2] == seen[:-1, :2]).all(1)
+    found = set(seen[1:][shared][:, 1].tolist())
+    assert {names[i] for i in range(len(names)) if i not in found} == set()
+
+
 def test_allocation_covers_the_bound():
     m, d = g.allocation(75, 100)
     for hi, a, b in zip(g.BAND_HI[:20], m, d, strict=False):
