@@ -3,13 +3,14 @@
 Numbers, names and units become typed placeholders, everything else is lower-cased and cut into words. Windows of
 ``WINDOW`` words of the benchmark items' templates are hash-joined with those of the documents. Where a joined window
 has placeholders, the values behind them are compared: a re-parameterised copy puts one value for each value of the
-item, everywhere; windows whose values contradict that do not count.
+item, everywhere. Windows with the item's own values always count; windows with other values count where the whole
+copy (document, item, offset) is free of contradiction. Windows with fewer than ``LITERALS`` plain words would fit too
+much as templates: they are compared by their words and values as they are (names as words).
 
 A document holds an item if, of the item's windows, ``COVERAGE`` or ``RUN`` (whichever is fewer, one at least) are
 found consistently. An item shorter than a window is one window of its own length.
 
-Defined cases: null and empty texts hold nothing; windows with fewer than ``LITERALS`` plain words are not compared;
-repeated rows of a doc_id count once; a null doc_id is never reported; empty tables give an empty result; equal items
+Defined cases: null and empty texts hold nothing; repeated rows of a doc_id count once; a null doc_id is never reported; empty tables give an empty result; equal items
 are all reported; clashing extra columns are ignored.
 """
 
@@ -47,9 +48,14 @@ def template(text: Column, values: bool = False) -> Column:
     return F.filter(F.split(F.regexp_replace(units, _CUT if not values else _CUT.replace("]+", "_]+"), " "), " "), lambda w: w != "")
 
 
-def with_windows(df: DataFrame, text: str, window: int, keep: list[str], short: bool = False) -> DataFrame:
+def bare(found: Column) -> Column:
+    """The words without marks: whether a capital makes a name depends on what stands before it."""
+    return F.transform(found, lambda w: F.translate(w, NAME + NUMBER + UNIT, ""))
+
+
+def with_windows(df: DataFrame, text: str, window: int, keep: list[str], short: bool = False, values: bool = False) -> DataFrame:
     """One row per window: ``keep``, pos (from 1), window_hash. ``short``: a text of fewer words is one window."""
-    words = df.select(*keep, template(F.col(text)).alias("_t")).withColumn("_n", F.size("_t"))
+    words = df.select(*keep, (bare(template(F.col(text), True)) if values else template(F.col(text))).alias("_t")).withColumn("_n", F.size("_t"))
     at = F.when(F.col("_n") >= window, F.sequence(F.lit(1), F.col("_n") - window + 1)).otherwise(F.array(F.lit(1)) if short else F.array().cast("array<int>"))
     hashed = F.transform(at, lambda i: F.xxhash64(F.slice("_t", i, window)))
     return words.select(*keep, F.posexplode(hashed).alias("pos", "window_hash")).withColumn("pos", F.col("pos") + 1)
@@ -67,17 +73,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     words = items.select("item_id", template(F.col("item")).alias("_t"), template(F.col("item"), values=True).alias("_v")).withColumn("_n", F.size("_t")).where("_n > 0")
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n") - window + 1))
     cut = words.select("item_id", "_n", F.explode(at).alias("item_pos"), "_t", "_v").select("item_id", "_n", "item_pos", F.slice("_t", F.col("item_pos"), window).alias("_w"), F.slice("_v", F.col("item_pos"), window).alias("item_values"))
-    cut = cut.where(plain(F.col("_w")) >= F.least(F.lit(LITERALS), F.size("_w")))
-    cut = cut.select("item_id", "item_pos", F.xxhash64("_w").alias("window_hash"), "item_values", F.size("_w").alias("length"), (plain(F.col("_w")) < F.size("_w")).alias("slots"))
+    exact = plain(F.col("_w")) < F.least(F.lit(LITERALS), F.size("_w"))
+    cut = cut.withColumn("exact", exact).withColumn("length", F.when(F.col("exact"), F.size("item_values")).otherwise(F.size("_w")))
+    hashed = F.when(F.col("exact"), F.xxhash64(bare(F.col("item_values")))).otherwise(F.xxhash64("_w"))
+    cut = cut.select("item_id", "item_pos", hashed.alias("window_hash"), "item_values", "length", "exact", (~F.col("exact") & (plain(F.col("_w")) < F.size("_w"))).alias("slots"))
     cut = stored(cut, "decon-items")
-    lengths = [r[0] for r in cut.select("length").distinct().collect()]  # `window` and the few lengths below it
+    lengths = [(r[0], r[1]) for r in cut.select("length", "exact").where("length > 0").distinct().collect()]  # `window` and the few lengths below it
     rows = cut.count()
     needed = cut.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    keys = cut.select("item_id", "item_pos", "window_hash", "length", "slots")
+    keys = cut.select("item_id", "item_pos", "window_hash", "length", "exact", "slots")
 
     hits = None
-    for n in sorted(lengths):
-        found = with_windows(docs.where("doc_id is not null"), "text", n, ["doc_id"]).join(_small(keys.where(F.col("length") == n), rows), "window_hash")
+    for n, as_is in sorted(lengths):
+        own = keys.where((F.col("length") == n) & (F.col("exact") == as_is))
+        found = with_windows(docs.where("doc_id is not null"), "text", n, ["doc_id"], values=as_is).join(_small(own, rows), "window_hash")
         found = found.select("doc_id", "pos", "item_id", "item_pos", "slots", "length")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
@@ -99,7 +108,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         back = each.groupBy("doc_id", "item_id", "_off", "d").agg(F.count_distinct("i").alias("_k")).groupBy("doc_id", "item_id", "_off").agg(F.max("_k").alias("_back"))
         good = there.join(back, ["doc_id", "item_id", "_off"]).where("_there = 1 and _back = 1")
         changed = F.exists("_z", lambda x: x["i"] != x["d"])
-        kept = pairs.withColumn("_off", F.col("pos") - F.col("item_pos")).join(good, ["doc_id", "item_id", "_off"])
+        sure = sure.unionByName(pairs.where(~changed).select("doc_id", "item_id", "item_pos", F.lit(False).alias("changed")))
+        kept = pairs.where(changed).withColumn("_off", F.col("pos") - F.col("item_pos")).join(good, ["doc_id", "item_id", "_off"])
         sure = sure.unionByName(kept.select("doc_id", "item_id", "item_pos", changed.alias("changed")))
     held = sure.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("windows"), F.max("changed").alias("reparameterised"))
     held = held.join(_small(needed, rows), "item_id")

@@ -279,6 +279,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_leaks_of_figures_and_of_copies_with_a_contradiction(spark):
+    sum_, figures = "Compute 3 * 4 + 5 * 6 - 7", "11 12 13 14 15 16 17 18 19 20 21"
+    twice = "a tank loses 3 litres every day while it rains and then gains another amount until all of the water in it is gone after 3 days of sun"
+    rows = [(1, "so: " + sum_ + " now"), (2, "so: Compute 3 * 4 + 5 * 6 - 8 now"), (3, "see " + figures), (4, figures.replace("1", "2")), (5, twice.replace("after 3", "after 4")), (6, None)]
+    items = spark.createDataFrame([(20, sum_), (21, figures), (22, twice)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), items).collect()}
+    assert got == {(1, 20), (3, 21), (5, 22)}
+
+
 def test_decontamination_equals_window_search(spark, sf_dir):
     import re
 
