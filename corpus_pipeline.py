@@ -4,6 +4,9 @@ Each stage is written to the shared folder as Parquet and read again before the
 columns of ``documents``: the classifier drops what it rejects, the join keeps one document of each group (the one
 with the least doc_id), decontamination drops documents that hold a benchmark item, mixing repeats or leaves out
 documents so that sources come near their targets, and sharding adds each row's shard and slot.
+
+Stages decide per row: the join, decontamination and mixing give every row a key of its own first, so rows that share a
+doc_id or have none are judged one by one.
 """
 
 from __future__ import annotations
@@ -15,6 +18,11 @@ from kinfold.llm import decontaminate, mixing, ngram_join, quality, sharding
 from kinfold.llm._store import stored
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a key of their own, ``_nr``, written so that it stays the same."""
+    return stored(docs.withColumn("_nr", F.monotonically_increasing_id()), name)
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents whose score is under the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,25 +31,31 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each component the document with the least doc_id stays; so do all without shingles or doc_id."""
-    found = ngram_join.near_duplicates(docs)
-    gone = stored(found.where((F.col("n_shingles") > 0) & (F.col("doc_id") > F.col("component_id"))).select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 10: of each component one row of the least doc_id stays (a null one last); so do all without shingles."""
+    docs = _numbered(docs, "pipeline-join-rows")
+    found = ngram_join.near_duplicates(docs.select(F.col("_nr").alias("doc_id"), "text")).where("n_shingles > 0")
+    ranked = found.select(F.col("doc_id").alias("_nr"), "component_id").join(docs.select("_nr", "doc_id"), "_nr")
+    ranked = stored(ranked.withColumn("_rank", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_nr"))), "pipeline-ranks")
+    first = ranked.groupBy("component_id").agg(F.min("_rank").alias("_first"))
+    gone = stored(ranked.join(first, "component_id").where(F.col("_nr") != F.col("_first._nr")).select("_nr"), "pipeline-copies")
+    return docs.join(gone, "_nr", "left_anti").drop("_nr")
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that hold a benchmark item go."""
-    held = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stored(held.select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 8: rows that hold a benchmark item go."""
+    docs = _numbered(docs, "pipeline-leak-rows")
+    held = decontaminate.contaminated(docs.select(F.col("_nr").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = stored(held.select(F.col("doc_id").alias("_nr")).distinct(), "pipeline-leaks")
+    return docs.join(gone, "_nr", "left_anti").drop("_nr")
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: every document as often as its words are taken, rounded; so a partly taken one counts from half."""
-    sized = stored(mixing.sizes(docs.select("doc_id", "source", "text")).drop("text"), "pipeline-sizes")
-    taken = mixing.mix(sized).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    taken = stored(taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies")).where("_copies > 0"), "pipeline-taken")
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Operator 6: every row as often as its words are taken, rounded; so a partly taken one counts from half."""
+    docs = _numbered(docs, "pipeline-mix-rows")
+    sized = stored(mixing.sizes(docs.select("_nr", "doc_id", "source", "text")).drop("text"), "pipeline-sizes")
+    taken = mixing.mix(sized, order=("doc_id", "_nr")).where("taken > 0").select("_nr", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    taken = stored(taken.where("_copies > 0"), "pipeline-taken")
+    return docs.join(taken, "_nr").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_nr", "_copies", "_copy")
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -365,3 +365,22 @@ def test_pipeline_stages(spark, sf_dir):
     assert set(times) <= ids(d) and max(times.values()) == 2
     assert f.count() == e.count() and f.select("shard", "slot").distinct().count() == f.count()
     json.dumps(p.ORACLE_SQL)
+
+
+def test_stages_decide_per_row(spark, sf_dir):
+    """Null and repeated doc_id: equal rows, a second text under one doc_id, rows without one."""
+    import corpus_pipeline as p
+
+    texts = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(6)]
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first()["text"]
+    schema = "doc_id long, text string, source string"
+    frame = lambda rows: spark.createDataFrame([(*r, "s") for r in rows], schema)
+    kept = lambda stage, rows: sorted(((r[0], r[1]) for r in stage(spark, frame(rows), sf_dir).collect()), key=repr)
+    rows = [(1, texts[0])] * 3 + [(2, texts[0]), (2, texts[1]), (None, texts[0]), (None, texts[2]), (None, texts[2]), (3, "")]
+    assert kept(p.stage_ngram_join, rows) == sorted([(1, texts[0]), (2, texts[1]), (None, texts[2]), (3, "")], key=repr)
+    rows = [(1, leak), (1, texts[0]), (None, leak), (None, texts[1])]
+    assert kept(p.stage_decontamination, rows) == sorted([(1, texts[0]), (None, texts[1])], key=repr)
+    rows = [(None if i % 3 == 0 else 7, f"m{i} " + "word " * 20) for i in range(60)]
+    sized = mixing.sizes(frame(rows)).withColumn("_nr", F.monotonically_increasing_id())
+    taken = mixing.mix(sized, order=("doc_id", "_nr")).select("doc_id", "text", F.round(F.col("taken") / F.col("size")).cast("int").alias("n")).collect()
+    assert kept(p.stage_mixing, rows) == sorted([(r[0], r[1]) for r in taken for _ in range(r[2])], key=repr) and any(r[0] is None and r[2] for r in taken)
