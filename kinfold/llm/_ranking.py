@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 20_000
-
 
 def buckets_for(rows: int) -> int:
-    return max(1, -(-rows // ROWS_PER_BUCKET))
+    """As many buckets as a bucket has rows: the rows of one bucket and the sums of all are both few."""
+    return max(1, math.isqrt(rows))
 
 
 def prefix_sum(df: DataFrame, group: str, order: list[Column], value: Column, out: str, buckets: int) -> DataFrame:

@@ -1,20 +1,24 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks (DataFrame functions only).
 
-Slot j of the schedule takes the j-th van der Corput point; the source whose interval of cumulative targets holds the
-point owns the slot. A source's slots are ranked; rank r takes its block r modulo its number of blocks, cut from the
-source's documents in hash order, so a source is passed over again only after all of it was used. The number of slots
-is a power of two, so each source gets its share of them to within one or two; the last block is cut at the target.
+The schedule has a power of two of slots, each worth ``width`` words (``BLOCK_WORDS`` at most). Slot j takes the j-th van
+der Corput point; the source whose interval of cumulative targets holds the point owns the slot. A source's slots are
+ranked in the schedule's order, and rank r is joined to the r-th block of ``width`` words of the source's shuffled line: its
+documents in hash order, one after the other, repeated ``passes`` times. What a document gives to the mix is what the
+slots of its blocks take, and nothing else: a source comes within two blocks of its target, and blocks beyond the last
+pass are not there to be taken. ``first_slot`` is the slot that takes a document's words first (its place in the mix).
 
 Defined cases: size is the number of words; null and empty texts have size 0 and are never taken; a null source is a
-source of its own, after all others; repeated rows are rows like any other; an empty table gives an empty result;
-clashing extra columns are replaced. Equal inputs give equal results.
+source of its own, after all others; rows are laid in the order of a hash of (doc_id, size, text), so reruns and other
+row orders give equal results; null and repeated doc_ids are rows like any other, and rows equal in all of that can't be
+told apart, so it doesn't matter which comes first; an empty table gives an empty result; clashing extra columns are
+replaced.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm._ranking import buckets_for, prefix_sum
@@ -24,16 +28,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 PASSES = 2
-#: Words of a block at most; at least half of it.
+#: Words of a slot at most; more than half of it, but for mixes of few words.
 BLOCK_WORDS = 96
+#: Points of the line that one owner lookup compares.
+CELL_BITS = 4
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.drop("size").withColumn("size", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
+    """Add size and, for the order of rows, a hash of the text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.drop("size", "text_hash").withColumns({"size": F.regexp_count(body, F.lit(WORD)).cast("long"), "text_hash": F.xxhash64(body)})
 
 
 def targets(rows: DataFrame, source: str = "source", weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """One row per source: source_size, weight, target, and where its targets begin on the common line.
+    """One row per source: source_size, weight, target, and where its targets begin and end on the common line.
 
     Weights go to the sources by code point, null last, repeating. A target stops at ``passes`` times the source's
     size and the excess goes to the others by weight until none is above: with sources sorted by size/weight, the
@@ -54,61 +62,77 @@ def targets(rows: DataFrame, source: str = "source", weights=WEIGHTS, share: flo
     line = line.withColumn("_level", F.max("_level").over(everywhere))
     line = line.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_level"), F.lit(float("inf"))) * F.col("weight")))
     line = line.withColumn("_end", F.sum("target").over(Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
-    return line.select(source, "source_size", "weight", "target", "_i", (F.col("_end") - F.col("target")).alias("_begin"), "_end")
+    line = line.withColumn("_begin", F.coalesce(F.lag("_end").over(Window.orderBy("_i")), F.lit(0.0)))
+    return line.select(source, "source_size", "weight", "target", "_i", "_begin", "_end")
 
 
-def mix(rows: DataFrame, source: str = "source", order: tuple[str, ...] = ("doc_id",), **how) -> DataFrame:
-    """Add source_size, target and taken to rows that carry ``size``."""
+def van_der_corput(slot: Column, digits: int) -> Column:
+    """The slot's point in base 2, as a multiple of 1/2^digits: its bits in reverse."""
+    table = F.lit([int(f"{b:08b}"[::-1], 2) for b in range(256)]).cast("array<bigint>")
+    octets = -(-digits // 8)
+    out = None
+    for j in range(octets):
+        turned = F.element_at(table, (F.shiftrightunsigned(slot, 8 * j).bitwiseAND(F.lit(255)) + 1).cast("int"))
+        part = F.shiftleft(turned, 8 * (octets - 1 - j))
+        out = part if out is None else out.bitwiseOR(part)
+    return F.shiftrightunsigned(out, 8 * octets - digits)
+
+
+def schedule(spark: SparkSession, plan: DataFrame, digits: int, width: float, points=van_der_corput) -> DataFrame:
+    """(slot, _i, rank): the owner of each of 2^digits slots, and the slot's rank among its owner's.
+
+    Points are multiples of 1/2^digits, so an owner's interval is a range of whole numbers; where one ends the next begins.
+    Ranges and points meet in cells of 2^CELL_BITS points, so a lookup compares few ranges whatever the number of sources.
+    """
+    last = plan.agg(F.max("_i")).first()[0]
+    edge = lambda c: F.least(F.lit(1 << digits), F.greatest(F.lit(0), F.ceil(F.col(c) / width - 0.5))).cast("long")  # noqa: E731  the first point at or above
+    ranges = plan.select("_i", edge("_begin").alias("_lo"), F.when(F.col("_i") == last, F.lit(1 << digits)).otherwise(edge("_end")).alias("_hi")).where("_lo < _hi")
+    wide = max(CELL_BITS, digits // 2)
+    ranges = ranges.withColumn("_wide", F.explode(F.sequence(F.shiftright("_lo", wide), F.shiftright(F.col("_hi") - 1, wide))))
+    first = F.greatest(F.shiftright("_lo", CELL_BITS), F.shiftleft("_wide", wide - CELL_BITS))
+    final = F.least(F.shiftright(F.col("_hi") - 1, CELL_BITS), F.shiftleft(F.col("_wide") + 1, wide - CELL_BITS) - 1)
+    ranges = ranges.select("_i", "_lo", "_hi", F.explode(F.sequence(first, final)).alias("_cell"))
+    slots = spark.range(1 << digits).select(F.col("id").alias("slot"), points(F.col("id"), digits).alias("_point")).withColumn("_cell", F.shiftright("_point", CELL_BITS))
+    owned = slots.join(ranges, "_cell").where("_point >= _lo and _point < _hi").select("slot", "_i")
+    # Ranks in the schedule's order: counts of (source, stretch of slots) first, so that no source is in one place.
+    dealt = owned.withColumn("_stretch", F.shiftright("slot", -(-digits // 2)))
+    counted = dealt.groupBy("_i", "_stretch").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_i").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select("_i", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_i", "_stretch").orderBy("slot"))
+    return dealt.withColumn("_in", inside).join(counted, ["_i", "_stretch"]).select("slot", "_i", (F.col("_base") + F.col("_in") - 1).alias("rank"))
+
+
+def mix(rows: DataFrame, source: str = "source", order: tuple[str, ...] = ("doc_id", "size", "text_hash"), points=van_der_corput, **how) -> DataFrame:
+    """Add source_size, target, taken and first_slot to rows that carry ``size``; of ``order``, columns that are there."""
     spark = rows.sparkSession
-    rows = rows.drop("source_size", "target", "taken")
+    rows = rows.drop("source_size", "target", "taken", "first_slot")
     passes = how.get("passes", PASSES)
     plan = stored(targets(rows, source, **how), "mix-targets")
     count, want = rows.count(), plan.agg(F.sum("target")).first()[0] or 0.0
+    nothing = {"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}
+    if not want:  # no words at all
+        return rows.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0)} | nothing)
     digits = max(1, math.ceil(math.log2(max(2.0, want / BLOCK_WORDS))))
-    slots_all = 1 << digits
-    block = max(1, math.ceil(want / slots_all))
-
-    # The schedule: slot -> source, ranked within its source.
-    point = F.conv(F.reverse(F.lpad(F.bin("slot"), digits, "0")), 2, 10).cast("long")
-    slots = spark.range(slots_all).withColumnRenamed("id", "slot").withColumn("_at", (point + 0.5) / slots_all * want)
-    ends = plan.where("target > 0").select("_i", "_begin", "_end")
-    few = [(r["_i"], r["_end"]) for r in ends.orderBy("_i").collect()] if ends.count() <= 4096 else None
-    if few is not None:  # so few sources that their ends fit an array: find the first end above the point
-        if not few:  # no words at all
-            return rows.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")})
-        limits, owner = F.lit([e for _, e in few]), F.lit([i for i, _ in few])
-        spot = F.least(F.size(F.filter(limits, lambda e: e <= F.col("_at"))), F.lit(len(few) - 1)) + 1
-        owned = slots.select("slot", F.element_at(owner, spot).alias("_i"))
-    else:  # many sources: both sides cut into equal stretches of the line, then compared inside each
-        cell = want / 4096
-        spread = ends.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_begin") / cell), F.floor(F.col("_end") / cell))))
-        owned = slots.withColumn("_cell", F.floor(F.col("_at") / cell)).join(spread, "_cell").where("_at >= _begin and _at < _end").select("slot", "_i")
-    ranked = prefix_sum(owned, "_i", [F.col("slot")], F.lit(1).cast("long"), "_rank", buckets_for(slots_all))
-    tally = plan.where("target > 0").select("_i", "source_size", "target").withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    tally = tally.withColumn("_need", (whole * F.col("_blocks") + F.ceil((F.col("target") - whole * F.col("source_size")) / block)).cast("long"))
-    # Where rounding leaves a source short of slots, the missing few follow at the schedule's end.
-    short = tally.join(owned.groupBy("_i").agg(F.count("*").alias("_got")), "_i", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).where("_need > _got")
-    ranked = ranked.select("_i", "_rank").unionByName(short.select("_i", F.explode(F.sequence("_got", F.col("_need") - 1)).alias("_rank")))
-    pass_ = (F.col("_rank") / F.col("_blocks")).cast("long")
-    used = ranked.join(tally, "_i").withColumn("_left", F.floor(F.col("target") + 1e-6 - pass_ * F.col("source_size") - (F.col("_rank") % F.col("_blocks")) * block))
-    used = used.where((F.col("_left") > 0) & (F.col("_rank") < F.col("_need"))).select("_i", (F.col("_rank") % F.col("_blocks")).alias("_block"), F.least(F.col("_left"), F.lit(block)).cast("long").alias("_words"))
-    used = used.groupBy("_i", "_block").agg(F.collect_list("_words").alias("_uses"))  # at most `passes` of them
-
-    # Documents on their source's line, in hash order, cut where blocks end.
+    width = want / (1 << digits)
+    slots = schedule(spark, plan, digits, width, points)
+
+    # Documents on their source's line, in hash order; per pass, the blocks that hold their words.
     known = rows.join(plan.select(F.col(source).alias("_src"), "_i", "source_size", "target"), F.col(source).eqNullSafe(F.col("_src"))).drop("_src")
-    known = known.withColumn("_row", F.struct(*[F.col(c) for c in order]))
-    laid = prefix_sum(known, "_i", [F.col(c) for c in order], F.col("size"), "_from", buckets_for(count))
-    laid = laid.withColumn("_key", F.struct(F.col("_i"), F.col("_from"), F.col("size")))
-    pieces = laid.where("size > 0").select("_i", "_from", "size", F.explode(F.sequence((F.col("_from") / block).cast("long"), ((F.col("_from") + F.col("size") - 1) / block).cast("long"))).alias("_block"))
-    pieces = pieces.withColumns({"_a": F.greatest(F.lit(0), F.col("_from") - F.col("_block") * block), "_z": F.least(F.lit(block), F.col("_from") + F.col("size") - F.col("_block") * block)})
-    got = pieces.join(used, ["_i", "_block"])
-    overlap = F.aggregate("_uses", F.lit(0).cast("long"), lambda acc, w: acc + F.greatest(F.lit(0).cast("long"), F.least(w, F.col("_z")) - F.col("_a")))
-    taken = got.withColumn("_t", overlap).groupBy("_i", "_from").agg(F.sum("_t").alias("taken"))  # (_i, _from) names a row of size > 0
+    laid = prefix_sum(known, "_i", [F.col(c) for c in order if c in rows.columns], F.col("size"), "_from", buckets_for(count))
+    laid = stored(laid, "mix-line")
+    again = laid.where("size > 0").select("_i", "_from", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("_pass"))
+    again = again.select("_i", "_from", (F.col("_from") + F.col("_pass") * F.col("source_size")).alias("_a"), "size").withColumn("_z", F.col("_a") + F.col("size"))
+    begin = lambda r: F.floor(r * F.lit(width))  # noqa: E731  where block r begins
+    # The block of a word: rounding can be off by one, so one more on each side; those that hold none of it give 0.
+    near = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("_a") / width) - 1), F.floor(F.col("_z") / width) + 1)
+    pieces = again.select("_i", "_from", "_a", "_z", F.explode(near).alias("rank"))
+    pieces = pieces.withColumn("_words", F.least(F.col("_z"), begin(F.col("rank") + 1)) - F.greatest(F.col("_a"), begin(F.col("rank")))).where("_words > 0")
+    taken = pieces.join(slots, ["_i", "rank"]).groupBy("_i", "_from").agg(F.sum("_words").alias("taken"), F.min("slot").alias("first_slot"))  # (_i, _from) names a row of size > 0
     out = laid.withColumn("_pos", F.when(F.col("size") > 0, F.col("_from"))).join(taken.withColumnRenamed("_from", "_pos"), ["_i", "_pos"], "left")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_i", "_pos", "_from", "_key", "_row")
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_i", "_pos", "_from")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sizes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).drop("text")
-    return mix(stored(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(stored(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")

@@ -79,3 +79,32 @@ def syncmer_words(words, k, s, h):
         if min(inner) in (inner[0], inner[-1]):
             out.append(i)
     return out
+
+
+def mixed(line, targets, passes=2, block_words=96, points=None):
+    """[taken, first slot] of each row of {source: [sizes in the line's order]}, {source: target} in the sources' order."""
+    want = sum(targets.values())
+    slots = 2
+    while want / slots > block_words:
+        slots *= 2
+    digits, width = slots.bit_length() - 1, want / slots
+    points = points or (lambda j: int(f"{j:0{digits}b}"[::-1], 2))
+    used, out = Counter(), {s: [[0, None] for _ in own] for s, own in line.items()}
+    for j in range(slots):
+        at, end = (points(j) + 0.5) * width, 0.0
+        for s, t in targets.items():
+            end += t
+            if at < end:
+                break
+        r = used[s]
+        used[s] += 1
+        a, z, size = math.floor(r * width), math.floor((r + 1) * width), sum(line[s])
+        for p in range(passes):
+            begin = p * size
+            for row, n in zip(out[s], line[s], strict=True):
+                both = min(z, begin + n) - max(a, begin)
+                if both > 0:
+                    row[0] += both
+                    row[1] = j if row[1] is None else row[1]
+                begin += n
+    return out

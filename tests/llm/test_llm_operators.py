@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import json
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -9,11 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brute import WORD, lm_scores as plain_lm, water_fill
+from brute import WORD, lm_scores as plain_lm, mixed as mixed_plainly, water_fill
 from kinfold.llm import chat_format, decontaminate, fingerprint, lm_score, mixing, quality, queries, sharding, token_counts, url_filter
 from kinfold.llm._graph import components
 from kinfold.llm._kernel import slices, words
-from kinfold.llm._ranking import prefix_sum
+from kinfold.llm._ranking import buckets_for, prefix_sum
 from oracle import compare
 
 DOCS = "doc_id long, text string"
@@ -228,6 +229,55 @@ def test_mixing_edges(spark):
     assert [x["size"] for x in sized] == [len(WORD.findall(t or "")) for t in TEXTS]
 
 
+@pytest.mark.parametrize("points", ["van der Corput", "in order", "golden ratio"])
+def test_mixing_follows_its_schedule(spark, points):
+    """Against a plain schedule; another sequence of points gives another mix."""
+    r = random.Random(7)
+    rows = [(r.choice([None, 1, 2, i]), r.choice(["a", "b", "c", None]), r.choice([0, 3, 40, 500]), i % 90) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, text_hash long")
+    here, plain = {
+        "van der Corput": (mixing.van_der_corput, None), "in order": (lambda slot, digits: slot, lambda j: j),
+        "golden ratio": (lambda slot, digits: F.floor((slot * 0.6180339887498949) % 1.0 * (1 << digits)).cast("long"), "golden"),
+    }[points]
+    got = mixing.mix(df, points=here).withColumn("h", F.xxhash64("doc_id", "size", "text_hash")).collect()
+    sources = ["a", "b", "c", None]
+    size = [sum(n for _, s, n, _ in rows if s == x) for x in sources]
+    target = dict(zip(sources, water_fill(size, [5, 2, 1, 5], 1.5, 2), strict=True))
+    if plain == "golden":
+        slots = 1 << max(1, math.ceil(math.log2(sum(target.values()) / 96)))
+        plain = lambda j: math.floor((j * 0.6180339887498949) % 1.0 * slots)
+    buckets = buckets_for(len(rows))
+    own = {s: sorted((x for x in got if x["source"] == s), key=lambda x: (x["h"] % buckets, x["h"])) for s in sources}
+    expected = mixed_plainly({s: [x["size"] for x in o] for s, o in own.items()}, target, points=plain)
+    key = lambda x, t: (x["h"], t[0] if x["size"] else 0)  # noqa: E731  rows equal in all columns can't be told apart
+    for s in sources:
+        assert sorted(key(x, (x["taken"], x["first_slot"])) for x in own[s]) == sorted(key(x, t) for x, t in zip(own[s], expected[s], strict=True))
+        assert Counter(x["first_slot"] for x in own[s] if x["size"]) == Counter(t[1] for x, t in zip(own[s], expected[s], strict=True) if x["size"])
+    other = mixing.mix(df).collect() if points != "van der Corput" else mixing.mix(df, points=lambda slot, digits: slot * 0).collect()
+    assert Counter(map(tuple, other)) != Counter(tuple(x[:-1]) for x in got)
+    amounts = lambda rows: Counter((x["doc_id"], x["source"], x["size"], x["text_hash"], x["taken"]) for x in rows)
+    assert amounts(mixing.mix(df, points=lambda slot, digits: F.shiftright(slot, 1)).collect()) != amounts(got)  # points in half of the line only
+
+
+def test_mixing_does_not_depend_on_row_order(spark):
+    r = random.Random(8)
+    texts = ["w " * r.randrange(60) for _ in range(40)] + [None]
+    rows = [(r.choice([None, 1, 2, i]), r.choice(texts), r.choice(["a", "b"])) for i in range(200)]
+    found = []
+    for _ in range(2):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        found.append(Counter(map(tuple, mixing.mix(mixing.sizes(df)).collect())))
+    assert found[0] == found[1]
+
+
+def test_mixing_of_many_sources(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("source"), (F.lit(150) + F.col("id") % 7 * 100).cast("long").alias("size"))
+    got = mixing.mix(df).collect()
+    assert len(got) == 6000 and all(0 <= x["taken"] <= 2 * x["size"] for x in got)
+    assert all(abs(x["taken"] - x["target"]) <= 2 * mixing.BLOCK_WORDS for x in got)
+
+
 # 7
 
 
