@@ -1,13 +1,15 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer numpy network, temperature.
 
-Words are hashed into ``VOCAB`` entries, each with a sparse ternary index vector. One pass over all documents adds the
-index vectors of every word's neighbours to the word's context vector (a fixed VOCAB x DIMS table, summed over all
-tasks). A document is the mean and spread of its words' vectors with a histogram of word shapes. The network is
-fitted on the driver on at most ``TRAIN_ROWS`` labelled rows, chosen by hash, and its temperature on a fifth of them.
-Labels, lang, source and doc_id are never inputs.
-
-Defined cases: null and empty texts have all features 0 and get the score the network gives these; repeated rows get
-equal scores; a null doc_id is scored and not held out; an empty table gives an empty result; without usable labels of
+Words are hashed into ``VOCAB`` entries (a fixed table of 16 MB: words beyond the frequent ones share entries, held-out
+figures at several sizes are in the README), each with a sparse ternary index vector. One pass over all documents adds the
+index vectors of the words up to ``WINDOW`` places before and after to each word's context vector; the sums of all tasks,
+taken to unit length about their mean, are the word vectors. A document is the mean and the spread of its words' vectors,
+and nothing else. The network is fitted on the driver on at most ``TRAIN_ROWS`` labelled rows, chosen by hash, and its
+temperature on a fifth of them. Labels, lang, source and doc_id are never inputs.
+
+Defined cases: null and empty texts have all features 0 and get the score the network gives these; equal texts get equal
+scores; a null doc_id is scored and not held out; a doc_id with contradicting labels is not learned from, and one with
+several texts only from one of them (the least by its features); an empty table gives an empty result; without usable labels of
 both kinds every score is 1.0 (nothing is rejected); extra columns pass through, clashing names are replaced.
 """
 
@@ -21,47 +23,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._kernel import SPACE, _stream, mix, slices, words
+from kinfold.llm._kernel import _stream, mix, slices, words
 from kinfold.llm._store import small_batches
 
-VOCAB, DIMS, NONZERO = 2048, 64, 6
-SHAPES = 3 * 2 * 3 * 5
+VOCAB, DIMS, NONZERO, WINDOW = 1 << 16, 64, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-4
 TRAIN_ROWS = 8000
 THRESHOLD = 0.7
-POOL_DOCS = 512
+POOL_WORDS = 1 << 16
 
 
-def index_vectors() -> np.ndarray:
-    """VOCAB sparse ternary vectors, from a hash of (word, j)."""
-    out = np.zeros((VOCAB, DIMS), np.int64)
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """The NONZERO places and signs of each of VOCAB sparse ternary vectors, from a hash of (word, j)."""
     h = mix(_stream(101, VOCAB * NONZERO)).reshape(VOCAB, NONZERO)
-    for j in range(NONZERO):
-        np.add.at(out, (np.arange(VOCAB), (h[:, j] % np.uint64(DIMS)).astype(int)), np.where((h[:, j] >> np.uint64(40)) & np.uint64(1), 1, -1))
-    return out
+    return (h % np.uint64(DIMS)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.int32)
+
+
+def entries(word: np.ndarray) -> np.ndarray:
+    return (word % np.uint64(VOCAB)).astype(np.int64)
+
+
+def add_contexts(table: np.ndarray, entry: np.ndarray, doc: np.ndarray, index: tuple[np.ndarray, np.ndarray], window: int = WINDOW) -> None:
+    """Add to each word's row of ``table`` (VOCAB x DIMS) the index vectors of its neighbours in the same text."""
+    place, sign = index
+    flat = table.reshape(-1)
+    for w in range(1, window + 1):
+        same = doc[w:] == doc[:-w]
+        left, right = entry[:-w][same], entry[w:][same]
+        for j in range(NONZERO):
+            np.add.at(flat, left * DIMS + place[right, j], sign[right, j])
+            np.add.at(flat, right * DIMS + place[left, j], sign[left, j])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs = np.zeros(VOCAB * VOCAB, np.int64)
+    table, index = np.zeros((VOCAB, DIMS), np.int32), index_vectors()  # of one task: far under 2^31 each
     for _, flat, offs in slices(batches, "text"):
         h, doc, _ = words(flat, offs)
-        b = (h % np.uint64(VOCAB)).astype(np.int64)
-        same = doc[1:] == doc[:-1]
-        pairs += np.bincount((b[:-1] * VOCAB + b[1:])[same], minlength=VOCAB * VOCAB)
-    c = pairs.reshape(VOCAB, VOCAB)
-    index = index_vectors().astype(float)
-    sums = np.rint(c @ index + c.T @ index).astype(np.int64)
-    seen = np.flatnonzero(np.abs(sums).sum(1))
-    yield pa.RecordBatch.from_arrays([pa.array(seen)] + [pa.array(sums[seen, j]) for j in range(DIMS)], names=["word"] + [f"d{j}" for j in range(DIMS)])
+        add_contexts(table, entries(h), doc, index)
+    seen = np.flatnonzero(table.any(1))
+    for a in range(0, len(seen), VOCAB // 16):
+        some = seen[a : a + VOCAB // 16]
+        yield pa.RecordBatch.from_arrays([pa.array(some)] + [pa.array(table[some, j]) for j in range(DIMS)], names=["word"] + [f"d{j}" for j in range(DIMS)])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The context vectors of all words over all documents, unit length about their mean: VOCAB x DIMS on the driver."""
-    schema = "word long, " + ", ".join(f"d{j} long" for j in range(DIMS))
+    schema = "word long, " + ", ".join(f"d{j} int" for j in range(DIMS))
     sums = docs.select("text").mapInArrow(_contexts, schema).groupBy("word").agg(*[F.sum(f"d{j}").alias(f"d{j}") for j in range(DIMS)])
+    return unit(_table(sums.select("word", F.array(*[F.col(f"d{j}").cast("double") for j in range(DIMS)]).alias("v")).toArrow()))
+
+
+def _table(rows: pa.Table) -> np.ndarray:
+    """VOCAB rows at most."""
     table = np.zeros((VOCAB, DIMS))
-    for row in sums.collect():  # VOCAB rows at most
-        table[row[0]] = row[1:]
+    if rows.num_rows:
+        table[rows.column("word").to_numpy()] = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, DIMS)
+    return table
+
+
+def unit(table: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(table, axis=1, keepdims=True)
     table = table / np.maximum(length, 1e-9)
     used = length[:, 0] > 0
@@ -71,48 +91,28 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return table.astype(np.float32)
 
 
-def _shapes(flat: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
-    """The shape of each word: capitals, digits, punctuation, length."""
-    solid = ~SPACE[flat]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    bound = offs[:-1][offs[:-1] < len(flat)]
-    first[bound] = solid[bound]
-    starts = np.flatnonzero(first)
-    if not n:
-        return np.zeros(0, np.int64)
-    upper = ((flat >= 65) & (flat <= 90)).astype(np.int16)
-    digit = ((flat >= 48) & (flat <= 57)).astype(np.int16)
-    punct = ((flat > 32) & (flat < 127) & ~((flat | 32) >= 97) | (flat >= 123) & (flat < 127)).astype(np.int16) - digit
-    size = np.add.reduceat((solid & ((flat & 0xC0) != 0x80)).astype(np.int32), starts)
-    count = lambda x: np.add.reduceat(x.astype(np.int32), starts)
-    return ((np.minimum(count(upper), 2) * 2 + np.minimum(count(digit), 1)) * 3 + np.clip(count(punct), 0, 2)) * 5 + np.searchsorted([1, 3, 6, 10], size)
-
-
-WIDTH = 2 * DIMS + SHAPES + 3
+WIDTH = 2 * DIMS
 
 
 def features(flat: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    h, doc, per = words(flat, offs)
-    b, shape = (h % np.uint64(VOCAB)).astype(np.int64), _shapes(flat, offs, len(h))
-    out = np.zeros((len(per), WIDTH), np.float32)
-    ends = np.concatenate([[0], np.cumsum(per)])
-    squares = vectors**2
-    for a in range(0, len(per), POOL_DOCS):
-        z = min(len(per), a + POOL_DOCS)
-        own = slice(ends[a], ends[z])
-        d = doc[own].astype(np.int64) - a
-        bag = np.bincount(d * VOCAB + b[own], minlength=(z - a) * VOCAB).reshape(z - a, VOCAB).astype(np.float32)
-        forms = np.bincount(d * SHAPES + shape[own], minlength=(z - a) * SHAPES).reshape(z - a, SHAPES)
-        n = np.maximum(per[a:z], 1)[:, None]
-        mean = bag @ vectors / n
-        out[a:z, :DIMS] = mean
-        out[a:z, DIMS : 2 * DIMS] = np.sqrt(np.maximum(bag @ squares / n - mean**2, 0))
-        out[a:z, 2 * DIMS : 2 * DIMS + SHAPES] = forms / n
-        out[a:z, -3] = np.log1p(per[a:z])
-        out[a:z, -2] = (bag > 0).sum(1) / n[:, 0]
-        out[a:z, -1] = (bag**2).sum(1) / n[:, 0] ** 2
-    return out
+    """Mean and spread of each text's word vectors; pieces are cut at the same places in equal texts, so sums are equal too."""
+    h, _, per = words(flat, offs)
+    entry, ends = entries(h), np.cumsum(per)
+    sums, squares = np.zeros((len(per), DIMS)), np.zeros((len(per), DIMS))
+    a = 0
+    while a < len(per):
+        begin = ends[a] - per[a]
+        z = max(a + 1, int(np.searchsorted(ends, begin + POOL_WORDS, "right")))
+        some = a + np.flatnonzero(per[a:z])
+        for at in range(begin, ends[z - 1], POOL_WORDS):  # one piece, or several of one long text
+            v = vectors[entry[at : min(at + POOL_WORDS, ends[z - 1])]].astype(np.float64)
+            cut = np.maximum(ends[some] - per[some] - at, 0)
+            sums[some] += np.add.reduceat(v, cut, axis=0)
+            squares[some] += np.add.reduceat(v * v, cut, axis=0)
+        a = z
+    n = np.maximum(per, 1)[:, None]
+    mean = sums / n
+    return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean**2, 0))], 1).astype(np.float32)
 
 
 @dataclass
@@ -190,10 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     """Word vectors from all documents, and the network from at most ``train_rows`` labelled rows that aren't held out."""
     small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of 12 bytes
-    rows = sample.mapInArrow(_features_of(vectors), "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(2 * train_rows).collect()
+    rows = sample.mapInArrow(_features_of(vectors), "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # train_rows at most
     if not rows:
         return vectors, None
     return vectors, fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["quality"] for r in rows]))

@@ -157,6 +157,61 @@ def test_quality_edges(spark):
     assert quality.score(d.limit(0), *quality.train(d.limit(0), labels)).count() == 0
 
 
+def test_quality_comes_through_the_vectors(spark):
+    """Held-out accuracy on sf0.1, and the base rate with all vectors 0."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    d = d.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi").cache()
+    vectors, net = quality.train(d, labels)
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    own = [r for r in quality.score(d, vectors, net).where(quality.held_out(F.col("doc_id"))).select("doc_id", "score").collect()]
+    right = sum((r["score"] >= quality.THRESHOLD) == truth[r["doc_id"]] for r in own) / len(own)
+    assert len(own) > 900 and right >= 0.97
+    x = np.zeros((len(truth), quality.WIDTH), np.float32)
+    flat_ = quality.fit(x, np.array(list(truth.values())))
+    assert np.ptp(flat_.score(x)) < 1e-9 and abs(flat_.score(x)[0] - np.mean(list(truth.values()))) < 0.1
+    batch = pa.record_batch({"text": pa.array(["some words of a text", "&&& ### more", None])})
+    (_, flat, offs), = slices(iter([batch]), "text")
+    assert not quality.features(flat, offs, np.zeros_like(vectors)).any()
+
+
+def test_context_vectors_equal_plain_sums(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randrange(30))) for _ in range(40)] + [None, ""]
+    place, sign = quality.index_vectors()
+    expected = np.zeros((quality.VOCAB, quality.DIMS))
+    for t in texts:
+        (_, flat, offs), = slices(iter([pa.record_batch({"text": pa.array([t], pa.string())})]), "text")
+        e = quality.entries(words(flat, offs)[0]).tolist()
+        for i, j in itertools.permutations(range(len(e)), 2):
+            if abs(i - j) <= quality.WINDOW:
+                for p, s in zip(place[e[j]], sign[e[j]], strict=True):
+                    expected[e[i], p] += s
+    assert np.allclose(quality.word_vectors(docs(spark, texts)), quality.unit(expected), atol=1e-6)
+
+
+def test_pooling_equals_plain_means(monkeypatch):
+    vectors = np.random.default_rng(1).normal(size=(quality.VOCAB, quality.DIMS)).astype(np.float32)
+    texts = ["a b c", None, "a b c", "x " * 50, "", "y z " * 9, "a b c"]
+    (_, flat, offs), = slices(iter([pa.record_batch({"text": pa.array(texts)})]), "text")
+    whole = quality.features(flat, offs, vectors)
+    for most in (1, 7, 1 << 16):
+        monkeypatch.setattr(quality, "POOL_WORDS", most)
+        got = quality.features(flat, offs, vectors)
+        assert (got[0] == got[2]).all() and (got[0] == got[6]).all() and np.allclose(got, whole, atol=1e-5)
+    for i, t in enumerate(texts):
+        (_, f, o), = slices(iter([pa.record_batch({"text": pa.array([t], pa.string())})]), "text")
+        v = vectors[quality.entries(words(f, o)[0])]
+        assert np.allclose(whole[i], np.concatenate([v.mean(0), v.std(0)]) if len(v) else 0, atol=1e-4)
+
+
+def test_contradicting_labels_are_left_out(spark):
+    d = docs(spark, ["good words here"] * 30 + ["### $$$"] * 30).union(docs(spark, ["another text"]))
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)] + [(0, 0), (31, 1)], "doc_id long, quality int")
+    scored = {r["text"]: r["score"] for r in quality.score(d, *quality.train(d, labels)).collect()}
+    assert scored["good words here"] > 0.7 > scored["### $$$"]
+
+
 # 5
 
 
