@@ -1,22 +1,26 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 Documents are dealt into chunks of a few megabytes. A chunk's n-grams are exploded and pre-aggregated to (n-gram hash,
-count); these are dealt by hash to the parts of the count table, where counts of all chunks are added; the totals go
-back to the chunks that asked, are joined to the chunk's exploded n-grams, and summed per document.
+count); these are dealt by hash to the parts of the count table, where counts of all chunks are added. Each part joins its
+table to the n-grams that chunks asked for, and the totals go back to the chunks, are joined to their exploded n-grams, and
+summed per document. An n-gram counted ``MIN_COUNT`` times or more consists of shorter ones that are counted as often, so
+from three words on only n-grams whose two shorter ones are that frequent are sent at all; the others' counts are never read.
 
 S(w | context) = c(context w) / c(context) where c(context w) >= ``MIN_COUNT``, else ``BACKOFF`` * S(w | shorter context);
-for single words c(w) / N. Counts cover all documents. N-grams are told apart by a hash of 18 bits more than the input's
-bytes take, so at any size under two n-grams in a million share theirs (their counts add up). Log scores are natural and summed over a text's words.
+for single words c(w) / N. Counts cover all documents, a document's own words included. N-grams are told apart by a 62-bit
+hash at every size (of their words' 64-bit hashes; in a corpus of 10^12 n-grams one in four million shares its own, and the counts
+add up). Log scores are natural and summed over a text's words.
 
 Defined cases: null texts and texts without words have 0 tokens, log score 0 and no mean; a text's first words have
-shorter contexts; repeated rows are scored and counted each; a null doc_id is scored; an empty table gives an empty
-result; extra columns are ignored.
+shorter contexts; repeated rows are scored and counted each; a null doc_id is scored; a very long text is a chunk with
+few others, and takes memory in proportion; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +28,15 @@ from kinfold.llm._kernel import _stream, mix, text_buffer, words
 from kinfold.llm._store import small_batches
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-CHUNK_BYTES = 4 << 20
+BITS = 62
+CHUNK_BYTES = 8 << 20
 PART_GRAMS = 1_000_000
 
 _PLACE = _stream(211, 16) | np.uint64(1)
 _EMPTY = np.uint64(1)  # the n-gram of no words: counts all words
 
 
-def hash_bits(size: int) -> int:
-    return min(62, 18 + max(1, size).bit_length())
-
-
-def grams(word: np.ndarray, doc: np.ndarray, n: int, bits: int) -> np.ndarray:
+def grams(word: np.ndarray, doc: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
     """Hash (2 or more) of the n words that end at each word; 0 where the text has fewer before it."""
     total = np.full(len(word), n, np.uint64)
     inside = np.ones(len(word), bool)
@@ -74,73 +75,142 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _chunk_grams(table: pa.Table, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    flat, offs = text_buffer(table.column("text"))
-    with np.errstate(over="ignore"):
-        word, doc, per = words(flat, offs)
-        return [grams(word, doc, n, bits) for n in range(1, order + 1)], word, doc, per
+ASKED = "part long, chunk long, n long, hashes binary, counts binary"
+ANSWERS = "chunk long, level int, part long, n long, totals binary"
+
+
+def _asked(chunk: int, value: np.ndarray, count: np.ndarray, parts: int) -> pa.Table:
+    """One chunk's (n-gram, count) rows, rising, by ranges of hashes."""
+    edges = np.array([(p << BITS) // parts for p in range(1, parts)], np.uint64)
+    cut = np.concatenate([[0], np.searchsorted(value, edges), [len(value)]])
+    some = np.flatnonzero(np.diff(cut))
+    return pa.table({
+        "part": pa.array(some, pa.int64()), "chunk": pa.array([chunk] * len(some), pa.int64()), "n": pa.array(np.diff(cut)[some], pa.int64()),
+        "hashes": pa.array([pack(value[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+        "counts": pa.array([pack_counts(count[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
+    })
+
+
+class Chunk:
+    """A chunk's words, and what is known so far of the counts of the n-grams that end at each."""
+
+    def __init__(self, texts: pa.Table, min_count: int):
+        flat, offs = text_buffer(texts.column("text"))
+        with np.errstate(over="ignore"):
+            self.word, self.doc, self.per = words(flat, offs)
+        self.min_count, self.total, self.counts = min_count, 0.0, []
+
+    def grams(self, n: int) -> np.ndarray:
+        """The n-grams to be counted, 0 where there is none or where shorter ones say that it is too rare to matter."""
+        with np.errstate(over="ignore"):
+            out = grams(self.word, self.doc, n)
+        if n > 2:
+            often = self.counts[n - 2] >= self.min_count
+            out[~often] = 0
+            out[1:][~often[:-1]] = 0
+        return out
+
+    def asks(self, level: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of level 1 the n-grams of one and two words, of level k those of k + 1 words: the distinct ones, and those at each word."""
+        own = [self.grams(1), self.grams(2)] if level == 1 else [self.grams(level + 1)]
+        every = np.concatenate([g[g > 0] for g in own])
+        return (np.append(_EMPTY, every) if level == 1 else every), own
+
+    def learn(self, level: int, answers: pa.Table) -> None:
+        """Join the totals of a level, which come in the order of its distinct n-grams, to the n-grams at each word."""
+        own = answers.filter(pc.equal(answers.column("level"), level))
+        told, n = own.column("totals").to_pylist(), own.column("n").to_pylist()
+        rising = np.argsort(np.array(own.column("part").to_pylist(), np.int64)).tolist()
+        total = np.concatenate([unpack_counts(told[i], n[i]) for i in rising]) if rising else np.zeros(0, np.int64)
+        if level == 1:
+            self.total, total = float(total[0]), total[1:]
+        at = self.asks(level)[1]
+        every = np.concatenate(at)
+        order = np.argsort(every)
+        ranked = every[order]
+        fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        none = int(len(ranked) and ranked[0] == 0)
+        which = np.cumsum(fresh) - 1 - none  # the n-th distinct n-gram; -1: no n-gram
+        dealt = np.zeros(len(every))
+        some = which >= 0
+        dealt[order[some]] = total[which[some]]
+        self.counts += np.split(dealt, len(at))
+
 
+def _levels(order: int) -> range:
+    return range(1, max(1, order - 1) + 1)
 
-def _ask(parts: int, order: int, bits: int):
+
+def _ask(parts: int, min_count: int):
     def run(table: pa.Table) -> pa.Table:
-        by_order, word, _, _ = _chunk_grams(table, order, bits)
-        value, count = np.unique(np.concatenate([g[g > 0] for g in by_order]), return_counts=True)
-        value, count = np.append(_EMPTY, value), np.append(len(word), count)
-        edges = np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)  # parts are ranges of hashes
-        cut = np.concatenate([[0], np.searchsorted(value, edges), [len(value)]])
-        some = np.flatnonzero(np.diff(cut))
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({
-            "part": pa.array(some), "chunk": pa.array([chunk] * len(some), pa.int64()), "n": pa.array(np.diff(cut)[some]),
-            "hashes": pa.array([pack(value[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-            "counts": pa.array([pack_counts(count[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-        })
+        chunk = Chunk(table, min_count)
+        asked = chunk.asks(1)[0]
+        value, count = np.unique(asked, return_counts=True)
+        count[0] = len(chunk.word)
+        return _asked(table.column("chunk")[0].as_py(), value, count, parts)
+
+    return run
+
+
+def _ask_longer(level: int, parts: int, min_count: int):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _asked(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), parts)
+        chunk = Chunk(texts, min_count)
+        for known in range(1, level):
+            chunk.learn(known, answers)
+        value, count = np.unique(chunk.asks(level)[0], return_counts=True)
+        return _asked(texts.column("chunk")[0].as_py(), value, count, parts)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The count table of one range of hashes: the sum over all chunks, sent back in each chunk's order."""
+def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The count table of one range of hashes: its n-grams, their totals, and the place of each asked n-gram in it."""
     sizes = np.array(table.column("n").to_pylist(), np.int64)
     value = np.concatenate([unpack(x, n) for x, n in zip(table.column("hashes").to_pylist(), sizes.tolist(), strict=True)])
     count = np.concatenate([unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes.tolist(), strict=True)])
     order = np.argsort(value)
     ranked = value[order]
     begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    total = np.add.reduceat(count[order], begin)
-    back = np.empty(len(value), np.int64)
-    back[order] = np.repeat(total, np.diff(np.append(begin, len(value))))
-    ends = np.cumsum(sizes)
-    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "n": table.column("n"), "totals": pa.array([pack_counts(back[z - n : z]) for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())})
+    place = np.empty(len(value), np.int32)
+    place[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(value))))
+    return ranked[begin], np.add.reduceat(count[order], begin), place, sizes
+
+
+def _answer(level: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, total, place, sizes = summed(table)
+        ends = np.cumsum(sizes)
+        back = [pack_counts(total[place[z - n : z]]) for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        return pa.table({"chunk": table.column("chunk"), "level": pa.array([level] * len(sizes), pa.int32()), "part": table.column("part"), "n": table.column("n"), "totals": pa.array(back, pa.binary())})
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    value, total, _, _ = summed(table)
+    return pa.table({"gram": pa.array(value.astype(np.int64)), "count": pa.array(total)})
 
 
 SCORES = "doc_id long, n_tokens long, log_score double, mean_log_score double"
 
 
-def _score(order: int, backoff: float, min_count: int, bits: int):
+def _score(order: int, backoff: float, min_count: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({c.split()[0]: pa.array([], t) for c, t in zip(SCORES.split(", "), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        by_order, word, doc, per = _chunk_grams(texts, order, bits)
-        told, n = answers.column("totals").to_pylist(), answers.column("n").to_pylist()
-        rising = np.argsort(np.array(answers.column("part").to_pylist(), np.int64)).tolist()
-        total = np.concatenate([unpack_counts(told[i], n[i]) for i in rising]).astype(float)
-        # The totals are in the order of the chunk's distinct n-grams: sort its n-grams alike and deal them out.
-        every = np.concatenate(by_order)
-        order_ = np.argsort(every)
-        ranked = every[order_]
-        fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
-        which = np.cumsum(fresh) - (1 if len(ranked) and ranked[0] == 0 else 0)  # 0 for what is no n-gram, then from 1
-        dealt = np.empty(len(every))
-        dealt[order_] = total[which]
-        dealt[every == 0] = 0.0
-        count = [np.full(len(word), total[0]), *np.split(dealt, order)]
+        chunk = Chunk(texts, min_count)
+        for level in _levels(order):
+            chunk.learn(level, answers)
+        word, doc, per, count = chunk.word, chunk.doc, chunk.per, [np.full(len(chunk.word), chunk.total), *chunk.counts]
         log = np.log(count[1] / count[0]) if len(word) else np.zeros(0)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(per) - per, per)
         for n in range(2, order + 1):  # from short contexts to long ones
+            inside = place >= n - 1
             context = np.append(0.0, count[n - 1][:-1])[: len(word)]
-            seen = (by_order[n - 1] > 0) & (count[n] >= min_count)
-            shorter = log + np.where(by_order[n - 1] > 0, np.log(backoff), 0.0)
-            log = np.where(seen, np.log(np.maximum(count[n], 1)) - np.log(np.maximum(context, 1)), shorter)
+            shorter = log + np.where(inside, np.log(backoff), 0.0)
+            log = np.where(inside & (count[n] >= min_count), np.log(np.maximum(count[n], 1)) - np.log(np.maximum(context, 1)), shorter)
         score = np.bincount(doc, log, minlength=len(per)) if len(word) else np.zeros(len(per))
         mean = np.where(per > 0, score / np.maximum(per, 1), np.nan)
         return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(per.astype(np.int64)), "log_score": pa.array(score), "mean_log_score": pa.array(mean, from_pandas=True)})
@@ -148,23 +218,38 @@ def _score(order: int, backoff: float, min_count: int, bits: int):
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """(doc_id, n_tokens, log_score, mean_log_score) of every row."""
+def _dealt(docs: DataFrame, order: int) -> tuple[DataFrame, int]:
+    """Documents by chunk, and the number of parts of the count table."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    parts = max(8, -(-size * order // (6 * PART_GRAMS)))
     body = F.coalesce(F.col("text"), F.lit(""))
-    dealt = docs.select("doc_id", body.alias("text"), F.pmod(F.xxhash64("doc_id", F.length(body)), F.lit(chunks)).cast("long").alias("chunk"))
-    bits = hash_bits(size)
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(parts, order, bits), "part long, chunk long, n long, hashes binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "chunk long, part long, n long, totals binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, backoff, min_count, bits), SCORES)
+    chunk = F.pmod(F.xxhash64("doc_id", body), F.lit(max(1, -(-size // CHUNK_BYTES)))).cast("long")
+    return docs.select("doc_id", body.alias("text"), chunk.alias("chunk")), max(8, -(-size * order // (6 * PART_GRAMS)))
+
+
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """(gram, count) of all n-grams of one and two words by their hashes; 1 is the n-gram of no words, counted at each word."""
+    dealt, parts = _dealt(docs, 2)
+    return dealt.groupBy("chunk").applyInArrow(_ask(parts, MIN_COUNT), ASKED).groupBy("part").applyInArrow(_counted, "gram long, count long")
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """(doc_id, n_tokens, log_score, mean_log_score) of every row."""
+    dealt, parts = _dealt(docs, order)
+    answers = None
+    for level in _levels(order):
+        if level == 1:
+            asked = dealt.groupBy("chunk").applyInArrow(_ask(parts, min_count), ASKED)
+        else:
+            asked = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask_longer(level, parts, min_count), ASKED)
+        told = asked.groupBy("part").applyInArrow(_answer(level), ANSWERS)
+        answers = told if answers is None else answers.unionByName(told)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, backoff, min_count), SCORES)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 6).alias("score"), F.round("log_score", 4).alias("log_sum"))
 
 
 OP1_SQL = r"""
@@ -182,6 +267,6 @@ WITH w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i
            FROM g CROSS JOIN n JOIN c1 ON c1.w = g.w
            LEFT JOIN c2 ON c2.w1 = g.w1 AND c2.w = g.w LEFT JOIN c1 x1 ON x1.w = g.w1
            LEFT JOIN c3 ON c3.w2 = g.w2 AND c3.w1 = g.w1 AND c3.w = g.w LEFT JOIN c2 x2 ON x2.w1 = g.w2 AND x2.w = g.w1)
-SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_tokens, round(coalesce(t.l, 0), 4) AS log_score, round(t.l / t.n, 6) AS mean_log_score
+SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_tokens, round(t.l / t.n, 6) AS score, round(coalesce(t.l, 0), 4) AS log_sum
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(l) AS l FROM s GROUP BY doc_id) t USING (doc_id)
 """

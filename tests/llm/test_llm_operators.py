@@ -79,6 +79,25 @@ def test_lm_scores(spark):
             assert mean == (pytest.approx(total / m, abs=1e-9) if m else None)
 
 
+@pytest.mark.parametrize("order, least", [(1, 2), (2, 2), (3, 1), (4, 2), (5, 3)])
+def test_lm_scores_of_other_orders(spark, monkeypatch, order, least):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 200)
+    r = random.Random(order)
+    texts = [" ".join(r.choice("ab") * r.randint(1, 2) for _ in range(r.randrange(25))) for _ in range(60)] + [None, "", "x " * 300]
+    df = docs(spark, texts).withColumns({"part": F.lit("clash"), "chunk": F.lit(1), "level": F.lit(2)}).unionByName(spark.createDataFrame([(None, texts[0])], DOCS), allowMissingColumns=True)
+    got = sorted((tuple(x) for x in lm_score.lm_scores(df, order=order, min_count=least).collect()), key=lambda x: (x[0] is None, x[0]))
+    plain = plain_lm([*enumerate(texts), (None, texts[0])], order=order, min_count=least)
+    for (_, n, log, _), (m, total) in zip(got, plain, strict=True):
+        assert n == m and log == pytest.approx(total, abs=1e-9)
+
+
+def test_ngram_counts(spark):
+    own = [WORD.findall(t or "") for t in TEXTS]
+    plain = Counter(tuple(w[i : i + n]) for w in own for n in (1, 2) for i in range(len(w) - n + 1))
+    got = {r["gram"]: r["count"] for r in lm_score.ngram_counts(docs(spark)).collect()}
+    assert got.pop(1) == sum(map(len, own)) and sorted(got.values()) == sorted(plain.values())
+
+
 def test_lm_packing():
     r = np.random.default_rng(1)
     for bits, n in ((62, 5), (40, 1000), (20, 1)):
