@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm._kernel import slices, text_buffer
+from kinfold.llm._store import small_batches
 
 #: The template's control strings (fixed values).
 CONTROLS = ("</s>", "<s>", "[/INST]", "[INST]")
@@ -98,6 +99,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Format (conv_id, turn, role, text) rows; mask_start and mask_length are code points of the piece's formatted text."""
+    small_batches(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_format, FORMATTED)
 

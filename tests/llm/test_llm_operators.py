@@ -138,6 +138,27 @@ def test_token_counts_of_fields(spark):
     assert token_counts.count_tokens(df.limit(0)).count() == 0
 
 
+def test_long_runs_are_cut_where_the_pattern_cuts():
+    encoding, _ = token_counts._encoder(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
+    r = random.Random(9)
+    for _ in range(300):
+        runs = ["".join(r.choice(" \n\t\u00a0\u2003\x85\r") for _ in range(r.choice([1, 2, 999, 1000, 1001, 3000]))) for _ in range(3)]
+        text = "".join(r.choice(["", "a", "word", "'s", "12", "...", "é", " x"]) + w for w in runs) + r.choice(["", "b", "\x1c", "!", "9"])
+        assert token_counts.encode(encoding, text).tolist() == encoding.encode_ordinary(text)
+
+
+def test_token_counts_of_odd_texts(spark):
+    """A million blanks, a million line feeds, one word of 10 MB; repeated rows, a null doc_id, clashing names."""
+    texts = ["a" + " " * 1_000_000 + "b", " " * 1_000_000, "x" * 10_000_000, "same", "same", "\n" * 100_000]
+    df = docs(spark, texts).unionByName(spark.createDataFrame([(None, "same")], DOCS)).withColumns({"section": F.lit("s"), "field": F.lit(7), "first_fields": F.lit(1)})
+    got = defaultdict(list)
+    for x in token_counts.count_tokens(df).collect():
+        got[x["doc_id"]].append(x)
+    assert sum(x["tokens"] for x in got[0]) == 1_000_001 and sum(x["tokens"] for x in got[1]) == 1_000_000
+    assert got[2][0]["char_end"] == 10_000_000 and len(got[5]) == 100_000
+    assert len(got[3]) == len(got[4]) == len(got[None]) == 1 and got[3][0]["tokens"] == got[None][0]["tokens"] == 1
+
+
 # 3
 
 
