@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections import Counter
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -71,6 +74,29 @@ def water_fill(sizes, weights, share, passes):
     return [target[i] if i in open_ else float(passes * sizes[i]) for i in range(len(sizes))]
 
 
+def spark_hash(*values):
+    """xxhash64 of texts and 64-bit numbers, as Spark chains it."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def anchors(text, k=6, s=2):
+    """[(first word from 1, hash)] of a text's closed syncmers."""
+    words = [spark_hash(w) for w in WORD.findall(text or "")]
+    at = syncmer_words(words, k, s, lambda w: spark_hash(*w)) if len(words) >= k else []
+    if not at:
+        return [(1, spark_hash(*words))] if words else []
+    return [(i + 1, spark_hash(*words[i : i + k])) for i in at]
+
+
+def anchor_links(found):
+    if len(found) < 2:
+        return {h for _, h in found}
+    return {(a[1], b[1], b[0] - a[0]) for a, b in zip(found, found[1:])}
+
+
 def syncmer_words(words, k, s, h):
     """Start positions of closed syncmers, given a hash of an s-word window."""
     out = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brute import WORD, lm_scores as plain_lm, mixed as mixed_plainly, water_fill
+from brute import WORD, anchor_links, anchors, lm_scores as plain_lm, mixed as mixed_plainly, spark_hash, water_fill
 from kinfold.llm import chat_format, decontaminate, fingerprint, lm_score, mixing, quality, queries, sharding, token_counts, url_filter
 from kinfold.llm._graph import components
 from kinfold.llm._kernel import slices, words
@@ -289,6 +289,77 @@ def test_next_rows(spark):
     assert fingerprint.with_next(df.limit(0), "doc_id", ["text"], ["text"]).count() == 0
 
 
+def test_anchors_equal_plain_syncmers(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(n)) for n in (0, 1, 5, 6, 7, 8, 30, 200)] + [" lead\ttail \n", None, "w " * 40, "é ü " * 30]
+    for k, s in ((6, 2), (5, 3), (7, 1)):
+        rows = fingerprint.with_anchors(docs(spark, texts).fillna(""), "text", "a", k, s).orderBy("doc_id").collect()
+        for x, t in zip(rows, texts, strict=True):
+            assert list(zip(x["a_pos"], x["a"], strict=True)) == anchors(t, k, s)
+
+
+def test_likeness_equals_plain_links(spark, sf_dir):
+    rows = queries.QUERIES["op5_fingerprints"](spark, sf_dir).collect()
+    source = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(300).collect()]
+    got, last = {r["doc_id"]: r for r in rows}, len(source) - 1
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, (d, t) in enumerate(source[:last]):
+        nxt, half = source[i + 1][1], len(t) // 2
+        edited = anchors(t[: len(t) - half] + nxt[:half])
+        own = anchors(t)
+        text = lambda found: f"{' '.join(str(p) for p, _ in found)}|{' '.join(str(h) for _, h in found)}" if found else ""
+        assert got[d]["fingerprint"] == text(own) and got[d]["edited_fingerprint"] == text(edited)
+        assert got[d]["near_edited"] == pytest.approx(share(anchor_links(own), anchor_links(edited)))
+        assert got[d]["near_next"] == pytest.approx(share(anchor_links(own), anchor_links(anchors(nxt))))
+
+
+def test_likeness_sees_order(spark):
+    r = random.Random(2)
+    blocks = [" ".join(str(r.randrange(10**6)) for _ in range(8)) for _ in range(40)]
+    texts = [" ".join(blocks), " ".join(reversed(blocks))]
+    a, b = fingerprint.with_anchors(docs(spark, texts), "text", "a").withColumn("l", fingerprint.links("a")).orderBy("doc_id").collect()
+    assert len(set(a["a"]) & set(b["a"])) > 20 and len(set(a["l"]) & set(b["l"])) < 0.5 * len(a["l"])
+
+
+def test_passages(spark):
+    r = random.Random(11)
+    w = [[str(r.randrange(10**6)) for _ in range(400)] for _ in range(4)]
+    texts = [" ".join(w[0]), " ".join(w[1][:100] + w[0][50:150] + w[1][100:]), " ".join(w[2]), "kurz", None, ""]
+    got = fingerprint.passages(docs(spark, texts).where("doc_id = 0"), docs(spark, texts)).collect()
+    (x,) = got
+    assert (x["query_id"], x["doc_id"], x["offset"]) == (0, 1, 50) and 51 <= x["first"] < 70 and 130 < x["last"] <= 150
+
+
+def test_unspaced_scripts_have_anchors(spark):
+    text = "これは長い文章ですが空白はありませんので文字ごとに見ます"
+    got = fingerprint.with_anchors(docs(spark, [text * 2, "x " + text]), "text", "a").orderBy("doc_id").collect()
+    assert len(got[0]["a"]) > 5 and set(got[1]["a"]) & set(got[0]["a"])
+
+
+def test_next_rows_of_odd_keys(spark, monkeypatch):
+    """One far-out key, a key that a third of the rows share, no key for another third; repeated rows."""
+    monkeypatch.setattr(fingerprint, "ROWS_PER_STRETCH", 10)
+    monkeypatch.setattr(fingerprint, "KNOTS", 16)
+    rows = [(i, f"t{i}") for i in range(300)] + [(10**15, "far")] + [(77, f"s{i}") for i in range(300)] + [(None, f"n{i}") for i in range(300)] + [(5, "t5")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in fingerprint.with_next(df, "doc_id", ["text"], ["text"]).select("doc_id", "text", "next_text").collect())
+    line = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, spark_hash(x[1])))
+    assert got == Counter((*a, b[1]) for a, b in zip(line, line[1:] + line[:1], strict=True))
+    stretch, least, most = fingerprint._stretch(df.withColumn("_tie", F.xxhash64("text")), "doc_id", "_tie")
+    sizes = [r["count"] for r in df.withColumn("_tie", F.xxhash64("text")).groupBy(stretch.alias("b")).count().collect()]
+    assert max(sizes) <= 60 and least < 0 < most
+
+
+def test_fingerprints_of_odd_tables(spark, monkeypatch, tmp_path):
+    texts = [None, "", "long " + "word " * 30_000, "same same", "same same", "x"]
+    df = docs(spark, texts).unionByName(spark.createDataFrame([(None, "no id")], DOCS)).withColumns({"links": F.lit(1), "a": F.lit("x"), "edited": F.lit(0)})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.op5_fingerprints(spark, str(tmp_path)).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 7 and by[0]["fingerprint"] == by[1]["fingerprint"] == "" and by[0]["near_next"] == 1.0
+    assert by[3]["fingerprint"] == by[4]["fingerprint"] != "" and by[3]["near_next"] == 1.0 and by[2]["n_chars"] == 150_005
+
+
 # 6
 
 
