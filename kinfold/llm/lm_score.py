@@ -18,6 +18,8 @@ few others, and takes memory in proportion; an empty table gives an empty result
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,26 +52,35 @@ def grams(word: np.ndarray, doc: np.ndarray, n: int, bits: int = BITS) -> np.nda
     return out
 
 
+def _squeezed(data: bytes, strategy: int) -> bytes:
+    press = zlib.compressobj(1, zlib.DEFLATED, -15, 9, strategy)
+    return press.compress(data) + press.flush()
+
+
 def pack(value: np.ndarray) -> bytes:
-    """Rising numbers as differences of as many bytes as the greatest takes (told by the length)."""
+    """Rising numbers as differences of as many bytes as the greatest takes; their top bytes, mostly small, are Huffman coded."""
     step = np.diff(value, prepend=value[:1])
     width = max(1, (int(step.max()).bit_length() + 7) // 8)
-    return value[:1].astype("<u8").tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    octets = step.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + value[:1].astype("<u8").tobytes() + octets[:, : width - 1].tobytes() + _squeezed(octets[:, width - 1].tobytes(), zlib.Z_HUFFMAN_ONLY)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
-    first, width = np.frombuffer(data, "<u8", 1)[0], (len(data) - 8) // n
+    width, first = data[0], np.frombuffer(data, "<u8", 1, 1)[0]
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(data, np.uint8, offset=8).reshape(n, width)
+    low = n * (width - 1)
+    wide[:, : width - 1] = np.frombuffer(data, np.uint8, low, 9).reshape(n, width - 1)
+    wide[:, width - 1] = np.frombuffer(zlib.decompress(data[9 + low :], -15), np.uint8)
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + first
 
 
 def pack_counts(count: np.ndarray) -> bytes:
-    """A byte each; 255 points to the next of the large ones behind them."""
-    return np.minimum(count, 255).astype("u1").tobytes() + count[count >= 255].astype("<u8").tobytes()
+    """A byte each, compressed; 255 points to the next of the large ones behind them."""
+    return _squeezed(np.minimum(count, 255).astype("u1").tobytes() + count[count >= 255].astype("<u8").tobytes(), zlib.Z_DEFAULT_STRATEGY)
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data, -15)
     out = np.frombuffer(data, "u1", n).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<u8", offset=n)
     return out
