@@ -1,17 +1,21 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
-Numbers, names and units become typed placeholders, everything else is lower-cased and cut into words. Windows of
-``WINDOW`` words of the benchmark items' templates are hash-joined with those of the documents. Where a joined window
-has placeholders, the values behind them are compared: a re-parameterised copy puts one value for each value of the
-item, everywhere. Windows with the item's own values always count; windows with other values count where the whole
-copy (document, item, offset) is free of contradiction. Windows with fewer than ``LITERALS`` plain words would fit too
-much as templates: they are compared by their words and values as they are (names as words).
-
-A document holds an item if, of the item's windows, ``COVERAGE`` or ``RUN`` (whichever is fewer, one at least) are
-found consistently. An item shorter than a window is one window of its own length.
-
-Defined cases: null and empty texts hold nothing; repeated rows of a doc_id count once; a null doc_id is never reported; empty tables give an empty result; equal items
-are all reported; clashing extra columns are ignored.
+Numbers, names (runs of capitalised words, at the beginning of a sentence too) and units become typed placeholders,
+everything else is lower-cased and cut into words. Windows of ``WINDOW`` places of the benchmark items' templates are
+hash-joined with those of the documents. Where a joined window has placeholders, the values behind them are compared: a
+re-parameterised copy puts one value for each value of the item, everywhere (different values may become the same one, and a
+name may become a longer or shorter one). Windows with the item's own values always count; windows with other values count where the
+whole copy (document, item, offset) is free of contradiction. Windows with fewer than ``LITERALS`` plain words would fit too
+much as templates and are left out of these. Beside the templates, windows of the words as they are (lower-cased) are joined
+too, so verbatim copies are found whatever their capitals, names and figures.
+
+A document holds an item if, of the item's windows of either kind, ``COVERAGE`` or ``RUN`` (whichever is fewer, one at least) are
+found consistently. An item shorter than a window is one window of its own length. ``windows`` and ``item_windows`` are those of the
+words where these suffice, else those of the templates.
+
+Defined cases: null and empty texts hold nothing; repeated rows of a doc_id count once, and of different texts under one doc_id
+each is judged alone; a null doc_id is never reported; a very long text is one row, with as many windows as words; empty tables
+give an empty result; equal items are all reported; clashing extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,41 +28,76 @@ from kinfold.llm._store import stored
 WINDOW, LITERALS, COVERAGE, RUN = 8, 3, 0.5, 6
 BROADCAST_ROWS = 500_000
 
-#: Marks of the typed placeholders, from the private use area (fixed values).
-NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+#: Marks of the typed placeholders and of a number's end, from the private use area (fixed values).
+NAME, NUMBER, UNIT, END = "\ue000", "\ue001", "\ue002", "\ue003"
+MARKS = NAME + NUMBER + UNIT + END
 
-_NAMES = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
+_NAME = r"\p{Lu}\p{Ll}{1,60}"
+_NAMES = rf"(?<![\p{{L}}\p{{N}}])({_NAME}(?: {_NAME})*)(?![\p{{L}}\p{{N}}])"
+_JOINED = rf"(?<![\p{{L}}\p{{N}}])({_NAME}(?:_{_NAME})*)(?![\p{{L}}\p{{N}}])"
 _NUMBERS = r"(?<![\p{L}\p{N}" + NAME + r"])(\p{N}+(?:[.,]\p{N}+)*)"
 _UNITS = (
     "km/h", "kg", "mg", "lbs?", "km", "cm", "mm", "ml", "miles?", "met(?:er|re)s?", "feet", "foot", "inch(?:es)?", "yards?", "lit(?:er|re)s?", "gallons?", "grams?",
     "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?", "dollars?", "euros?", "cents?", "percent", "degrees?", "[gmhsl]", "%", "€",
 )
-_CUT = r"[^\p{L}\p{N}" + NAME + NUMBER + UNIT + r"]+"
+_NO_WORD = r"[^\p{L}\p{N}]+"
 
 
-def template(text: Column, values: bool = False) -> Column:
-    """Words of the text's template; with ``values``, placeholders are followed by what they stand for."""
-    own = "$1" if values else ""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), "[" + NAME + NUMBER + UNIT + "]", " ")
-    named = F.regexp_replace(named, _NAMES, NAME + own)
-    numbered = F.regexp_replace(F.lower(named), _NUMBERS, NUMBER + own)
-    after = r"(?<=" + NUMBER + (r"[\p{N}.,]{0,40}" if values else "") + r" ?)(" + "|".join(_UNITS) + r")(?![\p{L}\p{N}])"
-    units = F.regexp_replace(numbered, after, " " + UNIT + own)
-    units = F.regexp_replace(units, r"(?<=\p{N})[.,](?=\p{N})", "_") if values else units
-    return F.filter(F.split(F.regexp_replace(units, _CUT if not values else _CUT.replace("]+", "_]+"), " "), " "), lambda w: w != "")
-
-
-def bare(found: Column) -> Column:
-    """The words without marks: whether a capital makes a name depends on what stands before it."""
-    return F.transform(found, lambda w: F.translate(w, NAME + NUMBER + UNIT, ""))
+def plain_words(text: Column) -> Column:
+    """The words as they are, lower-cased."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NO_WORD), "")
 
 
-def with_windows(df: DataFrame, text: str, window: int, keep: list[str], short: bool = False, values: bool = False) -> DataFrame:
-    """One row per window: ``keep``, pos (from 1), window_hash. ``short``: a text of fewer words is one window."""
-    words = df.select(*keep, (bare(template(F.col(text), True)) if values else template(F.col(text))).alias("_t")).withColumn("_n", F.size("_t"))
-    at = F.when(F.col("_n") >= window, F.sequence(F.lit(1), F.col("_n") - window + 1)).otherwise(F.array(F.lit(1)) if short else F.array().cast("array<int>"))
-    hashed = F.transform(at, lambda i: F.xxhash64(F.slice("_t", i, window)))
-    return words.select(*keep, F.posexplode(hashed).alias("pos", "window_hash")).withColumn("pos", F.col("pos") + 1)
+def template(text: Column, values: bool = False) -> Column:
+    """The places of the text's template; with ``values``, placeholders are followed by what they stand for (words of a name joined by ``_``)."""
+    own, end = ("$1", END) if values else ("", "")
+    clean = F.translate(F.coalesce(text, F.lit("")), MARKS + "_", " " * 5)
+    if values:  # names of several words are joined first, as later steps cut at blanks
+        clean = F.regexp_replace(clean, rf"(?<=(?<![\p{{L}}\p{{N}}]){_NAME}) (?={_NAME}(?![\p{{L}}\p{{N}}]))", "_")
+    named = F.regexp_replace(clean, _JOINED if values else _NAMES, NAME + own)
+    numbered = F.regexp_replace(F.lower(named), _NUMBERS, NUMBER + own + end + " ")
+    after = "(?<=" + (END if values else NUMBER) + " {0,2})(" + "|".join(_UNITS) + r")(?![\p{L}\p{N}])"
+    units = F.regexp_replace(numbered, after, " " + UNIT + own + " ")
+    if values:
+        units = F.regexp_replace(units, r"(?<=\p{N})[.,](?=\p{N})|(?<=" + UNIT + r"km)/(?=h)", "_")
+    cut = r"[^\p{L}\p{N}" + NAME + NUMBER + UNIT + ("_" if values else "") + "]+"
+    return F.array_remove(F.split(units, cut), "")
+
+
+def _joined_hashes(words: Column, seed: int, lengths: list[int]) -> list[Column]:
+    """For each length n the array of hashes of all windows of n words, put together from windows of powers of two."""
+    powers = {1: F.transform(words, lambda w: F.xxhash64(F.lit(seed), w))}
+    tail = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
+    head = lambda a, b: F.slice(a, 1, F.size(b))
+    pair = lambda a, b: F.zip_with(head(a, b), b, lambda x, y: F.xxhash64(x, y))
+    while 2 * max(powers) <= max(lengths):
+        k = max(powers)
+        powers[2 * k] = pair(powers[k], tail(powers[k], k))
+    out = []
+    for n in lengths:
+        parts = [p for p in sorted(powers, reverse=True) if n & p]
+        found, have = powers[parts[0]], parts[0]
+        for p in parts[1:]:
+            rest = tail(powers[p], have)
+            found, have = pair(found, rest), have + p
+        out.append(found)
+    return out
+
+
+def with_windows(df: DataFrame, words: dict[int, str], kinds: list[tuple[int, int]], keep: list[str]) -> DataFrame:
+    """One row per window: ``keep``, idx, window_hash, and as ``_b<j>`` where the windows of ``kinds[j]`` (kind, length) begin in idx.
+
+    ``words`` names the array column of each kind. Windows of all kinds and lengths come from one pass over the texts.
+    """
+    for kind in sorted({k for k, _ in kinds}):
+        lengths = [n for k, n in kinds if k == kind]
+        for n, hashes in zip(lengths, _joined_hashes(F.col(words[kind]), kind, lengths), strict=True):
+            df = df.withColumn(f"_a{kinds.index((kind, n))}", hashes)
+    begin, starts = F.lit(0), []
+    for j in range(len(kinds)):
+        starts.append(begin.alias(f"_b{j}"))
+        begin = begin + F.size(f"_a{j}")
+    return df.select(*keep, *starts, F.posexplode(F.concat(*[F.col(f"_a{j}") for j in range(len(kinds))])).alias("idx", "window_hash"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -66,55 +105,85 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _is_slot(word: Column) -> Column:
+    return F.substring(word, 1, 1).isin(NAME, NUMBER, UNIT)
+
+
+def put(item: Column, doc: Column) -> Column:
+    """What a document puts for the item's value behind a placeholder: (item's, document's) pairs; of names word for word.
+
+    Of names of different lengths the first words that only one of them has are a pair.
+    """
+    a, b = F.split(F.substring(item, 2, 1 << 30), "_"), F.split(F.substring(doc, 2, 1 << 30), "_")
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("i"), y.alias("d")))
+    rest_a, rest_b = F.array_except(a, b), F.array_except(b, a)
+    none = F.array().cast("array<struct<i:string,d:string>>")
+    uneven = F.when((F.size(rest_a) > 0) & (F.size(rest_b) > 0), F.array(F.struct(F.get(rest_a, 0).alias("i"), F.get(rest_b, 0).alias("d")))).otherwise(none)
+    whole = F.array(F.struct(item.alias("i"), doc.alias("d")))
+    return F.when(F.substring(item, 1, 1) != NAME, whole).when(F.size(a) == F.size(b), pairs).otherwise(uneven)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, reparameterised) for every item that a document holds."""
-    items = benchmark.select("item_id", F.col("text").alias("item")).where("item_id is not null")
-    plain = lambda w: F.size(F.filter(w, lambda x: ~F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT)))
-    words = items.select("item_id", template(F.col("item")).alias("_t"), template(F.col("item"), values=True).alias("_v")).withColumn("_n", F.size("_t")).where("_n > 0")
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n") - window + 1))
-    cut = words.select("item_id", "_n", F.explode(at).alias("item_pos"), "_t", "_v").select("item_id", "_n", "item_pos", F.slice("_t", F.col("item_pos"), window).alias("_w"), F.slice("_v", F.col("item_pos"), window).alias("item_values"))
-    exact = plain(F.col("_w")) < F.least(F.lit(LITERALS), F.size("_w"))
-    cut = cut.withColumn("exact", exact).withColumn("length", F.when(F.col("exact"), F.size("item_values")).otherwise(F.size("_w")))
-    hashed = F.when(F.col("exact"), F.xxhash64(bare(F.col("item_values")))).otherwise(F.xxhash64("_w"))
-    cut = cut.select("item_id", "item_pos", hashed.alias("window_hash"), "item_values", "length", "exact", (~F.col("exact") & (plain(F.col("_w")) < F.size("_w"))).alias("slots"))
-    cut = stored(cut, "decon-items")
-    lengths = [(r[0], r[1]) for r in cut.select("length", "exact").where("length > 0").distinct().collect()]  # `window` and the few lengths below it
-    rows = cut.count()
-    needed = cut.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    keys = cut.select("item_id", "item_pos", "window_hash", "length", "exact", "slots")
-
-    hits = None
-    for n, as_is in sorted(lengths):
-        own = keys.where((F.col("length") == n) & (F.col("exact") == as_is))
-        found = with_windows(docs.where("doc_id is not null"), "text", n, ["doc_id"], values=as_is).join(_small(own, rows), "window_hash")
-        found = found.select("doc_id", "pos", "item_id", "item_pos", "slots", "length")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+    text = F.col("text")
+    words = {0: "_w", 1: "_t"}
+    items = benchmark.select("item_id", text).where("item_id is not null").distinct()
+    items = items.select("item_id", plain_words(text).alias("_w"), template(text).alias("_t"), template(text, True).alias("_v"))
+    cut = []
+    for kind, column in words.items():
+        n, at = F.size(column), F.col("item_pos")
+        own = items.where(n > 0).select("item_id", "_v", F.col(column).alias("_own"), F.least(n, F.lit(window)).alias("length"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), n - window + 1))).alias("item_pos"))
+        own = own.select("item_id", F.lit(kind).alias("kind"), "item_pos", "length", F.slice("_own", at, F.col("length")).alias("_own"), (F.slice("_v", at, F.col("length")) if kind else F.lit(None).cast("array<string>")).alias("item_values"))
+        if kind:
+            plain = F.size(F.filter("_own", lambda w: ~_is_slot(w)))
+            own = own.where(plain >= F.least(F.lit(LITERALS), F.col("length"))).withColumn("slots", plain < F.col("length"))
+        cut.append(own if kind else own.withColumn("slots", F.lit(False)))
+    cut = stored(cut[0].unionByName(cut[1]), "decon-cut")
+    kinds = sorted((r[0], r[1]) for r in cut.select("kind", "length").distinct().collect())  # `window` and the few lengths below it, of two kinds
+    if not kinds:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, windows long, item_windows long, reparameterised boolean")
-    hits = stored(hits, "decon-hits")
+    hashed = None
+    for kind, n in kinds:
+        one = cut.where((F.col("kind") == kind) & (F.col("length") == n)).withColumn("window_hash", F.get(_joined_hashes(F.col("_own"), kind, [n])[0], 0))
+        hashed = one if hashed is None else hashed.unionByName(one)
+    cut = stored(hashed.drop("_own"), "decon-items")
+    rows = cut.count()
+    needed = cut.groupBy("item_id", "kind").agg(F.count_distinct("item_pos").alias("item_windows"))
+
+    # One pass over the documents; a text is told apart from others of its doc_id by its hash.
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_row"), "text")
+    found = texts.select("doc_id", "_row", plain_words(text).alias("_w"), template(text).alias("_t"))
+    found = with_windows(found, words, kinds, ["doc_id", "_row"])
+    keys = cut.select("item_id", "kind", "length", "item_pos", "window_hash", "slots")
+    begin = F.lit(0)
+    for j, (kind, n) in enumerate(kinds):
+        begin = F.when((F.col("kind") == kind) & (F.col("length") == n), F.col(f"_b{j}")).otherwise(begin)
+    hits = found.join(_small(keys, rows), "window_hash").select("doc_id", "_row", "item_id", "kind", "length", "item_pos", (F.col("idx") - begin + 1).alias("pos"), "slots")
+    hits = stored(hits.distinct(), "decon-hits")
 
     # Values behind the placeholders, for the few windows that have any.
     slotted = hits.where("slots")
-    count = slotted.select("doc_id").distinct().count()
-    sure = hits.where(~F.col("slots")).select("doc_id", "item_id", "item_pos", F.lit(False).alias("changed"))
+    count = slotted.select("doc_id", "_row").distinct().count()
+    sure = hits.where(~F.col("slots")).select("doc_id", "_row", "item_id", "kind", "item_pos", F.lit(False).alias("changed"))
     if count:
-        owners = docs.join(_small(slotted.select("doc_id").distinct(), count), "doc_id", "left_semi").select("doc_id", template(F.col("text"), values=True).alias("_v"))
-        pairs = slotted.join(owners, "doc_id").join(_small(cut.select("item_id", "item_pos", "item_values"), rows), ["item_id", "item_pos"])
-        zipped = F.filter(F.arrays_zip(F.col("item_values").alias("i"), F.slice("_v", F.col("pos"), F.col("length")).alias("d")), lambda x: F.substring(x["i"], 1, 1).isin(NAME, NUMBER, UNIT))
-        pairs = stored(pairs.select("doc_id", "item_id", "item_pos", "pos", zipped.alias("_z")).dropDuplicates(["doc_id", "item_id", "item_pos", "pos"]), "decon-slots")
-        # A copy is where item and document run in step: its offset. One value for each value, and one back.
-        each = pairs.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("_off"), F.explode("_z").alias("z")).select("doc_id", "item_id", "_off", F.col("z.i").alias("i"), F.col("z.d").alias("d"))
-        there = each.groupBy("doc_id", "item_id", "_off", "i").agg(F.count_distinct("d").alias("_k")).groupBy("doc_id", "item_id", "_off").agg(F.max("_k").alias("_there"))
-        back = each.groupBy("doc_id", "item_id", "_off", "d").agg(F.count_distinct("i").alias("_k")).groupBy("doc_id", "item_id", "_off").agg(F.max("_k").alias("_back"))
-        good = there.join(back, ["doc_id", "item_id", "_off"]).where("_there = 1 and _back = 1")
-        changed = F.exists("_z", lambda x: x["i"] != x["d"])
-        sure = sure.unionByName(pairs.where(~changed).select("doc_id", "item_id", "item_pos", F.lit(False).alias("changed")))
-        kept = pairs.where(changed).withColumn("_off", F.col("pos") - F.col("item_pos")).join(good, ["doc_id", "item_id", "_off"])
-        sure = sure.unionByName(kept.select("doc_id", "item_id", "item_pos", changed.alias("changed")))
-    held = sure.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("windows"), F.max("changed").alias("reparameterised"))
-    held = held.join(_small(needed, rows), "item_id")
+        owners = texts.join(_small(slotted.select("doc_id", "_row").distinct(), count), ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
+        owners = owners.select("doc_id", "_row", template(text, True).alias("_v"))
+        pairs = slotted.join(owners, ["doc_id", "_row"]).join(_small(cut.where("slots").select("item_id", "item_pos", "item_values").distinct(), rows), ["item_id", "item_pos"])
+        zipped = F.filter(F.arrays_zip(F.col("item_values").alias("i"), F.slice("_v", F.col("pos"), F.col("length")).alias("d")), lambda x: _is_slot(x["i"]))
+        pairs = pairs.select("doc_id", "_row", "item_id", "kind", "item_pos", (F.col("pos") - F.col("item_pos")).alias("_off"), zipped.alias("_z"))
+        pairs = stored(pairs.withColumn("changed", F.exists("_z", lambda x: x["i"] != x["d"])), "decon-slots")
+        # A copy is where item and document run in step: its offset. One value for each value of the item.
+        copy = ["doc_id", "_row", "item_id", "_off"]
+        each = pairs.select(*copy, F.explode(F.flatten(F.transform("_z", lambda x: put(x["i"], x["d"])))).alias("z")).select(*copy, "z.i", "z.d").distinct()
+        bad = each.groupBy(*copy, "i").agg(F.count("*").alias("_k")).where("_k > 1").select(*copy).distinct()
+        kept = pairs.where("changed").join(bad, copy, "left_anti")
+        sure = sure.unionByName(pairs.where("not changed").unionByName(kept).select("doc_id", "_row", "item_id", "kind", "item_pos", "changed"))
+    held = sure.groupBy("doc_id", "_row", "item_id", "kind").agg(F.count_distinct("item_pos").alias("windows"), F.max("changed").alias("changed"))
+    held = held.join(_small(needed, rows), ["item_id", "kind"])
     enough = F.greatest(F.lit(1), F.least(F.lit(run), F.ceil(F.col("item_windows") * coverage)))
-    return held.where(F.col("windows") >= enough).select("doc_id", "item_id", "windows", "item_windows", "reparameterised")
+    held = held.where(F.col("windows") >= enough).withColumn("_best", F.struct(-F.col("kind"), "windows", "item_windows", "changed"))
+    best = held.groupBy("doc_id", "item_id").agg(F.max("_best").alias("_best"), F.min("kind").alias("_kind"), F.max("changed").alias("_changed"))
+    return best.select("doc_id", "item_id", "_best.windows", "_best.item_windows", "_changed").withColumnRenamed("_changed", "reparameterised")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

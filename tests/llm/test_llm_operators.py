@@ -3,6 +3,7 @@ import itertools
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -523,6 +524,97 @@ def test_decontamination_equals_window_search(spark, sf_dir):
     assert got == {p for p, s in plain.items() if len(s) >= 6} and got
 
 
+ITEM = "Anna has 12 apples and 5 pears in a basket. Anna gives some of them to a friend. How many of all the fruits are left after 3 days if nobody eats any?"
+
+
+def test_changed_copies_are_found(spark):
+    """One more word in a name, two numbers set to the same value, names at the beginning of sentences, other figures and units."""
+    changed = {
+        1: ITEM.replace("Anna", "Mary Jane"), 2: ITEM.replace("12", "7").replace(" 5 ", " 7 "), 3: ITEM.replace("Anna", "Zoe"), 4: ITEM.replace("12", "1,250.75").replace("3 days", "4 weeks"),
+        5: ITEM.lower(), 6: ITEM.upper(), 7: "Some words. " + ITEM.replace("Anna has", "Otto has").replace("Anna gives", "Otto gives") + " And more.",
+    }
+    other = {20: "Anna has 12 ideas. The rest is quite different from what stands above in any of its words, and it goes on for a while.", 21: None, 22: ""}
+    got = {r["doc_id"]: r["reparameterised"] for r in decontaminate.contaminated(spark.createDataFrame([*changed.items(), *other.items()], DOCS), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: True}
+
+
+def test_templates_with_and_without_values_are_in_step(spark):
+    r = random.Random(12)
+    bits = ["Anna", "Anna Smith", "the", "12", "1,250.75", "3 km", "km", "5km/h", "McDonald", "USA", "O'Neil", "Ärger", "über", ".", ", ", "_", "\ue000", "x_Y", "A", "Zoe-Marie", "9.", "½", "7%", "\n", "Dr. Who", "9" * 60 + " days"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " ", "  "]) for _ in range(r.randrange(30))) for _ in range(400)]
+    rows = docs(spark, texts).select(decontaminate.template(F.col("text")).alias("t"), decontaminate.template(F.col("text"), True).alias("v")).collect()
+    for x in rows:
+        assert x["t"] == [w[0] if w[0] in decontaminate.MARKS else w for w in x["v"]]
+
+
+def plain_holds(doc, item, templates, window=8, coverage=0.5, run=6):
+    """Slot consistency by loops: the item's windows in a document, by words, else by templates."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    a, b = words(item), words(doc)
+    n = min(window, len(a))
+    enough = lambda k: max(1, min(run, math.ceil(k * coverage)))
+    spots = range(len(a) - n + 1) if a else []
+    verbatim = [i for i in spots if any(b[j : j + n] == a[i : i + n] for j in range(len(b) - n + 1))]
+    if a and len(verbatim) >= enough(len(spots)):
+        return True
+    (ta, va), (tb, vb) = templates[item], templates[doc]
+    n = min(window, len(ta))
+    slot = lambda w: w[0] in decontaminate.MARKS
+    spots = [i for i in range(len(ta) - n + 1) if ta and sum(not slot(w) for w in ta[i : i + n]) >= min(3, n)]
+    seen, copies = set(), defaultdict(list)
+    for i in spots:
+        for j in range(len(tb) - n + 1):
+            if tb[j : j + n] == ta[i : i + n]:
+                pairs = [(x, y) for x, y in zip(va[i : i + n], vb[j : j + n], strict=True) if slot(x)]
+                if all(x == y for x, y in pairs):
+                    seen.add(i)
+                copies[j - i].append((i, pairs))
+    for own in copies.values():
+        put = defaultdict(set)
+        for _, pairs in own:
+            for x, y in pairs:
+                p, q = x[1:].split("_"), y[1:].split("_")
+                if x[0] != decontaminate.NAME:
+                    put[x].add(y)
+                elif len(p) == len(q):
+                    for c, d in zip(p, q, strict=True):
+                        put[c].add(d)
+                else:
+                    c, d = [k for k in p if k not in q], [k for k in q if k not in p]
+                    if c and d:
+                        put[c[0]].add(d[0])
+        if all(len(v) == 1 for v in put.values()):
+            seen |= {i for i, _ in own}
+    return bool(spots) and len(seen) >= enough(len(spots))
+
+
+def test_decontamination_equals_loops(spark):
+    r = random.Random(13)
+    names, plain = ["Anna", "Bob Lee", "Zoe", "Peter Paul Pry"], ["goes", "to", "the", "market", "with", "many", "of", "his", "old", "friends", "and", "buys", "some", "bread"]
+    def text():
+        return " ".join(r.choice([r.choice(names), str(r.randrange(30)), r.choice(["3 km", "5 days"]), *[r.choice(plain)] * 6]) for _ in range(r.choice([5, 12, 30]))) + "."
+    def changed(t):
+        for _ in range(r.randrange(4)):
+            a, b = r.choice([(r.choice(names), r.choice(names)), (str(r.randrange(30)), str(r.randrange(30))), (r.choice(plain), r.choice(plain)), ("km", "miles")])
+            t = t.replace(a, b, r.choice([1, -1]))
+        return r.choice(["", "Before this. "]) + t + r.choice(["", " After it."])
+    items = {i: text() for i in range(12)}
+    found = {d: changed(items[r.randrange(12)]) for d in range(150)} | {1000: None, 1001: ""}
+    every = list({*items.values(), *found.values()} - {None}) + [""]
+    rows = docs(spark, every).select("text", decontaminate.template(F.col("text")).alias("t"), decontaminate.template(F.col("text"), True).alias("v")).collect()
+    templates = {x["text"]: (x["t"], x["v"]) for x in rows} | {None: ([], [])}
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(list(found.items()), DOCS), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in found.items() for i, s in items.items() if plain_holds(t, s, templates)} and 20 < len(got) < 150
+
+
+def test_decontamination_of_repeated_and_long_rows(spark):
+    long = "filler words here " * 40_000
+    rows = [(1, ITEM), (1, ITEM), (1, "no copy at all"), (2, long + ITEM + " " + long), (3, long), (4, ITEM[: len(ITEM) // 3]), (4, ITEM[2 * len(ITEM) // 3 :])]
+    d = spark.createDataFrame(rows, DOCS).withColumns({"kind": F.lit("x"), "pos": F.lit(1), "windows": F.lit(2)})
+    got = [(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(d, spark.createDataFrame([(1, ITEM), (1, ITEM)], "item_id long, text string")).collect()]
+    assert sorted(got) == [(1, 1), (2, 1)]
+
+
 # 9
 
 
