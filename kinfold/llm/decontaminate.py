@@ -32,10 +32,11 @@ BROADCAST_ROWS = 500_000
 NAME, NUMBER, UNIT, END = "\ue000", "\ue001", "\ue002", "\ue003"
 MARKS = NAME + NUMBER + UNIT + END
 
-_NAME = r"\p{Lu}\p{Ll}{1,60}"
-_NAMES = rf"(?<![\p{{L}}\p{{N}}])({_NAME}(?: {_NAME})*)(?![\p{{L}}\p{{N}}])"
-_JOINED = rf"(?<![\p{{L}}\p{{N}}])({_NAME}(?:_{_NAME})*)(?![\p{{L}}\p{{N}}])"
-_NUMBERS = r"(?<![\p{L}\p{N}" + NAME + r"])(\p{N}+(?:[.,]\p{N}+)*)"
+# A look back that comes after the first letter is tried at letters of its kind only.
+_NAME, _WHOLE = r"\p{Lu}\p{Ll}{1,60}+", r"(?![\p{L}\p{N}])"
+_FIRST = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}{1,60}+" + _WHOLE
+_NAMES, _JOINED = (f"{_FIRST}(?:{gap}{_NAME}{_WHOLE})*" for gap in " _")
+_NUMBERS = r"\p{N}(?<![\p{L}\p{N}" + NAME + r"].)\p{N}*+(?:[.,]\p{N}++)*"
 _UNITS = (
     "km/h", "kg", "mg", "lbs?", "km", "cm", "mm", "ml", "miles?", "met(?:er|re)s?", "feet", "foot", "inch(?:es)?", "yards?", "lit(?:er|re)s?", "gallons?", "grams?",
     "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?", "dollars?", "euros?", "cents?", "percent", "degrees?", "[gmhsl]", "%", "€",
@@ -50,38 +51,45 @@ def plain_words(text: Column) -> Column:
 
 def template(text: Column, values: bool = False) -> Column:
     """The places of the text's template; with ``values``, placeholders are followed by what they stand for (words of a name joined by ``_``)."""
-    own, end = ("$1", END) if values else ("", "")
+    own, end = ("$0", END) if values else ("", "")
     clean = F.translate(F.coalesce(text, F.lit("")), MARKS + "_", " " * 5)
     if values:  # names of several words are joined first, as later steps cut at blanks
-        clean = F.regexp_replace(clean, rf"(?<=(?<![\p{{L}}\p{{N}}]){_NAME}) (?={_NAME}(?![\p{{L}}\p{{N}}]))", "_")
+        clean = F.regexp_replace(clean, rf"(?<=(?<![\p{{L}}\p{{N}}])\p{{Lu}}\p{{Ll}}{{1,60}}) (?={_NAME}{_WHOLE})", "_")
     named = F.regexp_replace(clean, _JOINED if values else _NAMES, NAME + own)
     numbered = F.regexp_replace(F.lower(named), _NUMBERS, NUMBER + own + end + " ")
-    after = "(?<=" + (END if values else NUMBER) + " {0,2})(" + "|".join(_UNITS) + r")(?![\p{L}\p{N}])"
-    units = F.regexp_replace(numbered, after, " " + UNIT + own + " ")
+    after = "(" + (END if values else NUMBER) + " {0,2})(" + "|".join(_UNITS) + ")" + _WHOLE
+    units = F.regexp_replace(numbered, after, "$1 " + UNIT + ("$2" if values else "") + " ")
     if values:
         units = F.regexp_replace(units, r"(?<=\p{N})[.,](?=\p{N})|(?<=" + UNIT + r"km)/(?=h)", "_")
     cut = r"[^\p{L}\p{N}" + NAME + NUMBER + UNIT + ("_" if values else "") + "]+"
     return F.array_remove(F.split(units, cut), "")
 
 
-def _joined_hashes(words: Column, seed: int, lengths: list[int]) -> list[Column]:
-    """For each length n the array of hashes of all windows of n words, put together from windows of powers of two."""
-    powers = {1: F.transform(words, lambda w: F.xxhash64(F.lit(seed), w))}
-    tail = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
-    head = lambda a, b: F.slice(a, 1, F.size(b))
-    pair = lambda a, b: F.zip_with(head(a, b), b, lambda x, y: F.xxhash64(x, y))
-    while 2 * max(powers) <= max(lengths):
-        k = max(powers)
-        powers[2 * k] = pair(powers[k], tail(powers[k], k))
-    out = []
+def with_hashes(df: DataFrame, words: str, seed: int, lengths: list[int], out: str) -> DataFrame:
+    """Add arrays ``<out><n>`` of the hashes of all windows of n words, put together from windows of powers of two.
+
+    Every step is a column of its own, as expressions that are used twice would be computed twice.
+    """
+    df, made = df.withColumn(f"_{out}p1", F.transform(words, lambda w: F.xxhash64(F.lit(seed), w))), [f"_{out}p1"]
+
+    def pair(df: DataFrame, left: str, right: str, skip: int, name: str) -> DataFrame:
+        """Hashes of ``left`` together with those of ``right`` that begin ``skip`` words later."""
+        n = F.greatest(F.size(right) - skip, F.lit(0))
+        made.append(name)
+        return df.withColumn(name, F.zip_with(F.slice(left, 1, n), F.slice(right, skip + 1, n), lambda x, y: F.xxhash64(x, y)))
+
+    p = 1
+    while 2 * p <= max(lengths):
+        df = pair(df, f"_{out}p{p}", f"_{out}p{p}", p, f"_{out}p{2 * p}")
+        p *= 2
     for n in lengths:
-        parts = [p for p in sorted(powers, reverse=True) if n & p]
-        found, have = powers[parts[0]], parts[0]
-        for p in parts[1:]:
-            rest = tail(powers[p], have)
-            found, have = pair(found, rest), have + p
-        out.append(found)
-    return out
+        parts = [q for q in (1 << i for i in reversed(range(p.bit_length()))) if n & q]
+        have, column = parts[0], f"_{out}p{parts[0]}"
+        for q in parts[1:]:
+            df = pair(df, column, f"_{out}p{q}", have, f"_{out}j{n}_{q}")
+            have, column = have + q, f"_{out}j{n}_{q}"
+        df = df.withColumn(f"{out}{n}", F.col(column))
+    return df.drop(*made)
 
 
 def with_windows(df: DataFrame, words: dict[int, str], kinds: list[tuple[int, int]], keep: list[str]) -> DataFrame:
@@ -90,14 +98,12 @@ def with_windows(df: DataFrame, words: dict[int, str], kinds: list[tuple[int, in
     ``words`` names the array column of each kind. Windows of all kinds and lengths come from one pass over the texts.
     """
     for kind in sorted({k for k, _ in kinds}):
-        lengths = [n for k, n in kinds if k == kind]
-        for n, hashes in zip(lengths, _joined_hashes(F.col(words[kind]), kind, lengths), strict=True):
-            df = df.withColumn(f"_a{kinds.index((kind, n))}", hashes)
+        df = with_hashes(df, words[kind], kind, [n for k, n in kinds if k == kind], f"_a{kind}_")
     begin, starts = F.lit(0), []
-    for j in range(len(kinds)):
+    for j, (kind, n) in enumerate(kinds):
         starts.append(begin.alias(f"_b{j}"))
-        begin = begin + F.size(f"_a{j}")
-    return df.select(*keep, *starts, F.posexplode(F.concat(*[F.col(f"_a{j}") for j in range(len(kinds))])).alias("idx", "window_hash"))
+        begin = begin + F.size(f"_a{kind}_{n}")
+    return df.select(*keep, *starts, F.posexplode(F.concat(*[F.col(f"_a{k}_{n}") for k, n in kinds])).alias("idx", "window_hash"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -144,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, windows long, item_windows long, reparameterised boolean")
     hashed = None
     for kind, n in kinds:
-        one = cut.where((F.col("kind") == kind) & (F.col("length") == n)).withColumn("window_hash", F.get(_joined_hashes(F.col("_own"), kind, [n])[0], 0))
+        one = with_hashes(cut.where((F.col("kind") == kind) & (F.col("length") == n)), "_own", kind, [n], "_h").withColumn("window_hash", F.get(f"_h{n}", 0)).drop(f"_h{n}")
         hashed = one if hashed is None else hashed.unionByName(one)
     cut = stored(hashed.drop("_own"), "decon-items")
     rows = cut.count()
