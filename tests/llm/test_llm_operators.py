@@ -179,6 +179,33 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.limit(0), url_filter.production_entries(spark)).count() == 0
 
 
+def test_listed_urls_are_canonical(spark):
+    urls = {1: "http://user:pw@Bad.org:8080//a/./b/x", 2: "http://bad.org./a/b/", 3: "http://bad.org/a/c", 4: "http://sub.bad.org/a/b/?q", 5: "http://notbad.org/a/b/", 6: "http://bad.org:80/a/.b/", 7: "x" * 100_000 + "://bad.org/a/b/" + "y" * 100_000, 8: "http://" + "s." * 5000 + "bad.org/a/b/"}
+    entries = spark.createDataFrame([("bad.org/a/b/", "block", "listed")], "entry string, action string, kind string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(list(urls.items()), "page_id long, url string"), entries).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "block", 8: "block"}
+
+
+def test_the_crawl_s_unwanted_hosts_are_listed(spark, sf_dir):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = {r["entry"] for r in url_filter.listed_hosts(pages).collect()}
+    assert found and all(e.split(".")[0] in url_filter.UNWANTED for e in found)
+    judged = queries.QUERIES["op3_url_filters"](spark, "/root/testdata/sf0.1")
+    assert judged.where("rule is null and verdict = 'block'").count() > 0
+
+
+def test_false_positives_do_not_get_through(spark):
+    """A long list in a small filter: many keys pass that aren't listed, and none of them is judged by the list."""
+    entries = spark.range(20_000).select(F.concat(F.lit("h"), F.col("id") * 2, F.lit(".org/")).alias("entry"), F.lit("block").alias("action"), F.lit("listed").alias("kind"))
+    keys = spark.range(40_000).select(F.col("id"), F.lit("listed").alias("kind"), F.concat(F.lit("h"), F.col("id"), F.lit(".org/")).alias("_key"))
+    passed = {r[0] for r in url_filter.possible(keys, entries, 1 << 10).select("id").collect()}
+    assert set(range(0, 40_000, 2)) <= passed and 500 < len(passed) - 20_000 < 20_000
+    assert len({r[0] for r in url_filter.possible(keys, entries).select("id").collect()}) - 20_000 < 100
+    pages = keys.select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), "_key").alias("url"))
+    got = url_filter.filter_urls(pages, entries, words=1 << 10).where("verdict = 'block'").select("page_id").collect()
+    assert {r[0] for r in got} == set(range(0, 40_000, 2))
+
+
 # 4
 
 
