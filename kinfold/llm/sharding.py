@@ -1,12 +1,15 @@
 """Sharding by Karmarkar-Karp differencing of indivisible groups (equal texts), law ``bytes``.
 
-Groups are dealt by hash into cells of a few thousand. In a cell, partial partitions start with one group each; the
-two of largest spread are combined again and again, one ordered oppositely to the other, until one k-way partition
-is left. Groups too large to even out inside a cell (more than 1/``GIANT`` of a shard: so fewer than shards*GIANT
-of them, a proven bound) are differenced first, and every cell balances its own groups against its share of that load.
-
-Defined cases: a null text counts as empty; size is its UTF-8 bytes plus 1; repeated rows are rows of one group;
-an empty table gives an empty result; the other columns of ``docs`` are kept, clashing names are replaced.
+Partial partitions start with one group each; the two of largest spread are combined again and again, one ordered
+oppositely to the other, until one k-way partition is left. This runs from large groups to small ones, down a tree of cells: the
+root differences the groups of more than 1/``GIANT`` of a shard; its loads are shared out to ``FAN`` children by their bytes, as a
+partial partition to begin with; each child differences the groups that are large for it, and so on, down to cells of a few
+thousand groups that take all that is left. So no group outweighs its cell (a cell sees fewer than shards*GIANT*FAN
+large ones), and what is uneven above is evened out below.
+
+Defined cases: a null text counts as empty; size is its UTF-8 bytes plus 1; repeated rows are rows of one group; a null
+doc_id is a row like any other; a very long text is one group; groups of equal size are told apart by their key, so ties
+don't matter; an empty table gives an empty result; the other columns of ``docs`` are kept, clashing names are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from kinfold.llm._store import stored
 
 SHARDS = 16
 CELL_GROUPS = 4000
+FAN = 8
 GIANT = 64
 
 
@@ -74,26 +78,53 @@ def differencing(partitions: list[list[int]], k: int) -> tuple[list[list[int]],
     return slots, sums[top]
 
 
-def _cell(base: list[int], total: int, k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["group_bytes", "group_key"], ascending=[False, True], ignore_index=True)
-        own = int(pdf["group_bytes"].sum())
-        anchored = any(base)
-        share = [b * own // max(1, total) for b in base]
-        slots, _ = differencing(([share] if anchored else []) + [[int(x)] for x in pdf["group_bytes"]], k)
-        if anchored:
-            back = [0] * k
-            for shard, slot in enumerate(slots[0]):
-                back[slot] = shard
-            shard = [back[s[0]] for s in slots[1:]]
-        else:  # neighbouring cells are laid on in opposite orders, each from another shard on
-            c = int(pdf["cell"].iloc[0])
-            shard = [((s[0] if c % 2 == 0 else k - 1 - s[0]) + c // 2) % k for s in slots]
-        return pd.DataFrame({"group_key": pdf["group_key"], "shard": shard})
+PLACED = "node long, group_key long, shard int, loads array<long>"
+
+
+def _cell(k: int):
+    """Shards of a cell's groups, given the loads it begins with; and on a row without group its loads at the end."""
+
+    def run(own: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["group_bytes", "group_key"], ascending=[False, True], ignore_index=True)
+        node = int((own if len(own) else begin)["node"].iloc[0])
+        loads = [int(x) for x in begin["loads"].iloc[0]] if len(begin) else [0] * k
+        slots, sums = differencing([loads] + [[int(x)] for x in own["group_bytes"]], k)
+        back = [0] * k  # slot -> shard: the one whose load went there
+        for shard, slot in enumerate(slots[0]):
+            back[slot] = shard
+        end = [sums[slots[0][shard]] for shard in range(k)]
+        return pd.DataFrame({"node": node, "group_key": pd.array([*own["group_key"], None], "Int64"), "shard": pd.array([*(back[s[0]] for s in slots[1:]), None], "Int32"), "loads": [None] * len(own) + [end]})
 
     return run
 
 
+def place(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(group_key, shard) of groups (group_key, group_bytes)."""
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("group_bytes"), F.lit(0))).first()
+    depth = 0
+    while CELL_GROUPS * FAN**depth < n:
+        depth += 1
+    level = F.lit(depth)
+    for d in reversed(range(depth)):
+        level = F.when(F.col("group_bytes") > total // (shards * GIANT * FAN**d), d).otherwise(level)
+    dealt = groups.select("group_key", "group_bytes", level.alias("level"), F.pmod(F.xxhash64("group_key", F.lit(7)), F.lit(FAN**depth)).alias("leaf"))
+    placed, loads = None, None
+    for d in range(depth + 1):
+        node = (F.col("leaf") % FAN**d).alias("node")
+        begin = groups.sparkSession.createDataFrame([(0, [0] * shards)], "node long, loads array<long>")
+        if d:  # the parent's loads, shared out by what is still to come
+            rest = dealt.where(F.col("level") >= d).groupBy(node).agg(F.sum("group_bytes").alias("rest")).withColumn("parent", F.col("node") % FAN ** (d - 1))
+            whole = rest.groupBy("parent").agg(F.sum("rest").alias("whole"))
+            begin = rest.join(whole, "parent").join(loads.withColumnRenamed("node", "parent"), "parent")
+            begin = begin.select("node", F.transform("loads", lambda x: (x.cast("double") * F.col("rest") / F.col("whole")).cast("long")).alias("loads"))
+        own = dealt.where(F.col("level") == d).select(node, "group_key", "group_bytes")
+        done = stored(own.groupBy("node").cogroup(begin.groupBy("node")).applyInPandas(_cell(shards), PLACED), "shard-cells")
+        loads = done.where("loads is not null").select("node", "loads")
+        found = done.where("loads is null").select("group_key", "shard")
+        placed = found if placed is None else placed.unionByName(found)
+    return placed
+
+
 def with_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add size, text_crc32 and the key of the row's group of equal texts."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -102,22 +133,12 @@ def with_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def shard(rows: DataFrame, shards: int = SHARDS, order: tuple[str, ...] = ("doc_id", "text_crc32")) -> DataFrame:
     """Add shard and slot (gapless from 0 in each shard) to rows that carry ``size`` and ``group_key``."""
-    spark = rows.sparkSession
     groups = stored(rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes"), F.count("*").alias("group_rows")), "shard-groups")
-    n, rows_all, total = groups.agg(F.count("*"), F.coalesce(F.sum("group_rows"), F.lit(0)), F.coalesce(F.sum("group_bytes"), F.lit(0))).first()
-    floor = max(1, total // (shards * GIANT))
-    giants = groups.where(F.col("group_bytes") > floor).orderBy(F.desc("group_bytes"), "group_key").collect()  # fewer than shards*GIANT rows
-    slots, base = differencing([[g["group_bytes"]] for g in giants], shards)
-    small = groups.where(F.col("group_bytes") <= floor)
-    cells = max(1, -(-n // CELL_GROUPS))
-    rest = total - sum(base)
-    placed = small.withColumn("cell", F.pmod(F.xxhash64("group_key", F.lit(7)), F.lit(cells))).groupBy("cell").applyInPandas(_cell(base, rest, shards), "group_key long, shard int")
-    if giants:
-        placed = placed.unionByName(spark.createDataFrame([(g["group_key"], s[0]) for g, s in zip(giants, slots, strict=True)], "group_key long, shard int"))
-    placed = stored(placed, "shard-placed")
+    count = groups.agg(F.coalesce(F.sum("group_rows"), F.lit(0))).first()[0]
+    placed = stored(place(groups, shards), "shard-placed")
     joined = rows.drop("shard", "slot").join(placed, "group_key")
     keys = [F.col(c) for c in order if c in rows.columns]
-    return prefix_sum(joined, "shard", keys or [F.col("group_key")], F.lit(1).cast("long"), "slot", buckets_for(rows_all))
+    return prefix_sum(joined, "shard", keys or [F.col("group_key")], F.lit(1).cast("long"), "slot", buckets_for(count))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -507,6 +507,44 @@ def test_shards(spark, monkeypatch):
     assert sharding.shard(sharding.with_groups(docs(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("cell, fan", [(150, 4), (400, 8), (4000, 8)])
+def test_levels_of_differencing_stay_tight(spark, monkeypatch, cell, fan):
+    """Heavy groups in many small cells, one with a third of all bytes, over up to three levels."""
+    monkeypatch.setattr(sharding, "CELL_GROUPS", cell)
+    monkeypatch.setattr(sharding, "FAN", fan)
+    r = random.Random(cell)
+    sizes = [r.randint(1, 900) for _ in range(1500)] + [r.randint(5_000, 9_000) for _ in range(60)] + [500_000]
+    groups = spark.createDataFrame(list(enumerate(sizes)), "group_key long, group_bytes long")
+    placed = {x["group_key"]: x["shard"] for x in sharding.place(groups).collect()}
+    assert set(placed) == set(range(len(sizes)))
+    load = Counter()
+    for k, s in placed.items():
+        load[s] += sizes[k]
+    rest = sorted(load.values())[:-1]
+    assert max(load.values()) == 500_000 and len(rest) == 15 and max(rest) - min(rest) <= (40 if cell == 4000 else 0.01 * sum(rest) / 15)
+
+
+def test_shards_equal_plain_differencing(spark):
+    """One cell: the whole differencing in plain Python, group by group."""
+    r = random.Random(5)
+    sizes = [r.randint(1, 4000) for _ in range(300)]
+    parts = [[0] * 15 + [x] for x in sizes]  # rising sums
+    owner = [[[] for _ in range(15)] + [[i]] for i in range(300)]
+    while len(parts) > 1:
+        order = sorted(range(len(parts)), key=lambda i: parts[i][0] - parts[i][-1])
+        a, b = order[:2]
+        both = sorted(zip([x + y for x, y in zip(parts[a], parts[b][::-1], strict=True)], [x + y for x, y in zip(owner[a], owner[b][::-1], strict=True)], strict=True), key=lambda t: t[0])
+        parts, owner = ([x for i, x in enumerate(own) if i not in (a, b)] for own in (parts, owner))
+        parts.append([x for x, _ in both])
+        owner.append([x for _, x in both])
+    spread = parts[0][-1] - parts[0][0]
+    groups = spark.createDataFrame(list(enumerate(sizes)), "group_key long, group_bytes long")
+    load = Counter()
+    for x in sharding.place(groups).collect():
+        load[x["shard"]] += sizes[x["group_key"]]
+    assert sum(load.values()) == sum(sizes) and max(load.values()) - min(load.values()) <= max(spread, 3)
+
+
 # 8
 
 QUESTION = "If Anna Smith drives 120 km in 2 hours then how far does Anna go in 5 hours, and what would Bob say about it?"
