@@ -93,9 +93,11 @@ def words(flat: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.n
         return np.zeros(0, np.uint64), doc, per
     span = np.diff(np.append(starts, len(flat)))
     place = np.arange(starts[0], len(flat), dtype=np.int64) - np.repeat(starts, span)
-    place &= 0xFFFF
     value = (_BYTE_LOWER if lower else _BYTE)[flat[starts[0] :]]
-    value *= _PLACE[place]
+    value *= _PLACE[place & 0xFFFF]
+    if span.max() > len(_PLACE):  # places of very long words beyond the table
+        far = np.flatnonzero(place >= len(_PLACE))
+        value[far] *= mix(place[far].astype(np.uint64) >> np.uint64(16)) | np.uint64(1)
     return mix(np.add.reduceat(value, starts - starts[0])), doc, per
 
 

@@ -15,11 +15,13 @@ Segments travel as packed blocks of (signature, set), dealt by signature; equal
 with two sets or more become groups. Pairs are then verified exactly, in three rounds:
  0. every set with the set it shares most groups with;
  1. every set with the first of each of its groups, where these aren't connected yet;
- 2. all sets of a group that aren't connected yet: where the group is, small histograms tell which could be connected; over
-    all groups these make clusters, and inside a cluster products of 0/1 matrices give all intersections exactly.
+ 2. all sets of a group that aren't connected yet: small histograms tell which could be connected; over all groups these make
+    clusters, and inside a cluster products of 0/1 matrices give all intersections exactly. Groups and clusters are cut into
+    blocks of bounded size, components first, and every pair of blocks that holds two components is a piece of work of its own.
 In a group of more than ``HOT`` components only sets whose hot and empty segments add up to K or more can depend on it
 (all others meet their partners in another group too), so only these are compared there. That loses no link and caps
-nothing. The work inside a cluster grows with the square of its texts that differ; only connecting edges leave it.
+nothing. The work inside a cluster grows with the product of its texts in different components; only connecting edges leave it.
+Shingles and sets are told apart by 64-bit hashes: "exact" holds for these.
 
 Defined cases: A-Z are lower-cased; null texts and texts without words have no shingles and link with nothing, not even
 each other; fewer than k words make one shingle; repeated rows have the same set; a null doc_id takes part, but a
@@ -46,6 +48,8 @@ BAND_HI = 6 * 2 ** np.arange(40, dtype=np.int64)
 HOT = 48
 LEVELS = 8
 PART_SIGNATURES = 400_000
+#: A block of a group or cluster has about so many sets, and so many shingles, at most.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 BROADCAST_ROWS = 200_000
 
 _S = np.uint64(0xA5A5_5A5A_1234_5678)
@@ -64,7 +68,9 @@ def allocation(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
         apart = most_apart(2 * hi, num, den)
         need = apart + 1 + (math.ceil(0.15 * apart) if hi > 12 else 0)
         best = None
-        for m in range(max(1, (need + 1) // 2), max(2, min(need, max(1, hi // 3)) + 1)) if hi <= 1 << 12 else [need]:
+        least, most = max(1, (need + 1) // 2), max(2, min(need, max(1, hi // 3)) + 1)
+        for m in range(least, most, 1 + (most - least) // 4096):  # in the largest bands every so many-th, and the last
+            m = most - 1 - (m - least)
             d = max(0, need - m)
             if d <= m:
                 cost = m + d * hi / m
@@ -325,6 +331,13 @@ def _paired(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
 
 
+def unique_sets(table: DataFrame, name: str) -> DataFrame:
+    """One row per set: several documents can have the text of a wanted doc_id. Told from narrow rows, as nearly always none has."""
+    if table.select("set_id").distinct().count() == table.count():
+        return table
+    return stored(table.dropDuplicates(["set_id"]), name)
+
+
 class Verifier:
     """Exact check of pairs: first an upper bound of the intersection from small histograms, then the shingles themselves."""
 
@@ -339,7 +352,7 @@ class Verifier:
 
     def links(self, possible: DataFrame) -> DataFrame:
         need = possible.select(F.col("a").alias("set_id")).unionByName(possible.select(F.col("b").alias("set_id"))).distinct()
-        bodies = stored(texts_of(self.texts, self.owners, need).mapInArrow(_bodies(self.k), "set_id long, body binary"), "ngram-bodies")
+        bodies = bodies_of(self.texts, self.owners, need, self.k)
         return stored(_paired(possible, bodies, "body").mapInArrow(_kept(_links(self.num, self.den)), "a long, b long").distinct(), "ngram-links")
 
 
@@ -351,8 +364,36 @@ def texts_of(texts: DataFrame, owners: DataFrame, need: DataFrame) -> DataFrame:
     return texts.join(chosen, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
 
 
-def _near_in_group(size: np.ndarray, label: np.ndarray, table: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of a group (by rising size), the later ones of other components that its histogram can't rule out."""
+def bodies_of(texts: DataFrame, owners: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    return unique_sets(stored(texts_of(texts, owners, need).mapInArrow(_bodies(k), "set_id long, body binary"), "ngram-bodies"), "ngram-one-body")
+
+
+def blocked(members: DataFrame, group: list[str]) -> DataFrame:
+    """Members (``group``, set, label, n, more) once for each pair of blocks that needs them: with block_a, block_b and side.
+
+    A component of many sets has blocks of its own, all others share blocks. Side 0 is of block_a, side 1 of block_b; of a block
+    with itself there is side 0 only. Pairs of blocks of one component are left out.
+    """
+    per = members.groupBy(*group, "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    per = per.withColumn("own", F.when((F.col("c") > BLOCK_SETS) | (F.col("w") > BLOCK_SHINGLES), F.col("label")))
+    parts = per.groupBy(*group, "own").agg(F.ceil(F.greatest(F.sum("c") / BLOCK_SETS, F.sum("w") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    named = F.xxhash64("own", "part").alias("block")
+    blocks = parts.select(*group, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(*group, "own", named)
+    right = blocks.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("own").alias("_own"), F.col("block").alias("block_b"))
+    same = F.lit(True)
+    for c in group:
+        same &= F.col(c) == F.col(f"_{c}")
+    pairs = blocks.withColumnRenamed("block", "block_a").join(right, same).where("block_a <= block_b and not coalesce(own = _own, false)").select(*group, "block_a", "block_b")
+    dealt = members.join(per.select(*group, "label", "own"), [*group, "label"]).join(parts.withColumnRenamed("own", "_own"), group).where("own <=> _own")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("set", F.lit(3)), F.col("parts")).cast("int")).withColumn("block", named).drop("own", "_own", "part", "parts")
+    first = dealt.join(pairs.withColumn("block", F.col("block_a")), [*group, "block"]).withColumn("side", F.lit(0))
+    second = dealt.join(pairs.where("block_a < block_b").withColumn("block", F.col("block_b")), [*group, "block"]).withColumn("side", F.lit(1))
+    return first.unionByName(second).drop("block")
+
+
+def _near_in_group(size: np.ndarray, label: np.ndarray, side: np.ndarray, table: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set (by rising size), the later ones of other components that its histogram can't rule out, across sides where there are two."""
+    crossed = bool(side.any())
     bins = np.array([len(h) for h in table])
     by_bins = {b: np.flatnonzero(bins == b) for b in np.unique(bins).tolist()}
     rows = {b: np.stack([table[i] for i in at]).astype(np.int16) for b, at in by_bins.items()}
@@ -373,7 +414,7 @@ def _near_in_group(size: np.ndarray, label: np.ndarray, table: list[np.ndarray],
             if z > a:
                 most = np.minimum(rows[b][place[i]], m[a:z]).sum(1, dtype=np.int64)
                 j = at[a:z]
-                hits.append(j[(label[j] != label[i]) & ((den + num) * most >= num * (size[i] + size[j]))])
+                hits.append(j[(label[j] != label[i]) & ((side[j] != side[i]) | (not crossed)) & ((den + num) * most >= num * (size[i] + size[j]))])
         if hits:
             yield i, np.concatenate(hits)
 
@@ -394,12 +435,12 @@ def _possible_edges(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for sets, label, size, table in zip(*(batch.column(c) for c in ("sets", "labels", "sizes", "histograms")), strict=True):
-                sets, label, size = (np.asarray(x.values) for x in (sets, label, size))
+            for sets, label, size, side, table in zip(*(batch.column(c) for c in ("sets", "labels", "sizes", "sides", "histograms")), strict=True):
+                sets, label, size, side = (np.asarray(x.values) for x in (sets, label, size, side))
                 order = np.argsort(size, kind="stable")
                 table = [np.frombuffer(table.values[int(i)].as_buffer(), np.uint8) for i in order]
-                sets, label, size = sets[order], label[order], size[order]
-                root = _roots(len(sets), [(i, j) for i, j in _near_in_group(size, label, table, num, den) if len(j)])
+                sets, label, size, side = sets[order], label[order], size[order], side[order]
+                root = _roots(len(sets), [(i, j) for i, j in _near_in_group(size, label, side, table, num, den) if len(j)])
                 other = root != np.arange(len(sets))
                 left.append(sets[root[other]])
                 right.append(sets[other])
@@ -410,52 +451,48 @@ def _possible_edges(num: int, den: int):
     return run
 
 
-BLOCK_ROWS, BLOCK_COLUMNS = 1024, 4096
+COLUMNS = 4096
 
 
-def _common(bodies: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Intersection sizes of all pairs of sets, as blocks (row from, column from, counts), by products of 0/1 matrices.
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs, by products of 0/1 matrices whose columns are the hashes that both sides have."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    total = np.zeros((len(left), len(right)), np.float32)
 
-    Only hashes that two sets have can count, so the matrices' columns are those.
-    """
-    flat, n = np.concatenate(bodies), np.array([len(b) for b in bodies])
-    owner = np.repeat(np.arange(len(bodies)), n)
-    order = np.argsort(flat)
-    flat, owner = flat[order], owner[order]
-    fresh = np.append(True, flat[1:] != flat[:-1])
-    column = np.cumsum(fresh) - 1
-    several = (np.bincount(column) > 1)[column]
-    _, column = np.unique(column[several], return_inverse=True)
-    owner = owner[several]
-    width = int(column.max()) + 1 if len(column) else 0
-    cuts = np.searchsorted(column, np.arange(0, width + BLOCK_COLUMNS, BLOCK_COLUMNS))
-    for r in range(0, len(bodies), BLOCK_ROWS):
-        for c in range(r, len(bodies), BLOCK_ROWS):
-            rows, cols = min(BLOCK_ROWS, len(bodies) - r), min(BLOCK_ROWS, len(bodies) - c)
-            total = np.zeros((rows, cols), np.float32)
-            for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                own, at = owner[a:z], column[a:z] - k * BLOCK_COLUMNS
-                x, y = np.zeros((rows, BLOCK_COLUMNS), np.float32), np.zeros((cols, BLOCK_COLUMNS), np.float32)
-                for m, base, size in ((x, r, rows), (y, c, cols)):
-                    inside = (own >= base) & (own < base + size)
-                    m[own[inside] - base, at[inside]] = 1
-                total += x @ y.T
-            yield r, c, total
+    def entries(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column) of each hash that is shared, by rising column, and where every COLUMNS-th column begins."""
+        flat, owner = np.concatenate(bodies), np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
+        spot = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        keep = shared[spot] == flat
+        order = np.argsort(spot[keep], kind="stable")
+        column = spot[keep][order]
+        return owner[keep][order], column, np.searchsorted(column, np.arange(0, len(shared) + COLUMNS, COLUMNS))
+
+    if not len(shared):
+        return total
+    sides = entries(left), entries(right)
+    for k in range(-(-len(shared) // COLUMNS)):
+        x, y = (np.zeros((len(b), COLUMNS), np.float32) for b in (left, right))
+        for m, (row, column, cuts) in zip((x, y), sides, strict=True):
+            m[row[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * COLUMNS] = 1
+        total += x @ y.T
+    return total
 
 
 def _linked_lists(num: int, den: int):
-    """Exact links inside each list, as edges from every set to the first of its component."""
+    """Exact links between the two blocks of a pair (or inside one), as edges from every set to the first of its component."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets = np.asarray(table.column("set").combine_chunks())
+        sets, side, label = (np.asarray(table.column(c).combine_chunks()) for c in ("set", "side", "label"))
         bodies = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("body").combine_chunks()]
-        _, keep = np.unique(sets, return_index=True)
-        sets, bodies = sets[keep], [bodies[i] for i in keep]
-        n, pairs = np.array([len(b) for b in bodies]), []
-        for r, c, both in _common(bodies):
-            good = (den + num) * both.astype(np.int64) >= num * (n[r : r + len(both), None] + n[None, c : c + both.shape[1]])
-            pairs += [(r + int(i), c + np.flatnonzero(good[i])) for i in np.flatnonzero(good.any(1))]
-        root = _roots(len(sets), pairs)
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if side.any() else a
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = _common([bodies[i] for i in a], [bodies[i] for i in b]).astype(np.int64)
+        n = np.array([len(x) for x in bodies])
+        good = ((den + num) * both >= num * (n[a][:, None] + n[b][None])) & (label[a][:, None] != label[b][None])
+        root = _roots(len(sets), [(int(a[i]), b[good[i]]) for i in np.flatnonzero(good.any(1))])
         other = root != np.arange(len(sets))
         return pa.table({"a": pa.array(sets[root[other]]), "b": pa.array(sets[other])})
 
@@ -484,6 +521,7 @@ def set_components(docs: DataFrame, k: int = K_WORDS, num: int = NUM, den: int =
     owners = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     owners = stored(owners.join(wanted, "set_id"), "ngram-wanted")
     profiles = stored(texts_of(texts, owners, owners.select("set_id")).mapInArrow(_profiles(k, num, den), PROFILES), "ngram-profiles")
+    profiles = unique_sets(profiles, "ngram-one-profile")
     check = Verifier(texts, owners, profiles, k, num, den)
 
     stars = check.possible(stars).join(stars, ["a", "b"])
@@ -501,7 +539,7 @@ def set_components(docs: DataFrame, k: int = K_WORDS, num: int = NUM, den: int =
     free(spark)
 
     # Round 2: groups of more than two sets that still hold several components.
-    own = profiles.select(F.col("set_id").alias("set"), "n", F.col("band").alias("_own"), "missing", "missing_next").dropDuplicates(["set"])
+    own = profiles.select(F.col("set_id").alias("set"), "n", F.col("band").alias("_own"), "missing", "missing_next")
     wide = groups.where(F.size("members") > 2).select("band", "gid", "weight", F.element_at("members", 1).alias("first"), F.explode("members").alias("set"))
     members = labelled(wide, "set", "label")
     spread = members.groupBy("band", "gid").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.approx_count_distinct("label").alias("_labels")).where("_lo <> _hi")
@@ -514,17 +552,20 @@ def set_components(docs: DataFrame, k: int = K_WORDS, num: int = NUM, den: int =
     furthest = F.floor((F.col("n") + F.least(F.floor(F.col("n") * den / num), hi[F.col("band")])) * (den - num) / (den + num))
     bound_to = hot.where(F.col("_hot") + empty >= given[F.col("band")] - furthest).select("set", "band", F.lit(True).alias("_bound"))
     members = members.join(bound_to, ["set", "band"], "left").where("not is_hot or _bound")
-    bodies = profiles.select(F.col("set_id").alias("set"), "n", "histogram").dropDuplicates(["set"])
-    item = F.struct(F.col("set").alias("s"), F.col("label").alias("l"), F.col("n"), F.col("histogram").alias("h"))
-    rest = members.join(bodies, "set").groupBy("band", "gid", "first").agg(F.collect_list(item).alias("_m")).where(F.size("_m") > 1)
-    rest = rest.select(F.col("_m.s").alias("sets"), F.col("_m.l").alias("labels"), F.col("_m.n").alias("sizes"), F.col("_m.h").alias("histograms"))
+    sizes = profiles.select(F.col("set_id").alias("set"), "n")
+    open_ = stored(members.select("band", "gid", "set", "label").join(sizes, "set"), "ngram-members")
+    pieces = blocked(open_, ["band", "gid"]).join(profiles.select(F.col("set_id").alias("set"), "histogram"), "set")
+    item = F.struct(F.col("set").alias("s"), F.col("label").alias("l"), F.col("n"), F.col("side").alias("d"), F.col("histogram").alias("h"))
+    rest = pieces.groupBy("band", "gid", "block_a", "block_b").agg(F.collect_list(item).alias("_m")).where(F.size("_m") > 1)  # two blocks at most
+    rest = rest.select(F.col("_m.s").alias("sets"), F.col("_m.l").alias("labels"), F.col("_m.n").alias("sizes"), F.col("_m.d").alias("sides"), F.col("_m.h").alias("histograms"))
     edges = stored(rest.mapInArrow(_possible_edges(num, den), "a long, b long").distinct(), "ngram-possible")
     if edges.isEmpty():
         return rows, labels
     joined = components(edges)
     listed = joined.select(F.col("label").alias("gid"), F.col("node").alias("set")).unionByName(joined.select(F.col("label").alias("gid"), F.col("label").alias("set")).distinct())
-    bodies = stored(texts_of(texts, owners, listed.select(F.col("set").alias("set_id")).distinct()).mapInArrow(_bodies(k), "set_id long, body binary"), "ngram-bodies")
-    inside = listed.join(bodies.withColumnRenamed("set_id", "set"), "set").groupBy("gid").applyInArrow(_linked_lists(num, den), "a long, b long")
+    listed = stored(labelled(listed, "set", "label").join(sizes, "set"), "ngram-clusters")
+    bodies = bodies_of(texts, owners, listed.select(F.col("set").alias("set_id")).distinct(), k)
+    inside = blocked(listed, ["gid"]).join(bodies.withColumnRenamed("set_id", "set"), "set").groupBy("gid", "block_a", "block_b").applyInArrow(_linked_lists(num, den), "a long, b long")
     links = stored(links.unionByName(inside.distinct()), "ngram-links")
     return rows, components(links)
 

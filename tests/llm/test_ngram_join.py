@@ -105,3 +105,56 @@ def test_shingle_numbers(spark):
     rows = [(i, t) for i, t in enumerate(["a b c d e f", "a a a a a a a", "Ünïcode wörds hier und da noch", "a\u00a0b c d e f g", "tab\tnew\nline\x0bff\x0cx y"])]
     got = {r["doc_id"]: r["n_shingles"] for r in g.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: len(shingle_set(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("sets, most", [(3, 10**9), (7, 300), (512, 400_000)])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, sets, most):
+    monkeypatch.setattr(g, "BLOCK_SETS", sets)
+    monkeypatch.setattr(g, "BLOCK_SHINGLES", most)
+    rows = corpus(17, 120)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in g.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == components(rows)
+
+
+def test_blocks_cover_all_pairs_of_components(spark, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK_SETS", 5)
+    r = random.Random(1)
+    members = [(k, i, r.choice([0, 0, 0, 1, 2, i]), r.randint(1, 50)) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(members, "gid long, set long, label long, n long")
+    pieces = {}
+    for x in g.blocked(df, ["gid"]).collect():
+        pieces.setdefault((x["gid"], x["block_a"], x["block_b"]), []).append((x["side"], x["set"], x["label"]))
+    met = set()
+    for (gid, a, b), own in pieces.items():
+        assert len(own) <= 40 and len({s for _, s, _ in own}) == len(own)
+        met |= {(gid, min(s, t), max(s, t)) for d, s, l in own for e, t, m in own if l != m and (a == b or d != e)}
+    label = {(k, i): l for k, i, l, _ in members}
+    assert met == {(k, i, j) for k in range(3) for i in range(60) for j in range(i + 1, 60) if label[k, i] != label[k, j]}
+
+
+def test_repeated_rows_stay_linear(spark):
+    """Rows of a doc_id that repeats, with equal and with different texts, don't multiply on the way."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words))] * 30 + [(2, " ".join(words[:-2]))] * 30 + [(2, "another text of this number " + " ".join(words[:20]))] * 30 + [(None, " ".join(words[:-1]))] * 30
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = [tuple(r) for r in g.near_duplicates(df).collect()]
+    assert len(got) == 120 and {(d, n): c for d, n, c in got} == {(1, 56): 1, (2, 54): 1, (None, 55): 1, (2, 21): 2}
+
+
+def test_long_words_are_told_apart(spark):
+    """Words of more than 65,536 bytes that differ by a swap of bytes that far apart."""
+    a = "a" * 70_000 + "b" + "a" * 70_000
+    b = a[4465:] + a[:4465]
+    swapped = list(a)
+    swapped[70_000], swapped[70_000 - 65_536] = swapped[70_000 - 65_536], swapped[70_000]
+    got = {r["doc_id"]: r["component_id"] for r in g.near_duplicates(spark.createDataFrame([(1, a), (2, "".join(swapped)), (3, b), (4, a)], SCHEMA)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_allocation_is_the_cheapest_in_every_band():
+    m, d = g.allocation(75, 100)
+    for hi, a, b in zip(g.BAND_HI[:9].tolist(), m.tolist(), d.tolist(), strict=False):
+        apart = g.most_apart(2 * hi, 75, 100)
+        need = apart + 1 + (-(-15 * apart // 100) if hi > 12 else 0)
+        choices = [(x + (need - x) * hi / x, x) for x in range(max(1, (need + 1) // 2), max(2, min(need, max(1, hi // 3)) + 1)) if need - x <= x]
+        assert (a + b * hi / a) <= min(choices)[0] + 1e-9 and a + b == need
