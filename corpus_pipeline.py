@@ -7,6 +7,13 @@ documents so that sources come near their targets, and sharding adds each row's
 
 Stages decide per row: the join, decontamination and mixing give every row a key of its own first, so rows that share a
 doc_id or have none are judged one by one.
+
+Defined cases, for every stage: a null or repeated doc_id is no reason to lose or keep a row; repeated rows are copies of each
+other (one stays in the join) and rows like any other elsewhere; null and empty texts get the classifier's score of an empty
+text, have no copies and hold nothing, are never taken by the mix (they have no words), and are one group in sharding; very long
+texts are read whole; an empty table gives an empty result; extra columns go through all stages as they are, also where an operator
+has a column of that name (only ``shard`` and ``slot`` of the last stage replace columns of these names); names that begin with
+``_`` and are not those of ``documents`` are reserved for the stages.
 """
 
 from __future__ import annotations
@@ -26,8 +33,8 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents whose score is under the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, *quality.train(docs, labels))
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score(docs, *quality.train(docs, labels), out="_score")
+    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +67,10 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: the documents with their shard and slot."""
-    return sharding.shard(sharding.with_groups(docs)).select(*docs.columns, "shard", "slot")
+    rows = sharding.with_groups(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")).drop("text")
+    placed = sharding.shard(rows).select("_doc", F.struct("shard", "slot").alias("_at"))
+    kept = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return placed.select(*kept, "_at.shard", "_at.slot")
 
 
 STAGES = [

@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (as in tests) a temporary folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session, or the context's checkpoint folder.
+
+    Where neither is set, a session on one machine (as in tests) gets a temporary folder of its own; on a cluster, where
+    executors would not see it, this is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="kinfold-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        found = f"file://{_own[app]}"
     return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/kinfold-{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared folder and read it back. The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts don't decide what a Python worker and its executor need."""
+    """Bound Arrow batches by bytes, so that long texts don't decide what a Python worker and its executor need.
+
+    Spark reads this when a plan runs, which is after the operator has returned, so the setting stays with the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -173,11 +173,11 @@ def _features_of(vectors: np.ndarray):
     return run
 
 
-def _scores_of(vectors: np.ndarray, net: Network | None, keep: list[str]):
+def _scores_of(vectors: np.ndarray, net: Network | None, keep: list[str], out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, flat, offs in slices(batches, "text"):
             s = net.score(features(flat, offs, vectors)) if net else np.ones(rows.num_rows)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, out])
 
     return run
 
@@ -200,14 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     return vectors, fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["quality"] for r in rows]))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network | None, keep: list[str] | None = None) -> DataFrame:
-    """Add ``score`` to the columns ``keep`` (all but a clashing one)."""
+def score(docs: DataFrame, vectors: np.ndarray, net: Network | None, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """Add ``out`` to the columns ``keep`` (all but a clashing one)."""
     from pyspark.sql import types as T
 
-    keep = keep or [c for c in docs.columns if c != "score"]
-    schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField("score", T.DoubleType())])
+    keep = keep or [c for c in docs.columns if c != out]
+    schema = T.StructType([f for f in docs.schema.fields if f.name in keep and f.name != out] + [T.StructField(out, T.DoubleType())])
     keep = [f.name for f in schema.fields[:-1]]
-    return docs.drop("score").mapInArrow(_scores_of(vectors, net, keep), schema)
+    return docs.drop(out).mapInArrow(_scores_of(vectors, net, keep, out), schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

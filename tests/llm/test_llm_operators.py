@@ -757,3 +757,50 @@ def test_stages_decide_per_row(spark, sf_dir):
     sized = mixing.sizes(frame(rows)).withColumn("_nr", F.monotonically_increasing_id())
     taken = mixing.mix(sized, order=("doc_id", "_nr")).select("doc_id", "text", F.round(F.col("taken") / F.col("size")).cast("int").alias("n")).collect()
     assert kept(p.stage_mixing, rows) == sorted([(r[0], r[1]) for r in taken for _ in range(r[2])], key=repr) and any(r[0] is None and r[2] for r in taken)
+
+
+def _pipeline_rows(spark, sf_dir):
+    """Nulls, repeats and clashing names, on top of clean texts of the table."""
+    clean = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    names = ["score", "shard", "slot", "size", "group_key", "text_crc32", "taken", "target", "component_id", "windows", "n_shingles", "first_slot", "text_hash", "kind"]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(clean)] + [(None, t, None, None) for t in clean[:5]] + [(3, clean[3], "en", "s0")] * 3 + [(90, None, None, "s1"), (91, "", "en", None), (92, clean[0] + " word" * 200_000, "en", "s1")]
+    return spark.createDataFrame([(*r, *(f"{c}{k}" for c in names)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+
+
+def test_stages_handle_odd_rows_and_names(spark, sf_dir):
+    import corpus_pipeline as p
+
+    df = _pipeline_rows(spark, sf_dir)
+    for name, stage in p.STAGES:
+        out = stage(spark, df, sf_dir)
+        rows = out.collect()
+        known = {tuple(r[c] for c in df.columns if c not in ("shard", "slot")) for r in df.collect()}
+        assert sorted(out.columns) == sorted({*df.columns, "shard", "slot"}) and len(set(out.columns)) == len(out.columns), name
+        assert rows and {tuple(r[c] for c in df.columns if c not in ("shard", "slot")) for r in rows} <= known, name
+        if name != "sharding":
+            assert out.columns == df.columns
+        else:
+            assert len(rows) == df.count() and {r["shard"] for r in rows} <= set(range(16))
+        empty = stage(spark, df.limit(0), sf_dir)
+        assert empty.columns == out.columns and empty.count() == 0, name
+    joined = Counter(r["text"] for r in p.stage_ngram_join(spark, df, sf_dir).collect())
+    texts = {r["text"] for r in df.collect() if r["text"]}
+    assert all(joined[t] <= 1 for t in texts) and joined[None] == joined[""] == 1
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
+    from kinfold.llm import _store
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _store.shared_dir(Session())
+    Context.master = "local[4]"
+    assert _store.shared_dir(Session()) == _store.shared_dir(Session()) != ""
