@@ -40,16 +40,22 @@ def weighted(posted: DataFrame, rank: str = "bm25", max_block_df: int | None = N
     return posted.join(df, ["block", "token"]).join(F.broadcast(lengths), "block").withColumn("relevance", hit).drop("n", "avgdl")  # a row per configured block
 
 
+def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): every ordered pair of different records that share a token of a block."""
+    a = left.select(F.col("id").alias("l"), "block", "token").distinct()
+    b = right.select(F.col("id").alias("r"), "block", "token").distinct()
+    return a.join(b, ["block", "token"]).where("l <> r").select("l", "r").distinct()
+
+
 def candidates(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(l, r, relevance, rank, truncated): the k best-matching records for each record of ``left``.
 
     ``left`` (id, block, token) holds the population's postings, ``right`` everyone's with their relevance. A join on
-    (block, token) replaces one query per record; the top-K window is limited per task before its shuffle.
+    (block, token) replaces one query per record; pairs are dealt by record once, for their sums, their ranks and their number.
     """
     a = left.select(F.col("id").alias("l"), "block", "token").distinct()
     b = right.select(F.col("id").alias("r"), "block", "token", "relevance")
-    pairs = a.join(b, ["block", "token"]).where(F.col("l") != F.col("r")).groupBy("l", "r").agg(F.sum("relevance").alias("relevance"))
-    found = pairs.groupBy("l").agg(F.count("*").alias("_found"))
-    w = Window.partitionBy("l").orderBy(F.desc(F.round("relevance", 9)), "r")
-    best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.join(found, "l").withColumn("truncated", F.col("_found") >= k).drop("_found")
+    found = a.join(b, ["block", "token"]).where(F.col("l") != F.col("r")).repartition("l").groupBy("l", "r").agg(F.sum("relevance").alias("relevance"))
+    own = Window.partitionBy("l")
+    ranked = found.withColumns({"rank": F.row_number().over(own.orderBy(F.desc(F.round("relevance", 9)), "r")), "_found": F.count("*").over(own)})
+    return ranked.where(F.col("rank") <= k).withColumn("truncated", F.col("_found") >= k).drop("_found")

@@ -8,11 +8,13 @@ from kinfold.functions.setsim import best_of, blended_overlap, containment, jacc
 from kinfold.functions.text import Binding, normalize_phone
 from kinfold.operators import blocking, scoring
 from kinfold.operators.context import normalised_idf, rarity_table, suppressed, value_rows
-from kinfold.operators.enrich import within_gap
+from kinfold.operators.enrich import LookupPolicy, build_lookup, enrich, within_gap
 from kinfold.operators.signals import AddressSignal, Context, ExactIdentifierSignal, SharedTokenSignal, TemporalSignal, lifecycle_columns
 from kinfold.plans._registry import query, table
 from kinfold.plans.sweep import analyze, sweep
 
+#: Parts of a lot: a code is a brand within a lot, so as many parts share one (about 40) at any size of the table.
+PARTS_OF_LOT = 1000
 PARTS_CONFIG = {
     "source_index": "part",
     "entity": {"key": "p_partkey", "summary_fields": ["p_name", "p_brand"]},
@@ -29,7 +31,7 @@ PARTS_CONFIG = {
 
 
 def parts(spark, sf):
-    df = table(spark, sf, "part").withColumn("code", F.concat_ws("/", "p_brand", (F.col("p_size") % 10).cast("string")))
+    df = table(spark, sf, "part").withColumn("code", F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / PARTS_OF_LOT).cast("string")))
     return analyze(df, [Binding("p_name", {"clean": "name_clean"})])
 
 
@@ -40,7 +42,7 @@ def part_pairs(spark, sf):
 
 _TOKENS = "list_distinct(string_split(lower(p_name), ' '))"
 _PAIRS_SQL = f"""
-WITH e AS (SELECT p_partkey AS k, p_name, p_brand, p_type, p_brand || '/' || (p_size % 10) AS code, {_TOKENS} AS t FROM part),
+WITH e AS (SELECT p_partkey AS k, p_name, p_brand, p_type, p_brand || '/' || (p_partkey // 1000) AS code, {_TOKENS} AS t FROM part),
      hot AS (SELECT code FROM e GROUP BY code HAVING count(*) > 1000),
      typ AS (SELECT p_type, count(*) AS c, sum(count(*)) OVER () AS n FROM e GROUP BY p_type),
      idf AS (SELECT p_type, CASE WHEN n < 2 THEN 0.0 ELSE ln(n / c) / ln(n) END AS idf FROM typ),
@@ -111,7 +113,7 @@ def _twin_parts(spark, sf):
 
 
 _TWINS = """
-WITH e AS (SELECT p_partkey AS k, p_brand || '/' || (p_size % 10) AS code, list_distinct(string_split(lower(p_name), ' ')) AS n, list_distinct(string_split(lower(p_type), ' ')) AS t FROM part),
+WITH e AS (SELECT p_partkey AS k, p_brand || '/' || (p_partkey // 1000) AS code, list_distinct(string_split(lower(p_name), ' ')) AS n, list_distinct(string_split(lower(p_type), ' ')) AS t FROM part),
      p AS (SELECT a.k AS left_key, b.k AS right_key, a.n AS n1, b.n AS n2, a.t AS t1, b.t AS t2 FROM e a JOIN e b ON a.code = b.code AND a.k < b.k)
 """
 _BLEND = "((len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) + len(list_intersect({a}, {b})) / least(len({a}), len({b}))) / 2)"
@@ -130,55 +132,65 @@ def cross_field_overlap(spark, sf):
     return _twin_parts(spark, sf).select(F.col("p_partkey1").alias("left_key"), F.col("p_partkey2").alias("right_key"), F.round(best_of(scores), 6).alias("score"))
 
 
-_STREET = "CASE c_custkey % 5 WHEN 0 THEN (c_custkey % 40)::VARCHAR || ' MAIN ST' WHEN 1 THEN (c_custkey % 40)::VARCHAR || ' Main Street' WHEN 2 THEN (c_custkey % 40)::VARCHAR || ' MAIN ST STE 4' WHEN 3 THEN 'P.O. BOX ' || (c_custkey % 40)::VARCHAR ELSE NULL END"
-
-
-def _addresses(spark, sf):
-    n = (F.col("c_custkey") % 40).cast("string")
-    kind = F.col("c_custkey") % 5
-    street = F.when(kind == 0, F.concat(n, F.lit(" MAIN ST"))).when(kind == 1, F.concat(n, F.lit(" Main Street"))).when(kind == 2, F.concat(n, F.lit(" MAIN ST STE 4"))).when(kind == 3, F.concat(F.lit("P.O. BOX "), n))
-    df = table(spark, sf, "customer").withColumn("street", street).withColumn("state", F.col("c_nationkey").cast("string"))
-    df = analyze(df, [Binding("street", {"clean": "street_clean", "tokens": "street_tokens"})])
-    signal = AddressSignal({"type": "address", "weight": 1, "fields": ["street"], "exact_subfield": "clean", "fuzzy_subfield": "tokens", "fuzzy_scale": 0.7}, 0, Context({}, state_field="state"))
-    rec = signal.prepare(df, "c_custkey")
-    rec = rec.select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 200).alias("bucket"), F.struct(*[c for c in rec.columns if c.startswith("ev")]).alias("rec"))
-    a, b = (rec.withColumnsRenamed({"c_custkey": f"k{i}", "rec": f"r{i}"}) for i in (1, 2))
-    return a.join(b, ["c_mktsegment", "bucket"]).where("k1 <> k2").select("k1", "k2", signal.score("r1", "r2").alias("score"))
+#: A house has 40 customers, a telephone three, a mailbox four, at any size of the table.
+_FIRMS = """
+WITH f AS (SELECT c_custkey AS k, c_nationkey AS state,
+                  CASE c_custkey % 5 WHEN 0 THEN (c_custkey // 40)::VARCHAR || ' MAIN ST' WHEN 1 THEN (c_custkey // 40)::VARCHAR || ' Main Street' WHEN 2 THEN (c_custkey // 40)::VARCHAR || ' MAIN ST STE 4'
+                                     WHEN 3 THEN 'P.O. BOX ' || (c_custkey // 40)::VARCHAR ELSE NULL END AS street,
+                  '(555) ' || lpad((c_custkey // 3)::VARCHAR, 7, '0') AS phone,
+                  CASE c_custkey % 3 WHEN 0 THEN '0000000000' WHEN 1 THEN '555' || lpad(((c_custkey + 3) // 3)::VARCHAR, 7, '0') ELSE NULL END AS fax,
+                  CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE 'Mail' || (c_custkey // 4)::VARCHAR END AS mail FROM customer),
+     c AS (SELECT *, trim(regexp_replace(regexp_replace(lower(regexp_replace(street, '(?i)\\bp[.\\s]*o[.\\s]*(box|b\\b)', 'pobox', 'g')), '[[:punct:]]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean,
+                  list_filter([regexp_replace(phone, '[^0-9]', '', 'g'), CASE WHEN fax <> '0000000000' THEN fax END, nullif(lower(trim(mail)), '')], lambda v: v IS NOT NULL) AS vs FROM f),
+     t AS (SELECT *, list_distinct(list_transform(list_filter(string_split(clean, ' '), lambda w: w <> 'ste'), lambda w: CASE WHEN w = 'st' THEN 'street' ELSE w END)) AS tok FROM c),
+     post AS (SELECT k, 'street' AS block, clean AS token FROM t WHERE clean IS NOT NULL UNION ALL SELECT k, 'phone', regexp_replace(phone, '[^0-9]', '', 'g') FROM t
+              UNION ALL SELECT k, 'fax', fax FROM t WHERE fax <> '0000000000' UNION ALL SELECT k, 'mail', mail FROM t WHERE trim(mail) <> ''),
+     pairs AS (SELECT DISTINCT a.k AS l, b.k AS r FROM post a JOIN post b ON a.block = b.block AND a.token = b.token AND a.k <> b.k)
+"""
 
 
-@query(f"""
-WITH e AS (SELECT c_custkey AS k, c_mktsegment AS m, c_custkey % 200 AS bucket, c_nationkey AS state, {_STREET} AS s FROM customer),
-     c AS (SELECT *, trim(regexp_replace(regexp_replace(lower(regexp_replace(s, '(?i)\\bp[.\\s]*o[.\\s]*(box|b\\b)', 'pobox', 'g')), '[[:punct:]]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM e),
-     t AS (SELECT *, list_distinct(list_transform(list_filter(string_split(clean, ' '), lambda w: w <> 'ste'), lambda w: CASE WHEN w = 'st' THEN 'street' ELSE w END)) AS tok FROM c)
-SELECT a.k AS left_key, b.k AS right_key,
+def _firms(spark, sf):
+    k = F.col("c_custkey")
+    n = F.floor(k / 40).cast("string")
+    text = lambda by, more=0: F.floor((k + more) / by).cast("string")
+    kind = k % 5
+    df = table(spark, sf, "customer").withColumns({
+        "street": F.when(kind == 0, F.concat(n, F.lit(" MAIN ST"))).when(kind == 1, F.concat(n, F.lit(" Main Street"))).when(kind == 2, F.concat(n, F.lit(" MAIN ST STE 4"))).when(kind == 3, F.concat(F.lit("P.O. BOX "), n)),
+        "state": F.col("c_nationkey").cast("string"), "phone": F.concat(F.lit("(555) "), F.lpad(text(3), 7, "0")),
+        "fax": F.when(k % 3 == 0, "0000000000").when(k % 3 == 1, F.concat(F.lit("555"), F.lpad(text(3, 3), 7, "0"))),
+        "mail": F.when(k % 4 == 0, " ").otherwise(F.concat(F.lit("Mail"), text(4))),
+    })
+    return analyze(df, [Binding("street", {"clean": "street_clean", "tokens": "street_tokens"})])
+
+
+def _scored_by_evidence(spark, sf, scored):
+    """Pairs of customers that share a street, a number or a mailbox, with the score of the signal number ``scored``."""
+    signals = [
+        AddressSignal({"type": "address", "weight": 1, "fields": ["street"], "exact_subfield": "clean", "fuzzy_subfield": "tokens", "fuzzy_scale": 0.7}, 0, Context({}, state_field="state")),
+        ExactIdentifierSignal({"type": "exact-identifier", "weight": 1, "phone_fields": ["phone", "fax"], "text_fields": ["mail"]}, 1, Context({"fax": ["0000000000"]})),
+    ]
+    rec = _firms(spark, sf)
+    for s in signals:
+        rec = s.prepare(rec, "c_custkey")
+    rec = signals[1].seed_columns(rec)
+    blocks = {f"{s.index}:{b}": f"`{c}`" for s in signals for b, c in s.seeds(rec)[1].items()}
+    pairs = blocking.pairs(blocking.postings(rec, "c_custkey", blocks), blocking.postings(rec, "c_custkey", blocks))
+    ev = rec.select("c_custkey", F.struct(*[F.col(c) for c in rec.columns if c.startswith("ev")]).alias("rec"))
+    both = pairs.join(ev.withColumnsRenamed({"c_custkey": "l", "rec": "a"}), "l").join(ev.withColumnsRenamed({"c_custkey": "r", "rec": "b"}), "r")
+    return both.select("l", "r", signals[scored].score("a", "b").alias("score"))
+
+
+@query(_FIRMS + """SELECT l AS left_key, r AS right_key,
        CASE WHEN a.clean IS NULL OR b.clean IS NULL THEN NULL WHEN a.clean = b.clean THEN 1.0
             ELSE round(len(list_intersect(a.tok, b.tok)) / least(len(a.tok), len(b.tok)) * 0.7 * CASE WHEN a.state = b.state THEN 1.0 ELSE 0.5 END, 6) END::DOUBLE AS score
-FROM t a JOIN t b ON a.m = b.m AND a.bucket = b.bucket AND a.k <> b.k
-""")
+FROM pairs JOIN t a ON a.k = l JOIN t b ON b.k = r""")
 def address_signal(spark, sf):
-    return _addresses(spark, sf).select(F.col("k1").alias("left_key"), F.col("k2").alias("right_key"), F.round("score", 6).alias("score"))
+    return _scored_by_evidence(spark, sf, 0).select(F.col("l").alias("left_key"), F.col("r").alias("right_key"), F.round("score", 6).alias("score"))
 
 
-@query("""
-WITH e AS (SELECT c_custkey AS k, c_mktsegment AS m, c_custkey % 100 AS bucket, '(555) ' || lpad((c_custkey % 7)::VARCHAR, 3, '0') || '-1234' AS phone,
-                  CASE c_custkey % 3 WHEN 0 THEN '0000000000' WHEN 1 THEN '555' || lpad((c_custkey % 11)::VARCHAR, 3, '0') || '1234' ELSE NULL END AS fax,
-                  CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE 'Mail' || (c_custkey % 13)::VARCHAR END AS mail FROM customer),
-     v AS (SELECT k, m, bucket, unnest([regexp_replace(phone, '[^0-9]', '', 'g'), CASE WHEN fax <> '0000000000' THEN fax END, nullif(lower(trim(mail)), '')]) AS v FROM e),
-     g AS (SELECT k, m, bucket, list(v) FILTER (WHERE v IS NOT NULL) AS vs FROM v GROUP BY k, m, bucket)
-SELECT a.k AS left_key, b.k AS right_key, CASE WHEN a.vs IS NULL OR b.vs IS NULL THEN NULL WHEN list_has_any(a.vs, b.vs) THEN 1.0 ELSE 0.0 END::DOUBLE AS score
-FROM g a JOIN g b ON a.m = b.m AND a.bucket = b.bucket AND a.k < b.k
-""")
+@query(_FIRMS + "SELECT l AS left_key, r AS right_key, CASE WHEN len(a.vs) = 0 OR len(b.vs) = 0 THEN NULL WHEN list_has_any(a.vs, b.vs) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pairs JOIN t a ON a.k = l JOIN t b ON b.k = r WHERE l < r")
 def exact_identifier(spark, sf):
-    k = F.col("c_custkey")
-    df = table(spark, sf, "customer").withColumns({
-        "phone": F.concat(F.lit("(555) "), F.lpad((k % 7).cast("string"), 3, "0"), F.lit("-1234")),
-        "fax": F.when(k % 3 == 0, "0000000000").when(k % 3 == 1, F.concat(F.lit("555"), F.lpad((k % 11).cast("string"), 3, "0"), F.lit("1234"))),
-        "mail": F.when(k % 4 == 0, " ").otherwise(F.concat(F.lit("Mail"), (k % 13).cast("string"))),
-    })
-    signal = ExactIdentifierSignal({"type": "exact-identifier", "weight": 1, "phone_fields": ["phone", "fax"], "text_fields": ["mail"]}, 0, Context({"fax": ["0000000000"]}))
-    rec = signal.prepare(df, "c_custkey").select("c_custkey", "c_mktsegment", (k % 100).alias("bucket"), F.struct("ev0").alias("rec"))
-    a, b = (rec.withColumnsRenamed({"c_custkey": f"k{i}", "rec": f"r{i}"}) for i in (1, 2))
-    return a.join(b, ["c_mktsegment", "bucket"]).where("k1 < k2").select(F.col("k1").alias("left_key"), F.col("k2").alias("right_key"), signal.score("r1", "r2").alias("score"))
+    return _scored_by_evidence(spark, sf, 1).where("l < r").select(F.col("l").alias("left_key"), F.col("r").alias("right_key"), "score")
 
 
 @query("""
@@ -210,21 +222,27 @@ def rarity_weighted(spark, sf):
 _LIFE = """
 WITH ends AS (SELECT user_id, max(ts)::DATE AS ended FROM events WHERE event_type = 'error' GROUP BY 1),
      begins AS (SELECT user_id, min(ts)::DATE AS began FROM events WHERE event_type = 'signup' GROUP BY 1),
-     p AS (SELECT a.user_id AS left_key, b.user_id AS right_key, CASE WHEN b.user_id % 10 = 0 THEN NULL ELSE date_diff('day', a.ended, b.began) END AS gap
-           FROM ends a JOIN begins b ON a.user_id % 50 = b.user_id % 50 AND a.user_id <> b.user_id)
+     post AS (SELECT DISTINCT user_id, event_type, round(value * 100)::BIGINT AS cents FROM events),
+     known AS (SELECT user_id FROM ends UNION SELECT user_id FROM begins),
+     token AS (SELECT event_type, cents FROM post GROUP BY 1, 2 HAVING count(*) <= 20),
+     shared AS (SELECT DISTINCT a.user_id AS l, b.user_id AS r FROM post a JOIN post b USING (event_type, cents) JOIN token USING (event_type, cents) WHERE a.user_id <> b.user_id),
+     p AS (SELECT l AS left_key, r AS right_key, CASE WHEN r % 10 = 0 THEN NULL ELSE date_diff('day', ended, began) END AS gap
+           FROM shared JOIN ends ON ends.user_id = l JOIN known ON known.user_id = r LEFT JOIN begins ON begins.user_id = r)
 """
 
 
 def _lives(spark, sf):
-    """Users as records with an array of error dates and a registration date, paired with others of their bucket."""
-    ev = table(spark, sf, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("d"))
+    """Users as records with an array of error dates and a registration date, paired with others by events of one kind and value."""
+    ev = table(spark, sf, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("d"), F.concat_ws(":", "event_type", F.round(F.col("value") * 100).cast("long").cast("string")).alias("token"))
     errors = ev.where("event_type = 'error'").groupBy("user_id").agg(F.collect_set(F.struct("d")).alias("errors"))
     signups = ev.where("event_type = 'signup'").groupBy("user_id").agg(F.min("d").alias("signup"))
     users = errors.join(signups.withColumn("signup", F.when(F.col("user_id") % 10 != 0, F.col("signup"))), "user_id", "full")
     rec = lifecycle_columns(users, {"shutdown_date": "errors.d", "registration_date": "signup"})
-    rec = rec.select("user_id", (F.col("user_id") % 50).alias("bucket"), F.col("errors").isNotNull().alias("ended"), F.struct("ev_shutdown", "ev_registered").alias("rec"))
+    rec = rec.select("user_id", F.col("errors").isNotNull().alias("ended"), F.struct("ev_shutdown", "ev_registered").alias("rec"))
+    posted = blocking.postings(ev.groupBy("user_id").agg(F.collect_set("token").alias("tokens")), "user_id", {"event": "tokens"})
+    pairs = blocking.pairs(posted, blocking.weighted(posted, "idf", 20))
     a, b = (rec.withColumnsRenamed({"user_id": f"k{i}", "rec": f"r{i}", "ended": f"e{i}"}) for i in (1, 2))
-    return a.join(b, "bucket").where("k1 <> k2 and e1")
+    return pairs.withColumnsRenamed({"l": "k1", "r": "k2"}).join(a.where("e1"), "k1").join(b, "k2")
 
 
 @query(_LIFE + "SELECT left_key, right_key, round(CASE WHEN gap IS NULL THEN NULL WHEN gap >= 0 THEN greatest(0.0, 1 - gap / 20.0) ELSE greatest(0.0, (1 - least(1.0, abs(gap) / 180.0)) * 0.5) END, 6) AS score FROM p")
@@ -303,3 +321,75 @@ def phone_clean(spark, sf):
     k = F.col("c_custkey")
     raw = F.when(k % 4 == 0, F.concat(F.lit("(555) "), k.cast("string"), F.lit("-77"))).when(k % 4 == 1, "999-9999").when(k % 4 == 2, "12").otherwise(F.concat(F.lit("+1 "), (k * 1000003).cast("string")))
     return table(spark, sf, "customer").select("c_custkey", normalize_phone(raw).alias("phone"))
+
+
+LIFECYCLE_CONFIG = {
+    "source_index": "firms",
+    "entity": {"key": "k", "key_label": "number", "summary_fields": ["name"]},
+    "lifecycle": {"shutdown_date": "orders.d", "registration_date": "added", "shutdown_reason": "orders.why"},
+    "population": {"mode": "lifecycle", "sort_field": "k", "selector": "ended", "selectors": {"ended": {"nested-exists": {"path": "orders", "require": "d", "terms": {"status": ["F"]}, "range": {"d": {"gte": "1997-01-01"}}}}}},
+    "candidates": {"max_candidates": 8, "seed_signals": ["name-token", "address"]},
+    "signals": [
+        {"type": "name-token", "weight": 0.4, "fields": ["name"], "subfield": "clean"},
+        {"type": "address", "weight": 0.3, "fields": ["street"], "exact_subfield": "clean", "fuzzy_subfield": "tokens"},
+        {"type": "temporal", "weight": 0.3, "max_gap_days": 365},
+    ],
+    "scoring": {"min_total_score": 0.35, "min_signals": 2, "require_identity_signal": True, "max_pairs_per_predecessor": 3, "min_gap_days": -200, "max_gap_days": 500},
+}
+FIRM_ORDERS = LookupPolicy("orders", "orders", "o_custkey", ("d", "status", "why"), ("o_orderkey",))
+
+
+def lifecycle_firms(spark, sf):
+    """Customers with a name (a word of four, one of about twenty), a street, a first day and up to five orders."""
+    k = F.col("c_custkey")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("why"))
+    kind = k % 3
+    n = F.floor(k / 6).cast("string")
+    df = table(spark, sf, "customer").select(
+        k.alias("k"), F.concat(F.lit("N"), F.floor(k / 4).cast("string"), F.lit(" "), F.initcap("c_mktsegment"), F.floor(k / 100).cast("string")).alias("name"),
+        F.when(kind == 0, F.concat(n, F.lit(" Oak St"))).when(kind == 1, F.concat(n, F.lit(" OAK STREET"))).otherwise(F.concat(n, F.lit(" Oak St. Apt 2"))).alias("street"),
+        F.date_format(F.date_add(F.lit("1995-06-01").cast("date"), ((k * 37) % 2200).cast("int")), "yyyy-MM-dd").alias("added"),
+    )
+    df = enrich(df, build_lookup(orders, FIRM_ORDERS, 5), "k", "orders")
+    return analyze(df, [Binding("name", {"clean": "name_clean"}), Binding("street", {"clean": "street_clean", "tokens": "street_tokens"})])
+
+
+_LIFECYCLE_SQL = """
+WITH o AS (SELECT o_custkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderstatus AS status, o_orderpriority AS why, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+     o5 AS (SELECT * FROM o WHERE n <= 5),
+     ended AS (SELECT k, max(d) AS d, arg_max(why, d || why) AS why FROM o5 GROUP BY k),
+     pop AS (SELECT DISTINCT k FROM o5 WHERE status = 'F' AND d >= '1997-01-01'),
+     e AS (SELECT c_custkey AS k, 'N' || (c_custkey // 4) || ' ' || c_mktsegment[1] || lower(c_mktsegment[2:]) || (c_custkey // 100) AS name,
+                  ['n' || (c_custkey // 4), lower(c_mktsegment) || (c_custkey // 100)] AS t,
+                  (c_custkey // 6) || CASE c_custkey % 3 WHEN 0 THEN ' oak st' WHEN 1 THEN ' oak street' ELSE ' oak st apt 2' END AS clean,
+                  CASE WHEN c_custkey % 3 = 2 THEN list_distinct(['' || (c_custkey // 6), 'oak', 'street', '2']) ELSE ['' || (c_custkey // 6), 'oak', 'street'] END AS s,
+                  DATE '1995-06-01' + (c_custkey * 37 % 2200)::INT AS added FROM customer),
+     post AS (SELECT k, 'name' AS block, unnest(t) AS token FROM e UNION ALL SELECT k, 'street', clean FROM e),
+     df AS (SELECT block, token, count(*) AS df FROM post GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM e),
+     rel AS (SELECT k, post.block, post.token, ln(1 + (n - df + 0.5) / (df + 0.5)) AS rel FROM post JOIN df USING (block, token) CROSS JOIN n),
+     cand AS (SELECT a.k AS l, b.k AS r, sum(b.rel) AS relevance FROM post a JOIN pop USING (k) JOIN rel b ON a.block = b.block AND a.token = b.token AND a.k <> b.k GROUP BY 1, 2),
+     top AS (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY round(relevance, 9) DESC, r) AS rank, count(*) OVER (PARTITION BY l) AS found FROM cand),
+     sim AS (SELECT l, r, rank, found >= 8 AS truncated, a.name AS ln, b.name AS rn, ended.d, ended.why, b.added, date_diff('day', ended.d::DATE, b.added) AS gap,
+                    len(list_intersect(a.t, b.t))::DOUBLE AS i, CASE WHEN a.clean = b.clean THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) * 0.7 END AS addr
+             FROM top JOIN e a ON a.k = l JOIN e b ON b.k = r JOIN ended ON ended.k = l WHERE rank <= 8),
+     sc AS (SELECT *, (i / (4 - i) + i / 2) / 2 AS name, CASE WHEN gap >= 0 THEN greatest(0.0, 1 - gap / 365.0) ELSE greatest(0.0, (1 - least(1.0, abs(gap) / 180.0)) * 0.5) END AS temp FROM sim WHERE gap BETWEEN -200 AND 500),
+     tot AS (SELECT *, name * 0.4 + addr * 0.3 + temp * 0.3 AS total FROM sc WHERE name > 0 OR addr > 0),
+     best AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY total DESC, rank, r) AS n FROM tot WHERE total >= 0.35)
+SELECT l || '|' || r AS _id, l AS predecessor, r AS successor, ln AS predecessor_name, rn AS successor_name, d AS shutdown_date, why AS shutdown_reason, strftime(added, '%Y-%m-%d') AS add_date, gap::INT AS gap_days,
+       round(total, 6) AS total_score, 3 AS signals_present, truncated,
+       array_to_string(list_sort(list_filter([CASE WHEN addr > 0 THEN 'address' END, CASE WHEN name > 0 THEN 'name-token' END, CASE WHEN temp > 0 THEN 'temporal' END], lambda v: v IS NOT NULL)), ',') AS matched_on
+FROM best WHERE n <= 3
+"""
+
+
+def lifecycle_pairs(spark, sf):
+    return sweep(lifecycle_firms(spark, sf), LIFECYCLE_CONFIG)
+
+
+@query(_LIFECYCLE_SQL)
+def entity_match_lifecycle(spark, sf):
+    return lifecycle_pairs(spark, sf).select(
+        "_id", F.col("predecessor.number").alias("predecessor"), F.col("successor.number").alias("successor"), F.col("predecessor.name").alias("predecessor_name"), F.col("successor.name").alias("successor_name"),
+        F.date_format("predecessor.shutdown_date", "yyyy-MM-dd").alias("shutdown_date"), F.col("predecessor.shutdown_reason").alias("shutdown_reason"), F.date_format("successor.add_date", "yyyy-MM-dd").alias("add_date"),
+        "gap_days", "total_score", "signals_present", "truncated", F.array_join("matched_on", ",").alias("matched_on"),
+    )
