@@ -197,10 +197,19 @@ def street_tokens(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(ANALYZERS["street_tokens"].token_set(street)), " ").alias("tokens"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents(replace(line, 'ß', 'ss'))), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> ''))), ' ') AS tokens FROM (SELECT doc_id, regexp_replace(regexp_extract(text, '^[\\p{L} ]*'), '_', ' ') AS line FROM documents)")
+# A mark joins what stands between two letters (or digits) inside a word; every second such place needs a second pass.
+_BETWEEN = "regexp_replace({0}, '([\\p{{L}}])[.'':]([\\p{{L}}])', '\\1\x01\\2', 'g')"
+_CURLED = "regexp_replace({0}, '([\\p{{L}}])’([\\p{{L}}])', '\\1\x02\\2', 'g')"
+_DIGITS = "regexp_replace({0}, '([\\p{{N}}])[.,;'']([\\p{{N}}])', '\\1\x01\\2', 'g')"
+_MARKED = "lower(strip_accents(replace(replace(replace(replace(replace(replace(text, 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), 'Ø', 'o')))"
+for _step in (_BETWEEN, _CURLED, _DIGITS) * 2:
+    _MARKED = _step.format(_MARKED)
+
+
+@query(f"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({_MARKED}, '[\\p{{L}}\\p{{M}}\\p{{N}}_\x01\x02]+'),
+ lambda w: replace(replace(replace(w, '\x01', ' '), '_', ' '), '\x02', '’')), lambda w: trim(w) <> ''))), ' '), '') AS tokens FROM documents""")
 def name_clean_tokens(spark, sf):
-    line = F.regexp_extract("text", r"^[\p{L} ]*", 0)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(ANALYZERS["name_clean"].token_set(line)), " ").alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(ANALYZERS["name_clean"].token_set(F.col("text"))), " ").alias("tokens"))
 
 
 @query("SELECT c_mktsegment AS segment, count(DISTINCT l_partkey) AS parts FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
