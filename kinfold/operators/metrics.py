@@ -62,8 +62,11 @@ def compile_predicate(df: DataFrame, predicate: dict | None) -> Column:
     raise ValueError(f"unknown predicate {kind!r}")
 
 
-def run_metrics(pairs: DataFrame, metrics: list[dict]) -> DataFrame:
-    """One row with every metric: counts and distinct counts in one pass, ratios (of any other metric) after it."""
+def run_metrics(pairs: DataFrame, metrics: list[dict], by: str | None = None) -> DataFrame:
+    """One row with every metric: counts and distinct counts in one pass, ratios (of any other metric) after it.
+
+    ``by`` names a column (a run, say): then there is one row for each of its values, all from the same pass.
+    """
     names = [m["name"] for m in metrics]
     if len(set(names)) < len(names):
         raise ValueError("metric names must be unique")
@@ -79,7 +82,7 @@ def run_metrics(pairs: DataFrame, metrics: list[dict]) -> DataFrame:
             base.append(F.count_distinct(F.when(test, value)).alias(m["name"]))
         else:
             base.append(F.count_if(test).alias(m["name"]))
-    row = pairs.agg(*base)
+    row = pairs.groupBy(by).agg(*base) if by else pairs.agg(*base)
     for name, r in ratios.items():
         for part in (r["numerator"], r["denominator"]):
             if part not in names:
@@ -91,7 +94,16 @@ def run_metrics(pairs: DataFrame, metrics: list[dict]) -> DataFrame:
             raise ValueError(f"ratios depend on each other: {sorted(ratios.keys() - done)}")
         row = row.withColumns({n: F.coalesce(F.try_divide(F.col(ratios[n]["numerator"]).cast("double"), F.col(ratios[n]["denominator"])), F.lit(0.0)) for n in ready})
         done |= set(ready)
-    return row.select(*names)
+    return row.select(*([by] if by else []), *names)
+
+
+def records_by(pairs: DataFrame, metrics: list[dict], by: str) -> dict[str, DataFrame]:
+    """The one-row record of each of the (few) values of ``by``."""
+    found = run_metrics(pairs, metrics, by)
+    names = [c for c in found.columns if c != by]
+    rows = {r[by]: r for r in found.collect()}
+    kinds = found.select(*names).schema
+    return {k: pairs.sparkSession.createDataFrame([tuple(r[n] for n in names)], kinds) for k, r in rows.items()}
 
 
 def long_form(record: DataFrame) -> DataFrame:

@@ -374,11 +374,8 @@ WITH o AS (SELECT o_custkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orde
              FROM top JOIN e a ON a.k = l JOIN e b ON b.k = r JOIN ended ON ended.k = l WHERE rank <= 8),
      sc AS (SELECT *, (i / (4 - i) + i / 2) / 2 AS name, CASE WHEN gap >= 0 THEN greatest(0.0, 1 - gap / 365.0) ELSE greatest(0.0, (1 - least(1.0, abs(gap) / 180.0)) * 0.5) END AS temp FROM sim WHERE gap BETWEEN -200 AND 500),
      tot AS (SELECT *, name * 0.4 + addr * 0.3 + temp * 0.3 AS total FROM sc WHERE name > 0 OR addr > 0),
-     best AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY total DESC, rank, r) AS n FROM tot WHERE total >= 0.35)
-SELECT l || '|' || r AS _id, l AS predecessor, r AS successor, ln AS predecessor_name, rn AS successor_name, d AS shutdown_date, why AS shutdown_reason, strftime(added, '%Y-%m-%d') AS add_date, gap::INT AS gap_days,
-       round(total, 6) AS total_score, 3 AS signals_present, truncated,
-       array_to_string(list_sort(list_filter([CASE WHEN addr > 0 THEN 'address' END, CASE WHEN name > 0 THEN 'name-token' END, CASE WHEN temp > 0 THEN 'temporal' END], lambda v: v IS NOT NULL)), ',') AS matched_on
-FROM best WHERE n <= 3
+     best AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY total DESC, rank, r) AS n, round(total, 6) AS total_score FROM tot WHERE total >= 0.35),
+     pairs AS (SELECT * FROM best WHERE n <= 3)
 """
 
 
@@ -386,7 +383,11 @@ def lifecycle_pairs(spark, sf):
     return sweep(lifecycle_firms(spark, sf), LIFECYCLE_CONFIG)
 
 
-@query(_LIFECYCLE_SQL)
+@query(_LIFECYCLE_SQL + """SELECT l || '|' || r AS _id, l AS predecessor, r AS successor, ln AS predecessor_name, rn AS successor_name, d AS shutdown_date, why AS shutdown_reason, strftime(added, '%Y-%m-%d') AS add_date, gap::INT AS gap_days,
+       total_score, 3 AS signals_present, truncated,
+       array_to_string(list_sort(list_filter([CASE WHEN addr > 0 THEN 'address' END, CASE WHEN name > 0 THEN 'name-token' END, CASE WHEN temp > 0 THEN 'temporal' END], lambda v: v IS NOT NULL)), ',') AS matched_on
+FROM pairs
+""")
 def entity_match_lifecycle(spark, sf):
     return lifecycle_pairs(spark, sf).select(
         "_id", F.col("predecessor.number").alias("predecessor"), F.col("successor.number").alias("successor"), F.col("predecessor.name").alias("predecessor_name"), F.col("successor.name").alias("successor_name"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import metrics, profile, stats
 from kinfold.plans._registry import query, table
-from kinfold.plans.catalogue_matching import _PAIRS_SQL, part_pairs
+from kinfold.plans.catalogue_matching import _LIFECYCLE_SQL, _PAIRS_SQL, lifecycle_pairs, part_pairs
 
 METRICS = [
     {"name": "pairs"},
@@ -46,9 +46,10 @@ SELECT a.metric, a.value AS baseline, b.value AS candidate, b.value - a.value AS
  CASE a.metric WHEN 'pairs' THEN a.value <> 0 AND b.value < a.value * 0.9 WHEN 'pairs_ge_080' THEN b.value < a.value WHEN 'same_name' THEN b.value > a.value ELSE false END AS regressed
 FROM long a JOIN long b ON a.metric = b.metric AND a.k = 0 AND b.k = 1""")
 def sweep_compare(spark, sf):
-    pairs = part_pairs(spark, sf)
-    chosen = [m for m in METRICS if m["name"] in _COMPARED]
-    return metrics.compare_records(metrics.run_metrics(pairs, chosen), metrics.run_metrics(pairs.where("total_score >= 0.7"), chosen), EXPECTED)
+    runs = F.filter(F.array(F.lit("baseline"), F.when(F.col("total_score") >= 0.7, "candidate")), lambda x: x.isNotNull())
+    pairs = part_pairs(spark, sf).withColumn("run", F.explode(runs))
+    records = metrics.records_by(pairs, [m for m in METRICS if m["name"] in _COMPARED], "run")
+    return metrics.compare_records(records["baseline"], records["candidate"], EXPECTED)
 
 
 @query(_PAIRS_SQL + "SELECT l || '|' || r AS _id, 'baseline_only' AS side FROM pairs WHERE total_score < 0.7 UNION ALL SELECT l || '|' || r, 'candidate_only' FROM pairs WHERE total_score > 0.95")
@@ -69,16 +70,31 @@ def score_band_counts(spark, sf):
 _GAPS = "CASE WHEN gap IS NULL THEN NULL WHEN gap < -180 THEN '180d+ before' WHEN gap < 0 THEN '0-180d before' WHEN gap < 366 THEN 'under 1y after' ELSE '1y+ after' END"
 
 
-@query(_PAIRS_SQL + f", g AS (SELECT {_BAND.format(c='total_score')} AS band, (l * 7919 + r) % 900 - 400 AS gap FROM pairs) SELECT band, {_GAPS} AS gap_band, count(*) AS pairs FROM g GROUP BY 1, 2")
+@query(_LIFECYCLE_SQL + f"SELECT {_BAND.format(c='total_score')} AS band, {_GAPS} AS gap_band, count(*) AS pairs FROM pairs GROUP BY 1, 2")
 def score_gap_matrix(spark, sf):
-    gap = (F.col("left.entity_key") * 7919 + F.col("right.entity_key")) % 900 - 400
-    return part_pairs(spark, sf).groupBy(stats.score_band(F.col("total_score")).alias("band"), stats.gap_band(gap).alias("gap_band")).agg(F.count("*").alias("pairs"))
+    return lifecycle_pairs(spark, sf).groupBy(stats.score_band(F.col("total_score")).alias("band"), stats.gap_band(F.col("gap_days")).alias("gap_band")).agg(F.count("*").alias("pairs"))
 
 
-@query(_PAIRS_SQL + "SELECT (l * 7919 + r) % 900 - 400 >= 0 AS after, count(*) AS pairs, round(avg(total_score), 6) AS mean_score FROM pairs GROUP BY 1")
+@query(_LIFECYCLE_SQL + "SELECT gap >= 0 AS after, count(*) AS pairs, round(avg(total_score), 6) AS mean_score FROM pairs GROUP BY 1")
 def score_separation(spark, sf):
-    gap = (F.col("left.entity_key") * 7919 + F.col("right.entity_key")) % 900 - 400
-    return part_pairs(spark, sf).groupBy((gap >= 0).alias("after")).agg(F.count("*").alias("pairs"), F.round(F.avg("total_score"), 6).alias("mean_score"))
+    return lifecycle_pairs(spark, sf).groupBy((F.col("gap_days") >= 0).alias("after")).agg(F.count("*").alias("pairs"), F.round(F.avg("total_score"), 6).alias("mean_score"))
+
+
+GAP_METRICS = [
+    {"name": "pairs"},
+    {"name": "early", "filter": {"gap_lte": 0}},
+    {"name": "late", "filter": {"gap_gte": 100}},
+    {"name": "near", "filter": {"gap_between": [-30, 90]}},
+    {"name": "far_and_strong", "filter": {"all": [{"not": {"gap_between": [-30, 90]}}, {"score_gte": 0.7}]}},
+    {"name": "late_share", "ratio": {"numerator": "late", "denominator": "pairs"}},
+    {"name": "predecessors", "distinct": "predecessor.entity_key"},
+]
+
+
+@query(_LIFECYCLE_SQL + """SELECT count(*) AS pairs, count(*) FILTER (WHERE gap <= 0) AS early, count(*) FILTER (WHERE gap >= 100) AS late, count(*) FILTER (WHERE gap BETWEEN -30 AND 90) AS near,
+ count(*) FILTER (WHERE gap NOT BETWEEN -30 AND 90 AND total_score >= 0.7) AS far_and_strong, count(*) FILTER (WHERE gap >= 100) / count(*) AS late_share, count(DISTINCT l) AS predecessors FROM pairs""")
+def gap_metrics_record(spark, sf):
+    return metrics.run_metrics(lifecycle_pairs(spark, sf), GAP_METRICS)
 
 
 @query(_PAIRS_SQL + "SELECT r AS entity_key, max(total_score) AS best_score FROM pairs GROUP BY r")
