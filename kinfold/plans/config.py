@@ -16,12 +16,12 @@ _TEXT, _NUMBER, _INT, _BOOL, _TEXTS = (str,), (int, float), (int,), (bool,), [st
 #: Allowed keys with the types of their values; ``!`` marks needed ones (fixed values).
 SHAPES: dict[str, dict] = {
     "entity-match": {"source_index!": _TEXT, "source_settings_step": _TEXT, "entity!": {"key!": _TEXT, "key_label": _TEXT, "summary_fields": _TEXTS}, "lifecycle": {"shutdown_date!": _TEXT, "registration_date!": _TEXT, "shutdown_reason": _TEXT},
-                     "population!": {"mode!": MODES, "sort_field": _TEXT, "max_records": (int, type(None)), "selector": _TEXT, "selectors": dict}, "candidates!": {"max_candidates": _INT, "seed_signals": _TEXTS}, "signals!": list,
-                     "ignore_values": dict, "max_shared_records": dict, "scoring!": {"min_total_score": _NUMBER, "min_signals": _INT, "require_identity_signal": _BOOL, "max_pairs_per_predecessor": _INT, "min_gap_days": _NUMBER, "max_gap_days": _NUMBER}},
+                     "population!": {"mode!": MODES, "sort_field": _TEXT, "max_records": (int, type(None)), "selector": _TEXT, "selectors": dict}, "candidates!": {"max_candidates": _INT, "seed_signals": _TEXTS, "rank": ("bm25", "idf"), "max_block_df": (int, type(None))}, "signals!": list,
+                     "ignore_values": dict, "max_shared_records": dict, "scoring!": {"min_total_score": _NUMBER, "min_signals": _INT, "require_identity_signal": _BOOL, "max_pairs_per_predecessor": _INT, "min_gap_days": _NUMBER, "max_gap_days": _NUMBER, "count_fired": _BOOL, "undirected": _BOOL}},
     "signal": {"type!": tuple(REGISTRY), "weight!": _NUMBER, "name": _TEXT, "conclusive": _BOOL, "fields": _TEXTS, "subfield": _TEXT, "cross_field": _BOOL, "exact_subfield": _TEXT, "fuzzy_subfield": _TEXT, "fuzzy_scale": _NUMBER,
                "phone_fields": _TEXTS, "text_fields": _TEXTS, "name_field": _TEXT, "max_gap_days": _NUMBER, "max_shared_entities": _INT},
     "configuration": {"steps!": list, "all_phases": _TEXTS, "configurationDir!": _TEXT, "dataDir!": _TEXT, "logLevel": ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")},
-    "index-config": {"alias!": _TEXT, "index!": _TEXT, "source": _TEXT, "id_field": (str, list), "num_rows": (int, type(None)), "skip_rows": _INT, "pipeline": _TEXT},
+    "index-config": {"alias!": _TEXT, "index!": _TEXT, "source": _TEXT, "id_field": (str, list), "num_rows": (int, type(None)), "skip_rows": _INT, "pipeline": _TEXT, "multi_line": _BOOL},
     "metrics": {"baseline": _TEXT, "metrics!": list},
     "metric": {"name!": _TEXT, "filter": dict, "distinct": _TEXT, "ratio": {"numerator!": _TEXT, "denominator!": _TEXT}},
     "policy": {"name!": _TEXT, "match": {"indices!": (str, list), "match_field!": _TEXT, "enrich_fields!": _TEXTS}, "geo_match": dict, "range": dict},

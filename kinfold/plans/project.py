@@ -103,24 +103,20 @@ class Project:
                     raise ValueError(f"{p['name']}: unknown processor {kind!r}")
                 if kind == "enrich" and spec["policy_name"] not in self.lookups:
                     raise ValueError(f"{p['name']}: no lookup {spec['policy_name']!r}")
-            self.catalog_pipelines[p["name"]] = p["processors"]
-
-    @property
-    def catalog_pipelines(self) -> dict[str, list[dict]]:
-        return self.__dict__.setdefault("_pipelines_by_name", {})
+            self.catalog.put_pipeline(p["name"], p["processors"])
 
     def _index_populate(self, step: str) -> None:
         own, name = self._table(step)
         mapping = self.settings(step, "mappings") or {}
         path = str(self.root / self.config["dataDir"] / step / own["source"])
-        df = read_csv(self.spark, path, self.num_rows if self.num_rows is not None else own.get("num_rows"), own.get("skip_rows") or 0)
+        df = read_csv(self.spark, path, self.num_rows if self.num_rows is not None else own.get("num_rows"), own.get("skip_rows") or 0, multi_line=own.get("multi_line", True))
         df = numbered(df)
         if own.get("id_field"):
             bare = df.drop("_rowno")
             df = df.withColumn("_id", document_id(bare, own["id_field"]))
             self.catalog.stamp(name, blank_key_count(df).first().asDict())
             df = last_wins(df)
-        for processor in self.catalog_pipelines.get(own.get("pipeline"), []):
+        for processor in self.catalog.pipeline(own["pipeline"]) if own.get("pipeline") else []:
             (kind, spec), = processor.items()
             if kind == "enrich":
                 source, policy = self.lookups[spec["policy_name"]]

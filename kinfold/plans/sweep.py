@@ -76,13 +76,15 @@ def corpus_context(df: DataFrame, config: dict, key: str) -> Context:
     return Context(config.get("ignore_values", {}), hot, config.get("lifecycle"), config.get("state_field"))
 
 
-def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = None, rank: str = "bm25", max_block_df: int | None = None, count_fired: bool = False) -> DataFrame:
+def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = None, rank: str | None = None, max_block_df: int | None = None, count_fired: bool | None = None) -> DataFrame:
     """Scored, explained pairs of ``entities`` (analyzed: with token columns).
 
+    ``rank``, ``max_block_df`` (candidates) and ``count_fired`` (scoring) are read from the configuration where not given.
     Evidence is prepared once per record; the candidate join carries ids only, and prepared records are joined to the
     pairs that are left after the top-K cut.
     """
     key, mode = config["entity"]["key"], config["population"]["mode"]
+    rank, max_block_df = rank or config["candidates"].get("rank", "bm25"), max_block_df or config["candidates"].get("max_block_df")
     lifecycle = config.get("lifecycle") if mode == "lifecycle" else None
     context = corpus_context(entities, config, key)
     context.lifecycle = lifecycle or config.get("lifecycle")
@@ -125,8 +127,10 @@ def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = Non
     rules = dict(config["scoring"])
     if not lifecycle:
         rules["min_gap_days"] = rules["max_gap_days"] = None
-    kept = scoring.guarded(pairs, rules, {s.type for s in signals if s.conclusive}, count_fired)
-    kept = scoring.described(scoring.capped(kept, "l", "r", rules.get("max_pairs_per_predecessor") or scoring.DEFAULTS["max_pairs_per_predecessor"], "rank"))
+    fired, undirected = bool(rules.pop("count_fired", False)) if count_fired is None else count_fired, rules.pop("undirected", False)
+    kept = scoring.guarded(pairs, rules, {s.type for s in signals if s.conclusive}, fired)
+    kept = scoring.capped(kept, "l", "r", rules.get("max_pairs_per_predecessor") or scoring.DEFAULTS["max_pairs_per_predecessor"], "rank")
+    kept = scoring.described(scoring.undirected(kept, "l", "r") if undirected else kept)
     left, right = side_names(mode)
     first, second = F.col("a._summary"), F.col("b._summary")
     if lifecycle:

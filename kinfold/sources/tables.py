@@ -14,16 +14,19 @@ from kinfold.functions.text import na_to_null
 ROW = "_rowno"
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    row = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path).limit(1).collect()
+def header_of(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+    row = spark.read.option("header", False).option("multiLine", multi_line).option("escape", '"').csv(path).limit(1).collect()
     return [str(x) for x in row[0]] if row else []
 
 
-def read_csv(spark: SparkSession, path: str, num_rows: int | None = None, skip_rows: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """Every column STRING, nothing inferred, the usual missing-value words NULL; ``skip_rows`` data rows left out first."""
-    names = columns or header_of(spark, path)
+def read_csv(spark: SparkSession, path: str, num_rows: int | None = None, skip_rows: int = 0, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """Every column STRING, nothing inferred, the usual missing-value words NULL; ``skip_rows`` data rows left out first.
+
+    Quoted cells may hold line feeds; files without such cells are cut into many tasks with ``multi_line=False``.
+    """
+    names = columns or header_of(spark, path, multi_line)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').option("enforceSchema", True).csv(path)
     df = df.select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names])
     if skip_rows or num_rows is not None:
         df = numbered(df).where(F.col(ROW) >= skip_rows)

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.functions import dates, ids, paths, setsim, text
+from kinfold.functions import dates, ids, paths, phonetic, setsim, text
 from kinfold.functions.phonetic import codes, double_metaphone
 
 
@@ -116,3 +116,20 @@ def test_fingerprint_follows_analyzers_and_bindings():
     b = [text.Binding("n", {"clean": "name_clean"})]
     assert text.fingerprint(a, b) == text.fingerprint(dict(a), list(b)) != text.fingerprint(a, [text.Binding("n", {"x": "name_clean"})])
     assert text.fingerprint({}, []) is None
+
+
+@pytest.mark.parametrize("most", [200_000, 3, 2])
+def test_codec_encoders(spark, most):
+    """Golden codes, by a broadcast map and by the join that a larger vocabulary takes."""
+    df = spark.createDataFrame([(1, ["SMITH", "SCHMIDT", "12"]), (2, None), (3, []), (4, ["Thompson", "Knight"]), (5, ["SMITH"])], "k int, t array<string>")
+    coded = lambda kind: {r["k"]: r["t"] for r in phonetic.encode_column(df, "t", kind, most).collect()}
+    assert coded("metaphone") == {1: ["SM0", "SKMT", "12"], 2: None, 3: [], 4: ["0MPS", "NT"], 5: ["SM0"]}
+    assert coded("beider_morse") == {1: ["zmit", "zmit", "12"], 2: None, 3: [], 4: ["tompson", "knigt", "knigxt"], 5: ["zmit"]}
+    with pytest.raises(ValueError):
+        phonetic.encode_column(df, "t", "nonsense", most).collect()
+
+
+def test_vocabulary_goes_through_in_batches(spark):
+    words = spark.range(25).select(F.concat(F.lit("smith"), F.col("id").cast("string")).alias("t"))
+    got = {r["t"]: r["c"] for r in phonetic.code_table(words, "metaphone", 10).collect()}
+    assert len(got) == 25 and set(map(tuple, got.values())) == {("SM0",)}
