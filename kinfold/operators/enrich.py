@@ -38,12 +38,18 @@ def build_lookup(source: DataFrame, policy: LookupPolicy, max_matches: int) -> D
     return packed.select("_key", F.transform("_m", lambda x: x["_row"]).alias("matches"))
 
 
+def lookup_counts(source: DataFrame, policy: LookupPolicy) -> DataFrame:
+    """One row (documents, with_key, keys): the source's rows, those that have a key, and the distinct keys."""
+    key = F.col(f"`{policy.match_field}`").cast("string")
+    return source.agg(F.count("*").alias("documents"), F.count(key).alias("with_key"), F.count_distinct(key).alias("keys"))
+
+
 def checked_lookup(source: DataFrame, policy: LookupPolicy, max_matches: int) -> DataFrame:
-    """As ``build_lookup``; a lookup that comes out empty from a source with rows is an error."""
-    built = build_lookup(source, policy, max_matches)
-    if built.isEmpty() and not source.isEmpty():
+    """As ``build_lookup``; a lookup that would come out empty from a source with rows is an error."""
+    key = F.col(f"`{policy.match_field}`").isNotNull()
+    if source.where(key).isEmpty() and not source.isEmpty():
         raise ValueError(f"{policy.name}: no row of {policy.source} has a {policy.match_field}")
-    return built
+    return build_lookup(source, policy, max_matches)
 
 
 def enrich(left: DataFrame, lookup: DataFrame, on: str, target: str) -> DataFrame:

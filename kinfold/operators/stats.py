@@ -141,6 +141,21 @@ def review_sample(rows: DataFrame, band: str, key: str, per_band: int, seed: int
     return stratified_sample(rows.where(F.col(band).isNotNull()), band, key, per_band, seed).withColumn("verdict", F.lit(None).cast("string"))
 
 
+def band_counts(rows: DataFrame, sample: DataFrame, band: str, names: list[str]) -> DataFrame:
+    """(band, total, sampled) of every named band, in their order: what there is and what the sample took of it."""
+    all_, some = (df.groupBy(band).agg(F.count("*").alias(c)) for df, c in ((rows, "total"), (sample, "sampled")))
+    order = rows.sparkSession.createDataFrame(list(enumerate(names)), f"_at int, {band} string")
+    found = order.join(all_, band, "left").join(some, band, "left")
+    return found.orderBy("_at").select(band, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("sampled", F.lit(0)).alias("sampled"))
+
+
+def persist_results(catalog, name: str, views: dict[str, DataFrame], provenance: dict[str, str]) -> None:
+    """Append all result tables of a validation to table ``name`` of a catalog, a row per reported cell, with the run's marks."""
+    rows = result_rows(views).withColumns({k: F.lit(v) for k, v in provenance.items()})
+    catalog.create(name)
+    catalog.write(name, rows, "append")
+
+
 def placebo(rows: DataFrame, key: str, value: str, seed: int, buckets: int = 64) -> DataFrame:
     """The values dealt anew over the keys: values in seeded hash order meet keys in key order, rank by rank.
 

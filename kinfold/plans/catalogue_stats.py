@@ -80,6 +80,12 @@ def score_separation(spark, sf):
     return lifecycle_pairs(spark, sf).groupBy((F.col("gap_days") >= 0).alias("after")).agg(F.count("*").alias("pairs"), F.round(F.avg("total_score"), 6).alias("mean_score"))
 
 
+@query(_PAIRS_SQL + f", b AS (SELECT {_BAND.format(c='total_score')} AS band FROM pairs), v AS (SELECT unnest(['0.35-0.50', '0.50-0.60', '0.60-0.70', '0.70-0.80', '0.80-0.90', '0.90-1.00']) AS band) SELECT v.band, count(b.band) AS total, least(count(b.band), 25) AS sampled FROM v LEFT JOIN b ON b.band = v.band GROUP BY v.band")
+def sample_band_counts(spark, sf):
+    pairs = part_pairs(spark, sf).withColumn("band", stats.score_band(F.col("total_score")))
+    return stats.band_counts(pairs, stats.review_sample(pairs, "band", "_id", 25, 7), "band", stats.score_band_names())
+
+
 GAP_METRICS = [
     {"name": "pairs"},
     {"name": "early", "filter": {"gap_lte": 0}},

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.dates import legacy_date_iso
 from kinfold.functions.ids import blank_key_count, document_id
 from kinfold.functions.text import Binding, normalize_join_key
-from kinfold.operators.enrich import LookupPolicy, checked_lookup, enrich
+from kinfold.operators.enrich import LookupPolicy, checked_lookup, enrich, lookup_counts
+from kinfold.operators.metrics import sweep_ceilings
+from kinfold.operators.population import population
 from kinfold.operators.signals import Context, build_signals
 from kinfold.plans.config import PHASES, check_project_shape, validate
 from kinfold.plans.sweep import Provenance, analyze, preflight, spec_fingerprint, sweep
@@ -81,17 +83,26 @@ class Project:
         self.catalog.put_mapping(name, {f: spec["type"] for f, spec in (self.settings(step, "mappings") or {}).items()})
 
     def _enrichment_policies(self, step: str) -> None:
-        """Snapshots of all lookups; what fails is reported together."""
-        wrong = []
+        """Snapshots of all lookups; what fails is reported together. A policy that differs from its last snapshot's is said so."""
+        wrong, log = [], logging.getLogger(__name__)
         for p in self.settings(step, "enrichment-policies") or []:
             m = p["match"]
             source = m["indices"] if isinstance(m["indices"], str) else m["indices"][0]
             policy = LookupPolicy(p["name"], source, m["match_field"], tuple(m["enrich_fields"]))
             try:
-                self.lookups[p["name"]] = (self.catalog.read(source), policy)
-                checked_lookup(*self.lookups[p["name"]], 1)
+                rows = self.catalog.read(source)
+                counts = lookup_counts(rows, policy).first().asDict()
+                if counts["documents"] and not counts["keys"]:
+                    raise ValueError(f"{policy.name}: no row of {source} has a {policy.match_field}")
             except ValueError as e:
                 wrong.append(str(e))
+                continue
+            drifted = policy.drift(self.catalog.policy(p["name"])) if self.catalog.policy(p["name"]) else []
+            if drifted:
+                log.warning("%s: the snapshot was built with other %s and is built anew", p["name"], ", ".join(drifted))
+            self.catalog.put_policy(p["name"], {"source": source, "match_field": policy.match_field, "fields": list(policy.fields), **counts})
+            log.info("%s: %s documents, %s keys", p["name"], counts["documents"], counts["keys"])
+            self.lookups[p["name"]] = (rows, policy)
         if wrong:
             raise ValueError("; ".join(wrong))
 
@@ -143,10 +154,13 @@ class Project:
         signals = build_signals(config["signals"], Context(config.get("ignore_values", {}), lifecycle=config.get("lifecycle")))
         for note in preflight(entities, signals, expected, self.catalog.meta(concrete[0]).get("analysis_fingerprint")):
             logging.getLogger(__name__).warning("%s: %s", step, note)
-        pairs = sweep(entities, config, Provenance(concrete[0], config["source_index"], expected))
+        scored = Observation("scored")
+        pairs = sweep(entities, config, Provenance(concrete[0], config["source_index"], expected), observation=scored)
         self.catalog.create(name)
         self.catalog.write(name, pairs)
-        self.catalog.stamp(name, {"source_index": concrete[0], "analysis_fingerprint": expected})
+        stats = {"lookups": population(entities, config["population"]).count(), "lookups_failed": 0, **scored.get}  # a lookup that fails ends the job
+        self.catalog.stamp(name, {"source_index": concrete[0], "analysis_fingerprint": expected, "sweep": stats})
+        sweep_ceilings(self.spark.createDataFrame([stats]))  # before the alias moves on
         self.catalog.swap_alias(own["alias"], name, self.retain_aliases)
 
 

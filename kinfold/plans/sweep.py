@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinfold.functions.ids import pair_id
@@ -76,10 +76,11 @@ def corpus_context(df: DataFrame, config: dict, key: str) -> Context:
     return Context(config.get("ignore_values", {}), hot, config.get("lifecycle"), config.get("state_field"))
 
 
-def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = None, rank: str | None = None, max_block_df: int | None = None, count_fired: bool | None = None) -> DataFrame:
+def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = None, rank: str | None = None, max_block_df: int | None = None, count_fired: bool | None = None, observation: Observation | None = None) -> DataFrame:
     """Scored, explained pairs of ``entities`` (analyzed: with token columns).
 
     ``rank``, ``max_block_df`` (candidates) and ``count_fired`` (scoring) are read from the configuration where not given.
+    ``observation`` gets scores (candidate pairs) and scores_failed (those that no signal could evaluate) when the result is written.
     Evidence is prepared once per record; the candidate join carries ids only, and prepared records are joined to the
     pairs that are left after the top-K cut.
     """
@@ -124,6 +125,8 @@ def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = Non
     pairs = pairs.withColumns({f"_s{s.index}": s.score("a", "b") for s in signals})
     scores = [F.col(f"_s{s.index}") for s in signals]
     pairs = pairs.withColumns({"evidence": scoring.contributions(signals, scores), "total": scoring.total_score([s.weight for s in signals], scores)})
+    if observation is not None:
+        pairs = pairs.observe(observation, F.count("*").alias("scores"), F.count_if(F.col("total").isNull()).alias("scores_failed"))
     rules = dict(config["scoring"])
     if not lifecycle:
         rules["min_gap_days"] = rules["max_gap_days"] = None

@@ -71,6 +71,14 @@ class Catalog:
             raise ValueError(f"no pipeline {name!r}")
         return json.loads(found)
 
+    def put_policy(self, name: str, stored: dict) -> None:
+        """Keep what a lookup's snapshot was built by, and its counts."""
+        self.files.make("policies")
+        self.files.write(f"policies/{name}", json.dumps(stored, sort_keys=True))
+
+    def policy(self, name: str) -> dict:
+        return json.loads(self.files.read(f"policies/{name}") or "{}")
+
     def swap_alias(self, alias: str, name: str, retain: bool = False) -> None:
         """One atomic step: the alias points at ``name`` alone, or also at what it pointed at before."""
         names = [*([x for x in self.resolve(alias) if x != name] if retain else []), name]
