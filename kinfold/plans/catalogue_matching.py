@@ -163,8 +163,8 @@ def _firms(spark, sf):
     return analyze(df, [Binding("street", {"clean": "street_clean", "tokens": "street_tokens"})])
 
 
-def _scored_by_evidence(spark, sf, scored):
-    """Pairs of customers that share a street, a number or a mailbox, with the score of the signal number ``scored``."""
+def _evidence(spark, sf):
+    """Customers prepared for both signals, and the signals."""
     signals = [
         AddressSignal({"type": "address", "weight": 1, "fields": ["street"], "exact_subfield": "clean", "fuzzy_subfield": "tokens", "fuzzy_scale": 0.7}, 0, Context({}, state_field="state")),
         ExactIdentifierSignal({"type": "exact-identifier", "weight": 1, "phone_fields": ["phone", "fax"], "text_fields": ["mail"]}, 1, Context({"fax": ["0000000000"]})),
@@ -172,11 +172,21 @@ def _scored_by_evidence(spark, sf, scored):
     rec = _firms(spark, sf)
     for s in signals:
         rec = s.prepare(rec, "c_custkey")
-    rec = signals[1].seed_columns(rec)
+    return signals[1].seed_columns(rec), signals
+
+
+def _evidence_pairs(spark, sf):
+    """(l, r): customers that share a street, a number or a mailbox."""
+    rec, signals = _evidence(spark, sf)
     blocks = {f"{s.index}:{b}": f"`{c}`" for s in signals for b, c in s.seeds(rec)[1].items()}
-    pairs = blocking.pairs(blocking.postings(rec, "c_custkey", blocks), blocking.postings(rec, "c_custkey", blocks))
+    return blocking.pairs(blocking.postings(rec, "c_custkey", blocks), blocking.postings(rec, "c_custkey", blocks))
+
+
+def _scored_by_evidence(spark, sf, scored):
+    """These pairs with the score of the signal number ``scored``."""
+    rec, signals = _evidence(spark, sf)
     ev = rec.select("c_custkey", F.struct(*[F.col(c) for c in rec.columns if c.startswith("ev")]).alias("rec"))
-    both = pairs.join(ev.withColumnsRenamed({"c_custkey": "l", "rec": "a"}), "l").join(ev.withColumnsRenamed({"c_custkey": "r", "rec": "b"}), "r")
+    both = _evidence_pairs(spark, sf).join(ev.withColumnsRenamed({"c_custkey": "l", "rec": "a"}), "l").join(ev.withColumnsRenamed({"c_custkey": "r", "rec": "b"}), "r")
     return both.select("l", "r", signals[scored].score("a", "b").alias("score"))
 
 

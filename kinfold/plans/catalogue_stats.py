@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinfold.functions.setsim import blended_overlap
+from kinfold.functions.ids import blank_key_count, document_id
+from kinfold.functions.text import ANALYZERS, HOSPITAL_STOP
 from kinfold.operators import metrics, profile, stats
+from kinfold.operators.enrich import LookupPolicy, attributes_by_key, lookup_counts
 from kinfold.plans._registry import query, table
-from kinfold.plans.catalogue_matching import _LIFECYCLE_SQL, _PAIRS_SQL, lifecycle_pairs, part_pairs
+from kinfold.plans.catalogue_matching import _BLEND, _FIRMS, _LIFECYCLE_SQL, _PAIRS_SQL, PARTS_CONFIG, _evidence_pairs, _firms, lifecycle_pairs, part_pairs, parts
+from kinfold.plans.sweep import Provenance, sweep
 
 METRICS = [
     {"name": "pairs"},
@@ -250,15 +255,19 @@ def key_uniqueness(spark, sf):
     return profile.key_uniqueness(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""WITH s AS (SELECT p_size / 50.0 AS a, least(1.0, p_size / 50.0 + CASE p_partkey % 3 WHEN 0 THEN 0.1 WHEN 1 THEN -0.2 ELSE 0.0 END) AS b FROM part)
+@query(_FIRMS + f""", sc AS (SELECT {_BLEND.format(a='x', b='y')} AS a, {_BLEND.format(a='tx', b='ty')} AS b
+ FROM (SELECT list_distinct(string_split(lower(a.street), ' ')) AS x, list_distinct(string_split(lower(b.street), ' ')) AS y, a.tok AS tx, b.tok AS ty
+       FROM pairs JOIN t a ON a.k = l JOIN t b ON b.k = r WHERE l < r AND a.street IS NOT NULL AND b.street IS NOT NULL))
 SELECT count(*) AS pairs, count(*) FILTER (WHERE a <> b) AS changed, count(*) FILTER (WHERE b > a) AS up, count(*) FILTER (WHERE b < a) AS down, round(avg(a), 6) AS mean_before, round(avg(b), 6) AS mean_after,
- count(*) FILTER (WHERE a < 0.35 AND b >= 0.35) AS now_above, count(*) FILTER (WHERE a >= 0.35 AND b < 0.35) AS now_below FROM (SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM s)""")
+ count(*) FILTER (WHERE a < 0.8 AND b >= 0.8) AS now_above, count(*) FILTER (WHERE a >= 0.8 AND b < 0.8) AS now_below FROM sc""")
 def analyzer_effect(spark, sf):
-    a = F.col("p_size") / F.lit(50.0)
-    k = F.col("p_partkey") % 3
-    scores = table(spark, sf, "part").select(a.alias("a"), F.least(F.lit(1.0), F.when(k == 0, F.round(a + 0.1, 2)).when(k == 1, F.round(a - 0.2, 2)).otherwise(a)).alias("b"))
-    out = profile.analyzer_effect(scores, "a", "b", 0.35)
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_before", "mean_after")})
+    """What the street analyzer does to the overlap of customers' streets, against plain words."""
+    rec = _firms(spark, sf).where("street is not null")
+    rec = rec.select("c_custkey", F.array_distinct(F.split(F.lower("street"), " ")).alias("plain"), F.array_distinct("`tok:street.tokens`").alias("analyzed"))
+    pairs = _evidence_pairs(spark, sf).where("l < r")
+    both = pairs.join(rec.toDF("l", "p1", "a1"), "l").join(rec.toDF("r", "p2", "a2"), "r").select(blended_overlap(F.col("p1"), F.col("p2")).alias("before"), blended_overlap(F.col("a1"), F.col("a2")).alias("after"))
+    found = profile.analyzer_effect(both, "before", "after", 0.8)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_before", "mean_after")})
 
 
 @query("SELECT event_type, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY event_type")
@@ -269,3 +278,62 @@ def count_min_max(spark, sf):
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def distinct_keys(spark, sf):
     return table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct()
+
+
+_BLANK = "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN ' ' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name END AS name FROM customer"
+
+
+@query(f"SELECT count(*) FILTER (WHERE name IS NULL OR trim(name) = '') AS blank_keys FROM ({_BLANK})")
+def blank_key_counts(spark, sf):
+    k = F.col("c_custkey")
+    df = table(spark, sf, "customer").select("c_custkey", F.when(k % 7 == 0, " ").when(k % 11 == 0, F.lit(None)).otherwise(F.col("c_name")).alias("name"))
+    return blank_key_count(df.withColumn("_id", document_id(df, "name")))
+
+
+@query("SELECT c_custkey, regexp_replace('(' || (c_custkey % 900 + 100) || ') ' || CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE lpad(c_custkey::VARCHAR, 7, '0') END || ' ext. ' || (c_custkey % 3), '[^0-9]', '', 'g') AS digits FROM customer")
+def phone_clean_tokens(spark, sf):
+    k = F.col("c_custkey")
+    raw = F.concat(F.lit("("), (k % 900 + 100).cast("string"), F.lit(") "), F.when(k % 5 == 0, "none").otherwise(F.lpad(k.cast("string"), 7, "0")), F.lit(" ext. "), (k % 3).cast("string"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(ANALYZERS["phone_clean"].token_set(raw), " ").alias("digits"))
+
+
+_HOSPITAL = ", ".join(f"'{w}'" for w in HOSPITAL_STOP)
+
+
+@query(f"""SELECT s_suppkey, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(raw), ' '), lambda w: w NOT IN ({_HOSPITAL})))), ' ') AS tokens
+ FROM (SELECT s_suppkey, 'Saint ' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN ' General Hospital of' WHEN 1 THEN ' Memorial Medical Center' ELSE ' Clinic North' END || ' Nation' || s_nationkey AS raw FROM supplier)""")
+def hospital_clean_tokens(spark, sf):
+    k = F.col("s_suppkey")
+    raw = F.concat(F.lit("Saint "), k.cast("string"), F.when(k % 3 == 0, " General Hospital of").when(k % 3 == 1, " Memorial Medical Center").otherwise(" Clinic North"), F.lit(" Nation"), F.col("s_nationkey").cast("string"))
+    return table(spark, sf, "supplier").select("s_suppkey", F.array_join(F.array_sort(ANALYZERS["hospital_clean"].token_set(raw)), " ").alias("tokens"))
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN (SELECT c_custkey AS o_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal > 0) USING (o_custkey)")
+def attributes_of_orders(spark, sf):
+    known = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return attributes_by_key(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), known, "o_custkey")
+
+
+@query(_PAIRS_SQL + ", u AS (SELECT *, row_number() OVER (PARTITION BY least(l, r), greatest(l, r) ORDER BY total DESC, l) AS m FROM pairs) SELECT l AS left_key, r AS right_key, total_score FROM u WHERE m = 1")
+def undirected_pairs(spark, sf):
+    pairs = sweep(parts(spark, sf), PARTS_CONFIG | {"scoring": PARTS_CONFIG["scoring"] | {"undirected": True}})
+    return pairs.select(F.col("left.entity_key").alias("left_key"), F.col("right.entity_key").alias("right_key"), "total_score")
+
+
+@query(_PAIRS_SQL + "SELECT 'r1' AS run_id, 't' AS generated_at, 'part' AS source_index, 'parts' AS source_alias, 'f0' AS analysis_fingerprint, count(*) AS pairs FROM pairs")
+def stamped_pairs(spark, sf):
+    stamped = sweep(parts(spark, sf), PARTS_CONFIG, Provenance("part", "parts", "f0", "r1", "t"))
+    return stamped.groupBy("run_id", "generated_at", "source_index", "source_alias", "analysis_fingerprint").agg(F.count("*").alias("pairs"))
+
+
+@query("SELECT count(*) AS documents, count(k) AS with_key, count(DISTINCT k) AS keys FROM (SELECT CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS k FROM orders)")
+def lookup_document_counts(spark, sf):
+    rows = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey")).alias("k"))
+    return lookup_counts(rows, LookupPolicy("customers", "orders", "k", ("k",)))
+
+
+@query("SELECT 0.3 / (0.5 + 0.3 + 0.2) AS weight_share, round(0.3 * avg(hit), 6) AS mean_contribution, round(0.3 * (1 - avg(hit)), 6) AS headroom FROM (SELECT CASE WHEN p_size > 25 THEN 1.0 ELSE 0.25 END AS hit FROM part)")
+def temporal_headroom(spark, sf):
+    mean = table(spark, sf, "part").agg(F.avg(F.when(F.col("p_size") > 25, 1.0).otherwise(0.25))).first()[0]
+    found = stats.signal_headroom({"name-token": 0.5, "temporal": 0.3, "address": 0.2}, "temporal", mean)
+    return spark.createDataFrame([(found["weight_share"], round(found["mean_contribution"], 6), round(found["headroom"], 6))], "weight_share double, mean_contribution double, headroom double")
