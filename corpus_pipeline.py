@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import decontaminate, mixing, ngram_join, quality, sharding
-from kinfold.llm._store import stored
+from kinfold.llm._store import free, stored
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows with a key of their own, ``_nr``, written so that it stays the same."""
+    free(docs.sparkSession)  # what the stage before has left
     return stored(docs.withColumn("_nr", F.monotonically_increasing_id()), name)
 
 
@@ -67,6 +68,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: the documents with their shard and slot."""
+    free(spark)
     rows = sharding.with_groups(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")).drop("text")
     placed = sharding.shard(rows).select("_doc", F.struct("shard", "slot").alias("_at"))
     kept = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]

@@ -30,14 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_tables: list[tuple[str, object, object]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back. The table goes when the application ends."""
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    The table goes once no plan reads it any more, at the latest when the application ends.
+    """
     spark = df.sparkSession
+    sweep(spark)
     path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # Every plan that reads the table, be it copied or optimised, comes from one that has this very list of its files.
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _tables.append((spark.sparkContext.applicationId, spark.sparkContext._jvm.java.lang.ref.WeakReference(files), folder))
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables whose plans the JVM has collected."""
+    app, conf = spark.sparkContext.applicationId, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [t for t in _tables if t[0] == app and t[1].get() is None]:
+        entry[2].getFileSystem(conf).delete(entry[2], True)
+        _tables.remove(entry)
 
 
 BATCH_BYTES = 2 << 20
@@ -52,8 +71,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let go of shuffle files whose DataFrames are gone: Spark frees them when the driver collects garbage."""
+    """Let go of tables and shuffle files whose DataFrames are gone: Spark frees these when the driver collects garbage."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    sweep(spark)

@@ -804,3 +804,26 @@ def test_no_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
         _store.shared_dir(Session())
     Context.master = "local[4]"
     assert _store.shared_dir(Session()) == _store.shared_dir(Session()) != ""
+
+
+def test_stored_tables_go_with_their_plans(spark):
+    import gc
+    import os
+
+    from kinfold.llm import _store
+
+    there = lambda: {e[2].toString().removeprefix("file:").replace("//", "/") for e in _store._tables}
+    before = there()
+    table = _store.stored(spark.range(100), "test-sweep")
+    (path,) = there() - before
+    derived = table.where("id > 3").groupBy((F.col("id") % 7).alias("k")).count().join(table.withColumnRenamed("id", "k"), "k")
+    del table
+    for _ in range(3):
+        _store.free(spark)
+    assert os.path.isdir(path) and derived.count() == 7
+    del derived
+    for _ in range(5):  # Spark itself remembers its last query
+        spark.range(5).join(F.broadcast(spark.range(5)), "id").count()
+        gc.collect()
+        _store.free(spark)
+    assert not os.path.isdir(path) and path not in there()
