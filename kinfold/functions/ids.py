@@ -33,8 +33,13 @@ def document_id(df: DataFrame, key: str | list[str]) -> Column:
     return F.when(blank, F.concat(F.lit(BLANK_PREFIX), row_hash(df))).otherwise(joined)
 
 
+def blank_keys(id_column: str = "_id") -> Column:
+    """Aggregate: rows whose key was blank."""
+    return F.count_if(F.col(id_column).startswith(BLANK_PREFIX))
+
+
 def blank_key_count(df: DataFrame, id_column: str = "_id") -> DataFrame:
-    return df.agg(F.count_if(F.col(id_column).startswith(BLANK_PREFIX)).alias("blank_keys"))
+    return df.agg(blank_keys(id_column).alias("blank_keys"))
 
 
 def pair_id(left: Column, right: Column) -> Column:

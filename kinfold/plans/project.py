@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.dates import legacy_date_iso
-from kinfold.functions.ids import blank_key_count, document_id
+from kinfold.functions.ids import blank_keys, document_id
 from kinfold.functions.text import Binding, normalize_join_key
 from kinfold.operators.enrich import LookupPolicy, checked_lookup, enrich, lookup_counts
 from kinfold.operators.metrics import sweep_ceilings
@@ -121,12 +121,11 @@ class Project:
         mapping = self.settings(step, "mappings") or {}
         path = str(self.root / self.config["dataDir"] / step / own["source"])
         df = read_csv(self.spark, path, self.num_rows if self.num_rows is not None else own.get("num_rows"), own.get("skip_rows") or 0, multi_line=own.get("multi_line", True))
-        df = numbered(df)
+        df, loaded = numbered(df), Observation("loaded")
         if own.get("id_field"):
             bare = df.drop("_rowno")
             df = df.withColumn("_id", document_id(bare, own["id_field"]))
-            self.catalog.stamp(name, blank_key_count(df).first().asDict())
-            df = last_wins(df)
+            df = last_wins(df.observe(loaded, F.count("*").alias("rows_read"), blank_keys().alias("blank_keys")))
         for processor in self.catalog.pipeline(own["pipeline"]) if own.get("pipeline") else []:
             (kind, spec), = processor.items()
             if kind == "enrich":
@@ -137,6 +136,8 @@ class Project:
         df = analyze(df.drop("_rowno"), self._bindings(step))
         df = pinned(df, {f: spec["type"] for f, spec in mapping.items() if f in df.columns and spec["type"] not in ("object", "nested")})
         self.catalog.write(name, df)
+        if own.get("id_field"):
+            self.catalog.stamp(name, loaded.get)
 
     def _validate(self, step: str) -> None:
         config = self.settings(step, "entity-match")

@@ -21,8 +21,20 @@ def scaffold(df: DataFrame, name: str, source: str, root: str | Path) -> Path:
     def put(path: Path, value) -> None:
         path.write_text(json.dumps(value, indent=2))
 
-    put(Path(root) / "configuration.json", {"steps": [{"name": name, "phases": ["index-create", "index-map", "index-populate"]}], "configurationDir": "configuration", "dataDir": "data"})
-    put(step / "index-config.json", {"alias": name, "index": name + "-{now/d}", "source": source, **({"id_field": keys[0]} if keys else {"__TODO_id_field__": sorted(rows)})})
+    match = step.with_name(f"{name}-match")
+    match.mkdir(parents=True, exist_ok=True)
+    dates = [c for c in df.columns if rows[c]["looks_like_date"] or rows[c]["field_type"] == "date"]
+    legacy = [c for c in dates if rows[c]["field_type"] != "date"]
+    load = ["enrichment-policies", "pipelines", "index-create", "index-map", "index-populate"]
+    put(Path(root) / "configuration.json", {"steps": [{"name": name, "phases": load}, {"name": match.name, "phases": ["validate", "entity-match"]}], "configurationDir": "configuration", "dataDir": "data"})
+    pipeline = [*({"join-key": {"field": c}} for c in keys[:1]), *({"legacy-date": {"field": c}} for c in legacy)]
+    put(step / "enrichment-policies.json", [])
+    put(step / "pipelines.json", [{"name": f"{name}-in", "processors": pipeline}] if pipeline else [])
+    put(step / "index-config.json", {"alias": name, "index": name + "-{now/d}", "source": source, **({"pipeline": f"{name}-in"} if pipeline else {}), **({"id_field": keys[0]} if keys else {"__TODO_id_field__": sorted(rows)})})
     put(step / "mappings.json", {c: {"type": rows[c]["field_type"]} | ({"fields": {"clean": "name_clean"}} if rows[c]["field_type"] == "text" and rows[c]["usage"] == "fingerprint" else {}) for c in df.columns})
-    put(step / "entity-match.json", {"source_index": name, "entity": {"key": keys[0] if keys else "__TODO_key__"}, "population": {"mode": "all-entities"}, "candidates": {}, "__TODO_signals__": [c for c in df.columns if rows[c]["usage"] == "fingerprint"], "scoring": {}})
+    put(match / "index-config.json", {"alias": match.name, "index": match.name + "-{now/d}"})
+    sweep = {"source_index": name, "source_settings_step": name, "entity": {"key": keys[0] if keys else "__TODO_key__"}, "population": {"mode": "all-entities"}, "candidates": {}}
+    sweep |= {"__TODO_signals__": [c for c in df.columns if rows[c]["usage"] == "fingerprint"], "scoring": {}} | ({"__TODO_lifecycle__": dates} if dates else {})
+    for folder in (step, match):  # the first to be seen beside the data, the second to be run
+        put(folder / "entity-match.json", sweep)
     return step
