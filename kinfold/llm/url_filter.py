@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm._store import stored
+
 #: Words of the Bloom filter, 64 bits each: with its index 16 bytes a word, so 1 MB at most is ever broadcast.
 BLOOM_WORDS = 1 << 16
 
@@ -88,7 +90,8 @@ def filter_urls(pages: DataFrame, entries: DataFrame, default: str = "allow", ur
     rank = F.struct(F.length("entry"), F.col("entry"))
     best = lambda kind, c: F.max_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, rank))
     found = hits.groupBy(*place).agg(best("rule", "entry").alias("rule"), best("rule", "action").alias("_by_rule"), best("listed", "action").alias("_by_list"))
-    out = judged.join(found, place, "left")
+    # Written first: so both sides of the join are dealt out anew, and the pages of one place can be split over tasks.
+    out = judged.join(stored(found, "url-places"), place, "left")
     verdict = F.coalesce("_by_rule", "_by_list", F.lit(default))
     kept = [c for c in judged.columns if c not in ("path", *place)]
     return out.select(*kept, "host", "path", "rule", verdict.alias("verdict"))
