@@ -76,6 +76,14 @@ def corpus_context(df: DataFrame, config: dict, key: str) -> Context:
     return Context(config.get("ignore_values", {}), hot, config.get("lifecycle"), config.get("state_field"))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Columns computed up to here are computed once: no filter moves below a number that depends on the row's place.
+
+    The optimiser would else copy the scores' array functions into every guard that reads them.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).where("_at >= 0").drop("_at")
+
+
 def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = None, rank: str | None = None, max_block_df: int | None = None, count_fired: bool | None = None, observation: Observation | None = None) -> DataFrame:
     """Scored, explained pairs of ``entities`` (analyzed: with token columns).
 
@@ -122,9 +130,9 @@ def sweep(entities: DataFrame, config: dict, provenance: Provenance | None = Non
     record = prepared.select(F.col(f"`{key}`").alias("_id"), F.struct(*evidence, F.struct(*summary).alias("_summary")).alias("_rec"))
     pairs = found.join(record.withColumnsRenamed({"_id": "l", "_rec": "a"}), "l").join(record.withColumnsRenamed({"_id": "r", "_rec": "b"}), "r")
     pairs = pairs.withColumn("gap_days", gap_days("a", "b") if lifecycle else F.lit(None).cast("int"))
-    pairs = pairs.withColumns({f"_s{s.index}": s.score("a", "b") for s in signals})
+    pairs = _once(pairs.withColumns({f"_s{s.index}": s.score("a", "b") for s in signals}))
     scores = [F.col(f"_s{s.index}") for s in signals]
-    pairs = pairs.withColumns({"evidence": scoring.contributions(signals, scores), "total": scoring.total_score([s.weight for s in signals], scores)})
+    pairs = _once(pairs.withColumns({"evidence": scoring.contributions(signals, scores), "total": scoring.total_score([s.weight for s in signals], scores)}))
     if observation is not None:
         pairs = pairs.observe(observation, F.count("*").alias("scores"), F.count_if(F.col("total").isNull()).alias("scores_failed"))
     rules = dict(config["scoring"])
