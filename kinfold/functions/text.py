@@ -30,13 +30,19 @@ PO_BOX = r"(?i)\bp[.\s]*o[.\s]*(box|b\b)"
 STANDARD = r"(?:[\p{L}\p{M}\p{N}_]|(?<=\p{L})[.':’](?=\p{L})|(?<=\p{N})[.,;'](?=\p{N}))+"
 
 
+#: Letters that have no accent to strip but a plain form in the folding table (fixed values).
+PLAIN_LETTERS = (("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("ħ", "h"), ("ı", "i"), ("ŋ", "n"), ("ŧ", "t"))
+
+
 def fold(c: Column) -> Column:
-    """Case and diacritics folded, compatibility forms of Latin script resolved."""
-    plain = c
-    for old, new in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ß", "ss"), ("æ", "ae"), ("Æ", "ae"), ("œ", "oe"), ("Œ", "oe"), ("ø", "o"), ("Ø", "o"), ("ł", "l"), ("Ł", "l")):
+    """Compatibility forms composed (NFKC), case folded in full, diacritics off."""
+    call = lambda owner, method, *args: F.call_function("java_method", F.lit(owner), F.lit(method), *args)
+    composed = call("com.ibm.icu.text.Normalizer", "compose", F.coalesce(c, F.lit("")), F.lit(True))
+    folded = call("com.ibm.icu.lang.UCharacter", "foldCase", composed, F.lit(True))
+    plain = call("org.apache.commons.lang3.StringUtils", "stripAccents", folded)
+    for old, new in PLAIN_LETTERS:
         plain = F.replace(plain, F.lit(old), F.lit(new))
-    stripped = F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), plain)
-    return F.when(c.isNotNull(), F.lower(stripped))
+    return F.when(c.isNotNull(), plain)
 
 
 @dataclass(frozen=True)

@@ -133,3 +133,8 @@ def test_vocabulary_goes_through_in_batches(spark):
     words = spark.range(25).select(F.concat(F.lit("smith"), F.col("id").cast("string")).alias("t"))
     got = {r["t"]: r["c"] for r in phonetic.code_table(words, "metaphone", 10).collect()}
     assert len(got) == 25 and set(map(tuple, got.values())) == {("SM0",)}
+
+
+@pytest.mark.parametrize("value, folded", [("ﬁn ＡＢＣ １２ ℡", "fin abc 12 tel"), ("Straße ẞ", "strasse ss"), ("Ørsted Łódź Æon Œuvre Đình Þór", "orsted lodz aeon oeuvre dinh thor"), ("ΣΊΣΥΦΟΣ", "σισυφοσ"), ("naïve Ångström", "naive angstrom"), (None, None), ("", "")])
+def test_full_folding(spark, value, folded):
+    assert spark.createDataFrame([(value,)], "s string").select(text.fold(F.col("s"))).first()[0] == folded
