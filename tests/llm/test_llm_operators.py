@@ -545,6 +545,18 @@ def test_shards_equal_plain_differencing(spark):
     assert sum(load.values()) == sum(sizes) and max(load.values()) - min(load.values()) <= max(spread, 3)
 
 
+def test_shards_of_odd_rows(spark, tmp_path):
+    """No doc_id, one doc_id for many rows, one very long text, equal sizes, clashing names."""
+    rows = [(None, f"n{i}") for i in range(40)] + [(7, f"s{i:02d}") for i in range(40)] + [(1, "long " * 100_000), (2, None), (3, ""), (None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("old") for c in ("size", "shard", "slot", "group_key", "text_crc32", "level", "leaf", "node")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op7_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(sorted(x["slot"] for x in got if x["shard"] == s) == list(range(sum(x["shard"] == s for x in got))) for s in range(16))
+    long = next(x for x in got if x["doc_id"] == 1)
+    assert long["size"] == 500_001 and sum(x["shard"] == long["shard"] for x in got) == 1
+    assert len({x["shard"] for x in got if x["size"] == 1}) == 1 and {x["law"] for x in got} == {"bytes"}
+
+
 # 8
 
 QUESTION = "If Anna Smith drives 120 km in 2 hours then how far does Anna go in 5 hours, and what would Bob say about it?"
