@@ -93,7 +93,7 @@ def schedule(spark: SparkSession, plan: DataFrame, digits: int, width: float, po
     final = F.least(F.shiftright(F.col("_hi") - 1, CELL_BITS), F.shiftleft(F.col("_wide") + 1, wide - CELL_BITS) - 1)
     ranges = ranges.select("_i", "_lo", "_hi", F.explode(F.sequence(first, final)).alias("_cell"))
     slots = spark.range(1 << digits).select(F.col("id").alias("slot"), points(F.col("id"), digits).alias("_point")).withColumn("_cell", F.shiftright("_point", CELL_BITS))
-    owned = slots.join(ranges, "_cell").where("_point >= _lo and _point < _hi").select("slot", "_i")
+    owned = slots.join(ranges.hint("merge"), "_cell").where("_point >= _lo and _point < _hi").select("slot", "_i")
     # Ranks in the schedule's order: counts of (source, stretch of slots) first, so that no source is in one place.
     dealt = owned.withColumn("_stretch", F.shiftright("slot", -(-digits // 2)))
     counted = dealt.groupBy("_i", "_stretch").agg(F.count("*").alias("_n"))
