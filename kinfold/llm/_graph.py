@@ -10,16 +10,24 @@ from kinfold.llm._store import stored
 MOST_ROUNDS = 64
 
 
+def _least_by(edges: DataFrame, key: str, least) -> DataFrame:
+    """(key, m) by a grouping that doesn't fit the join which follows: so that both its sides are dealt out anew, and AQE can
+    split the edges of a hub over tasks. The second key is always 0.
+    """
+    other = "v" if key == "u" else "a"
+    return edges.groupBy(key, F.pmod(other, F.lit(1)).alias("_zero")).agg(least.alias("m")).drop("_zero")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = _least_by(both, "u", F.least(F.min("v"), F.col("u")))
     joined = both.where("v > u").join(least, "u")
     return joined.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     # an edge (a, b) has a < b: b's smaller neighbours are its a's
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = _least_by(edges, "b", F.min("a"))
     joined = edges.join(least, "b")
     down = joined.select(F.col("m").alias("a"), F.col("a").alias("c")).where("a <> c").select("a", F.col("c").alias("b"))
     return down.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
