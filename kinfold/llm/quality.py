@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._kernel import _stream, mix, slices, words
+from kinfold.llm._kernel import _stream, give_back, mix, slices, words
 from kinfold.llm._store import small_batches
 
 VOCAB, DIMS, NONZERO, WINDOW = 1 << 16, 64, 6, 2
@@ -31,6 +31,7 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-4
 TRAIN_ROWS = 8000
 THRESHOLD = 0.7
 POOL_WORDS = 1 << 16
+TASK_BYTES = 128 << 20
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +70,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The context vectors of all words over all documents, unit length about their mean: VOCAB x DIMS on the driver."""
     schema = "word long, " + ", ".join(f"d{j} int" for j in range(DIMS))
-    sums = docs.select("text").mapInArrow(_contexts, schema).groupBy("word").agg(*[F.sum(f"d{j}").alias(f"d{j}") for j in range(DIMS)])
-    return unit(_table(sums.select("word", F.array(*[F.col(f"d{j}").cast("double") for j in range(DIMS)]).alias("v")).toArrow()))
+    sums = _wide(docs.select("text")).mapInArrow(_contexts, schema).groupBy("word").agg(*[F.sum(f"d{j}").alias(f"d{j}") for j in range(DIMS)])
+    return unit(_table(sums.select("word", F.array(*[F.col(f"d{j}").cast("float") for j in range(DIMS)]).alias("v")).toArrow()))
+
+
+def _wide(docs: DataFrame) -> DataFrame:
+    """The same rows in fewer, larger tasks (but two a core at least): each task sends a table of its own, whatever it has read."""
+    guess = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(-(-guess // TASK_BYTES), 1 << 24)))  # a size that Spark does not know is huge
 
 
 def _table(rows: pa.Table) -> np.ndarray:
@@ -195,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of 12 bytes
     rows = sample.mapInArrow(_features_of(vectors), "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # train_rows at most
+    give_back()  # the driver's own memory too
     if not rows:
         return vectors, None
     return vectors, fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["quality"] for r in rows]))
