@@ -36,7 +36,8 @@ _tables: list[tuple[str, object, object]] = []
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The table goes once no plan reads it any more, at the latest when the application ends.
+    The table goes once no plan reads it any more, at the latest when the application ends. So whoever turns a result into an
+    RDD keeps its DataFrame as long.
     """
     spark = df.sparkSession
     sweep(spark)
@@ -74,6 +75,9 @@ def free(spark: SparkSession) -> None:
     """Let go of tables and shuffle files whose DataFrames are gone: Spark frees these when the driver collects garbage."""
     import gc
 
+    from kinfold.llm._kernel import give_back
+
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
     sweep(spark)

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -834,8 +835,11 @@ def test_stored_tables_go_with_their_plans(spark):
         _store.free(spark)
     assert os.path.isdir(path) and derived.count() == 7
     del derived
-    for _ in range(5):  # Spark itself remembers its last query
+    for _ in range(40):  # Spark itself remembers its last query, and its listeners are told of queries a little later
         spark.range(5).join(F.broadcast(spark.range(5)), "id").count()
         gc.collect()
         _store.free(spark)
+        if path not in there():
+            break
+        time.sleep(0.25)
     assert not os.path.isdir(path) and path not in there()
