@@ -35,8 +35,9 @@ MARKS = NAME + NUMBER + UNIT + END
 # A look back that comes after the first letter is tried at letters of its kind only.
 _NAME, _WHOLE = r"\p{Lu}\p{Ll}{1,60}+", r"(?![\p{L}\p{N}])"
 _FIRST = r"\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}{1,60}+" + _WHOLE
-_NAMES, _JOINED = (f"{_FIRST}(?:{gap}{_NAME}{_WHOLE})*" for gap in " _")
-_NUMBERS = r"\p{N}(?<![\p{L}\p{N}" + NAME + r"].)\p{N}*+(?:[.,]\p{N}++)*"
+# Possessive, as a greedy group takes a stack frame for each round: a run of a thousand names ended the executor.
+_NAMES, _JOINED = (f"{_FIRST}(?:{gap}{_NAME}{_WHOLE})*+" for gap in " _")
+_NUMBERS = r"\p{N}(?<![\p{L}\p{N}" + NAME + r"].)\p{N}*+(?:[.,]\p{N}++)*+"
 _UNITS = (
     "km/h", "kg", "mg", "lbs?", "km", "cm", "mm", "ml", "miles?", "met(?:er|re)s?", "feet", "foot", "inch(?:es)?", "yards?", "lit(?:er|re)s?", "gallons?", "grams?",
     "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?", "years?", "dollars?", "euros?", "cents?", "percent", "degrees?", "[gmhsl]", "%", "€",

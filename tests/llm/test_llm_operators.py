@@ -685,6 +685,13 @@ def test_decontamination_equals_loops(spark):
     assert got == {(d, i) for d, t in found.items() for i, s in items.items() if plain_holds(t, s, templates)} and 20 < len(got) < 150
 
 
+@pytest.mark.parametrize("run", ["Anna Bob Carol ", "Aa_Bb_", "1.2,3."])
+def test_long_runs_of_names_and_figures_take_no_stack(spark, run):
+    """A stack overflow in a pattern ends the executor, and the job with it."""
+    df = spark.createDataFrame([(run * 20_000,)], "text string")
+    assert df.select(F.size(decontaminate.template(F.col("text"))), F.size(decontaminate.template(F.col("text"), True))).first() == (1, 1)
+
+
 def test_decontamination_of_repeated_and_long_rows(spark):
     long = "filler words here " * 40_000
     rows = [(1, ITEM), (1, ITEM), (1, "no copy at all"), (2, long + ITEM + " " + long), (3, long), (4, ITEM[: len(ITEM) // 3]), (4, ITEM[2 * len(ITEM) // 3 :])]
