@@ -5,8 +5,9 @@ columns of ``documents``: the classifier drops what it rejects, the join keeps o
 with the least doc_id), decontamination drops documents that hold a benchmark item, mixing repeats or leaves out
 documents so that sources come near their targets, and sharding adds each row's shard and slot.
 
-Stages decide per row: the join, decontamination and mixing give every row a key of its own first, so rows that share a
-doc_id or have none are judged one by one.
+Stages decide per row: the join, decontamination, mixing and sharding give every row a key of its own first, so rows that share
+a doc_id or have none are judged one by one. The key is the row's place in its Parquet files; only of what is not read from such
+files a copy is written. Stages work on keys and what they need of the rows, and whole rows are joined once, at the end.
 
 Defined cases, for every stage: a null or repeated doc_id is no reason to lose or keep a row; repeated rows are copies of each
 other (one stays in the join) and rows like any other elsewhere; null and empty texts get the classifier's score of an empty
@@ -18,6 +19,7 @@ has a column of that name (only ``shard`` and ``slot`` of the last stage replace
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,26 @@ from kinfold.llm._store import free, stored
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a key of their own, ``_nr``, written so that it stays the same."""
+    """The rows with a key of their own, ``_nr``, that stays the same: (file, by name; row of the file)."""
     free(docs.sparkSession)  # what the stage before has left
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":  # files as they are: no row left out or repeated
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            files = sorted(r[0] for r in placed.select("_file").distinct().collect())  # a row per file
+            names = docs.sparkSession.range(1).select(F.posexplode(F.lit(files).cast("array<string>")).alias("_at", "_file"))
+            key = F.shiftleft(F.col("_at").cast("long"), 40) + F.col("_row")
+            return placed.join(F.broadcast(names), "_file").select(*docs.columns, key.alias("_nr"))
+        except AnalysisException:  # not Parquet
+            pass
     return stored(docs.withColumn("_nr", F.monotonically_increasing_id()), name)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in ``gone``, sent to all tasks where it has few rows."""
+    few = gone.count() <= ngram_join.BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, "_nr", "left_anti").drop("_nr")
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents whose score is under the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -46,7 +63,7 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ranked = stored(ranked.withColumn("_rank", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_nr"))), "pipeline-ranks")
     first = ranked.groupBy("component_id").agg(F.min("_rank").alias("_first"))
     gone = stored(ranked.join(first, "component_id").where(F.col("_nr") != F.col("_first._nr")).select("_nr"), "pipeline-copies")
-    return docs.join(gone, "_nr", "left_anti").drop("_nr")
+    return _without(docs, gone)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +71,7 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     docs = _numbered(docs, "pipeline-leak-rows")
     held = decontaminate.contaminated(docs.select(F.col("_nr").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stored(held.select(F.col("doc_id").alias("_nr")).distinct(), "pipeline-leaks")
-    return docs.join(gone, "_nr", "left_anti").drop("_nr")
+    return _without(docs, gone)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +85,11 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: the documents with their shard and slot."""
-    free(spark)
-    rows = sharding.with_groups(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")).drop("text")
-    placed = sharding.shard(rows).select("_doc", F.struct("shard", "slot").alias("_at"))
-    kept = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
-    return placed.select(*kept, "_at.shard", "_at.slot")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    docs = _numbered(docs, "pipeline-shard-rows")
+    rows = stored(sharding.with_groups(docs.select("_nr", "doc_id", "text")).drop("text"), "pipeline-shard-keys")
+    placed = stored(sharding.shard(rows).select("_nr", "shard", "slot"), "pipeline-shards")
+    return docs.select(*kept, "_nr").join(placed, "_nr").drop("_nr")
 
 
 STAGES = [

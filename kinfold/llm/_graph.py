@@ -1,13 +1,21 @@
-"""Connected components of a link table, by alternating large-star and small-star steps on DataFrames."""
+"""Connected components of a link table, by alternating large-star and small-star steps on DataFrames.
+
+A table of ``ONE_TASK`` links at most is settled by one task instead, as each step is a query that the driver has to plan.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._store import stored
 
 MOST_ROUNDS = 64
+ONE_TASK = 200_000
 
 
 def _least_by(edges: DataFrame, key: str, least) -> DataFrame:
@@ -33,6 +41,25 @@ def _small(edges: DataFrame) -> DataFrame:
     return down.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all links of the task: every root goes to the least root that it has a link to, until none moves."""
+    links = [np.stack([x.column("a").to_numpy(), x.column("b").to_numpy()]) for x in batches if x.num_rows]
+    if not links:
+        return
+    nodes, at = np.unique(np.concatenate(links, 1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(before[a], before[b])
+        np.minimum.at(label, before[a], least)
+        np.minimum.at(label, before[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], names=["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of its component, for every node of ``edges`` (a, b) other than the least itself."""
     now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -41,6 +68,8 @@ def components(edges: DataFrame) -> DataFrame:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == mark or not found[0]:
             break
+        if mark is None and found[0] <= ONE_TASK:
+            return stored(now.coalesce(1).mapInArrow(_settled, "node long, label long"), "labels")
         mark = tuple(found)
         now = stored(_small(_large(now)), "edges")
     else:

@@ -91,10 +91,12 @@ def _table(rows: pa.Table) -> np.ndarray:
 def unit(table: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(table, axis=1, keepdims=True)
     table = table / np.maximum(length, 1e-9)
-    used = length[:, 0] > 0
-    if used.any():
-        table[used] -= table[used].mean(0)
-        table[used] /= np.maximum(np.linalg.norm(table[used], axis=1, keepdims=True), 1e-9)
+    used = np.flatnonzero(length[:, 0])
+    if len(used):
+        mean = table[used].mean(0)
+        for a in range(0, len(used), 4096):  # by pieces: the driver has little memory
+            some = table[used[a : a + 4096]] - mean
+            table[used[a : a + 4096]] = some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-9)
     return table.astype(np.float32)
 
 

@@ -70,6 +70,21 @@ def test_components(spark):
     assert got == {2: 1, 3: 1, 5: 1, 11: 10, 21: 20, 22: 20, 23: 20} | {101 + i: 100 for i in range(30)}
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components_in_one_task_and_by_steps(spark, monkeypatch, most):
+    from kinfold.llm import _graph
+
+    monkeypatch.setattr(_graph, "ONE_TASK", most)
+    r = random.Random(3)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    plan = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["label"] for r in plan.collect()} == {x: y for x, y in root.items() if x != y}
+
+
 # 1
 
 
@@ -808,6 +823,24 @@ def test_stages_handle_odd_rows_and_names(spark, sf_dir):
     assert all(joined[t] <= 1 for t in texts) and joined[None] == joined[""] == 1
 
 
+def test_stages_write_no_copy_of_rows_read_from_files(spark, sf_dir, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    names, stored = [], p.stored
+    monkeypatch.setattr(p, "stored", lambda df, name: names.append((name, "text" in df.columns)) or stored(df, name))
+    df = _pipeline_rows(spark, sf_dir).repartition(3, "text")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    nr = [r[0] for r in p._numbered(read, "x").select("_nr").collect()]
+    assert len(set(nr)) == len(nr) == df.count() and max(nr) >> 40 == 2 and not names
+    for name, stage in p.STAGES[1:]:
+        got = Counter(map(tuple, stage(spark, read, sf_dir).select(df.columns[:4]).collect()))
+        assert not any(whole for _, whole in names), name
+        if name != "mixing sources":  # whose order has the rows' keys in it
+            assert got == Counter(map(tuple, stage(spark, df, sf_dir).select(df.columns[:4]).collect())), name
+        names.clear()
+
+
 def test_no_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
     from kinfold.llm import _store
 
