@@ -11,7 +11,7 @@ A segment that is empty in both sets is a hit without a signature. A pair can be
 empty weight of both sets reaches the least sum of their hits, so exactly the sets where it does are cut again by another
 hash, up to ``LEVELS`` times; what is still left after the last cut gets signatures of its empty subsets too.
 
-Segments travel as packed blocks of (signature, set), dealt by signature; equal sets are folded per task before. Buckets
+Segments travel as packed blocks of (48 bits of the signature, set), dealt by signature; equal sets are folded per task before. Buckets
 with two sets or more become groups. Pairs are then verified exactly, in three rounds:
  0. every set with the set it shares most groups with;
  1. every set with the first of each of its groups, where these aren't connected yet;
@@ -47,7 +47,7 @@ K_WORDS, NUM, DEN = 5, 75, 100
 BAND_HI = 6 * 2 ** np.arange(40, dtype=np.int64)
 HOT = 48
 LEVELS = 8
-PART_SIGNATURES = 400_000
+PART_SIGNATURES = 1_600_000
 #: A block of a group or cluster has about so many sets, and so many shingles, at most.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 BROADCAST_ROWS = 200_000
@@ -162,6 +162,16 @@ def _described(k: int, keep: list[str]):
     return run
 
 
+def packed(sig: np.ndarray) -> bytes:
+    """The lower 48 bits of signatures; the upper ones have chosen the part. What falls together is compared like any group."""
+    return sig.astype(np.uint32).tobytes() + (sig >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def unpacked(sigs: bytes) -> np.ndarray:
+    n = len(sigs) // 6
+    return np.frombuffer(sigs, np.uint32, n).astype(np.uint64) | (np.frombuffer(sigs, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
 def _blocks(k: int, num: int, den: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -192,7 +202,7 @@ def _blocks(k: int, num: int, den: int, parts: int):
             sigs, whos, names = [], [], []
             for a, z in zip(start, np.append(start[1:], len(part)), strict=True):
                 used, index = np.unique(who[a:z], return_inverse=True)
-                sigs.append(sig[a:z].tobytes())
+                sigs.append(packed(sig[a:z]))
                 whos.append(index.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes())
                 names.append(name[used].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int64)), pa.array(sigs, pa.binary()), pa.array(whos, pa.binary()), pa.array(names, pa.binary())], names=["part", "sigs", "owners", "sets"])
@@ -204,7 +214,7 @@ def _groups(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         sig, sets = [], []
         for s, o, names in zip(*(table.column(c).to_pylist() for c in ("sigs", "owners", "sets")), strict=True):
-            s, names = np.frombuffer(s, np.uint64), np.frombuffer(names, np.uint64)
+            s, names = unpacked(s), np.frombuffer(names, np.uint64)
             sig.append(s)
             sets.append(names[np.frombuffer(o, np.uint16 if len(o) == 2 * len(s) else np.uint32)])
         sig, sets = np.concatenate(sig), np.concatenate(sets)
@@ -242,10 +252,13 @@ GROUPS = "band int, gid long, weight long, members array<long>"
 
 
 def histogram(value: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Per set, how many hashes fall into each of 2^j bins, one byte each (255: that or more), a bin holding one to two on average."""
+    """Per set, how many hashes fall into each of 2^j bins, one byte each (255: that or more).
+
+    A bin holds one to two on average, and two to four in sets of 128 and more, which have bins enough to tell unlike sets apart.
+    """
     ends, out = np.cumsum(n), []
     for z, c in zip(ends.tolist(), n.tolist(), strict=True):
-        bins = 1 << max(0, c.bit_length() - 1)
+        bins = 1 << max(0, c.bit_length() - 1 - (c >= 128))
         count = np.bincount((value[z - c : z] & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
         out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
     return out
@@ -536,6 +549,7 @@ def set_components(docs: DataFrame, k: int = K_WORDS, num: int = NUM, den: int =
     apart = stored(apart.join(best, ["a", "b"], "left_anti"), "ngram-apart")
     links = stored(links.unionByName(check.links(apart)), "ngram-links")
     labels = components(links)
+    del stars, wanted, best, apart
     free(spark)
 
     # Round 2: groups of more than two sets that still hold several components.
@@ -561,6 +575,8 @@ def set_components(docs: DataFrame, k: int = K_WORDS, num: int = NUM, den: int =
     edges = stored(rest.mapInArrow(_possible_edges(num, den), "a long, b long").distinct(), "ngram-possible")
     if edges.isEmpty():
         return rows, labels
+    del groups, own, wide, members, spread, hot, bound_to, open_, pieces, rest
+    free(spark)
     joined = components(edges)
     listed = joined.select(F.col("label").alias("gid"), F.col("node").alias("set")).unionByName(joined.select(F.col("label").alias("gid"), F.col("label").alias("set")).distinct())
     listed = stored(labelled(listed, "set", "label").join(sizes, "set"), "ngram-clusters")

@@ -86,6 +86,11 @@ def test_linked_pairs_share_a_signature(monkeypatch, levels):
     assert {names[i] for i in range(len(names)) if i not in found} == set()
 
 
+def test_packed_signatures_keep_48_bits():
+    sig = np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64)
+    assert len(g.packed(sig)) == 6 * len(sig) and (g.unpacked(g.packed(sig)) == sig & np.uint64(2**48 - 1)).all()
+
+
 def test_allocation_covers_the_bound():
     m, d = g.allocation(75, 100)
     for hi, a, b in zip(g.BAND_HI[:20], m, d, strict=False):
