@@ -41,11 +41,11 @@ def _small(edges: DataFrame) -> DataFrame:
     return down.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, label) of all links of the task: every root goes to the least root that it has a link to, until none moves."""
-    links = [np.stack([x.column("a").to_numpy(), x.column("b").to_numpy()]) for x in batches if x.num_rows]
-    if not links:
-        return
+def forest(links: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (2 x n arrays): each node other than the least of its component, and that least node.
+
+    Every root goes to the least root that it has a link to, until none moves.
+    """
     nodes, at = np.unique(np.concatenate(links, 1), return_inverse=True)
     a, b = at.reshape(2, -1)
     label, before = np.arange(len(nodes)), None
@@ -57,7 +57,14 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while (label[label] != label).any():
             label = label[label]
     other = label != np.arange(len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], names=["node", "label"])
+    return nodes[other], nodes[label[other]]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all links of the task."""
+    links = [np.stack([x.column("a").to_numpy(), x.column("b").to_numpy()]) for x in batches if x.num_rows]
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(links)], names=["node", "label"])
 
 
 def components(edges: DataFrame) -> DataFrame:

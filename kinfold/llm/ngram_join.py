@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._graph import components
+from kinfold.llm._graph import components, forest
 from kinfold.llm._kernel import distinct_sets, mix, shingles, slices, words
 from kinfold.llm._store import free, small_batches, stored
 
@@ -51,6 +51,8 @@ PART_SIGNATURES = 1_600_000
 #: A block of a group or cluster has about so many sets, and so many shingles, at most.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 BROADCAST_ROWS = 200_000
+#: A task's possible links are cut down to a forest whenever it has so many more.
+FOREST_LINKS = 1 << 16
 
 _S = np.uint64(0xA5A5_5A5A_1234_5678)
 
@@ -443,11 +445,14 @@ def _roots(n: int, pairs: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 
 def _possible_edges(num: int, den: int):
-    """What histograms allow to be connected in a group: an edge from each such set to the first of its component."""
+    """What histograms allow to be connected in groups: an edge from each such set of the task to the first of its component.
+
+    Sets that meet in many groups, or in many blocks of one, are connected once a task, not once in each of these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, held, after = [], 0, FOREST_LINKS
         for batch in batches:
-            left, right = [], []
             for sets, label, size, side, table in zip(*(batch.column(c) for c in ("sets", "labels", "sizes", "sides", "histograms")), strict=True):
                 sets, label, size, side = (np.asarray(x.values) for x in (sets, label, size, side))
                 order = np.argsort(size, kind="stable")
@@ -455,11 +460,14 @@ def _possible_edges(num: int, den: int):
                 sets, label, size, side = sets[order], label[order], size[order], side[order]
                 root = _roots(len(sets), [(i, j) for i, j in _near_in_group(size, label, side, table, num, den) if len(j)])
                 other = root != np.arange(len(sets))
-                left.append(sets[root[other]])
-                right.append(sets[other])
-            edges = np.stack([np.concatenate(left), np.concatenate(right)], 1) if left else np.zeros((0, 2), np.int64)
-            edges = np.unique(edges, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+                links.append(np.stack([sets[root[other]], sets[other]]))
+                held += links[-1].shape[1]
+                if held > after:
+                    node, least = forest(links)
+                    links, held, after = [np.stack([least, node])], len(node), 2 * len(node) + FOREST_LINKS
+        if held:
+            node, least = forest(links)
+            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(node)], names=["a", "b"])
 
     return run
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import components, shingle_set
@@ -163,3 +164,28 @@ def test_allocation_is_the_cheapest_in_every_band():
         need = apart + 1 + (-(-15 * apart // 100) if hi > 12 else 0)
         choices = [(x + (need - x) * hi / x, x) for x in range(max(1, (need + 1) // 2), max(2, min(need, max(1, hi // 3)) + 1)) if need - x <= x]
         assert (a + b * hi / a) <= min(choices)[0] + 1e-9 and a + b == need
+
+
+@pytest.mark.parametrize("most", [1, 1 << 16])
+def test_possible_links_of_a_task_are_a_forest(monkeypatch, most):
+    """Sets that meet in many groups and blocks are connected once, however many of these one task has."""
+    monkeypatch.setattr(g, "FOREST_LINKS", most)
+    r, batches, met = random.Random(5), [], []
+    for _ in range(6):
+        rows = []
+        for _ in range(5):
+            sets = sorted(r.sample(range(60), 20))
+            kinds = [s % 3 for s in sets]
+            rows.append({"sets": sets, "labels": sets, "sizes": [8] * 20, "sides": [0] * 20, "histograms": [bytes([8 * (k == 0), 8 * (k == 1), 8 * (k == 2), 0]) for k in kinds]})
+            met += [(s, t) for s in sets for t in sets if s < t and s % 3 == t % 3]
+        batches.append(pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.list_(pa.int64())) for c in ("sets", "labels", "sizes", "sides")] + [("histograms", pa.list_(pa.binary()))])))
+    links = [(x["a"], x["b"]) for b in g._possible_edges(75, 100)(iter(batches)) for x in b.to_pylist()]
+
+    def parts(pairs):
+        root = {s: s for p in pairs for s in p}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert parts(links) == parts(met) and len(links) == len(parts(met)) - len(set(parts(met).values()))
