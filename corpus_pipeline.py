@@ -33,10 +33,10 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":  # files as they are: no row left out or repeated
         try:
             placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-            files = sorted(r[0] for r in placed.select("_file").distinct().collect())  # a row per file
-            names = docs.sparkSession.range(1).select(F.posexplode(F.lit(files).cast("array<string>")).alias("_at", "_file"))
-            key = F.shiftleft(F.col("_at").cast("long"), 40) + F.col("_row")
-            return placed.join(F.broadcast(names), "_file").select(*docs.columns, key.alias("_nr"))
+            files = [r[1] for r in sorted(placed.select("_file", F.xxhash64("_file")).distinct().collect())]  # a row per file
+            if len(set(files)) == len(files):
+                at = F.array_position(F.lit(files).cast("array<long>"), F.xxhash64("_file"))  # 8 bytes a file in the plan, no join
+                return placed.select(*docs.columns, (F.shiftleft(at, 40) + F.col("_row")).alias("_nr"))
         except AnalysisException:  # not Parquet
             pass
     return stored(docs.withColumn("_nr", F.monotonically_increasing_id()), name)

@@ -44,6 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     sweep(spark)
     path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim(spark)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
@@ -72,6 +73,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim(spark: SparkSession) -> bool:
+    """Return to the system what the driver's JVM has freed outside its heap: planning a query leaves some in each thread's pool.
+
+    By reflection, as the server's own class is not open to callers.
+    """
+    jvm = spark.sparkContext._jvm
+
+    def array(kind, items: list):
+        out = spark.sparkContext._gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    try:
+        of = jvm.java.lang.Class.forName
+        kinds = [of(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = of("javax.management.MBeanServerConnection").getMethod("invoke", array(jvm.java.lang.Class, kinds))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, [command, "systemTrimNativeHeap", None, None]))
+    except Py4JError:  # not this JVM
+        return False
+    return True
+
+
 def free(spark: SparkSession) -> None:
     """Let go of tables and shuffle files whose DataFrames are gone: Spark frees these when the driver collects garbage."""
     import gc
@@ -80,11 +105,6 @@ def free(spark: SparkSession) -> None:
 
     gc.collect()
     give_back()
-    jvm = spark.sparkContext._jvm
-    jvm.System.gc()
-    try:  # and what the driver's JVM has freed outside its heap
-        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(command, "systemTrimNativeHeap", None, None)
-    except Py4JError:  # not this JVM
-        pass
+    spark.sparkContext._jvm.System.gc()
+    trim(spark)
     sweep(spark)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm._kernel import _stream, give_back, mix, slices, words
-from kinfold.llm._store import small_batches
+from kinfold.llm._store import free, small_batches, trim
 
 VOCAB, DIMS, NONZERO, WINDOW = 1 << 16, 64, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-4
@@ -198,13 +198,16 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network | None]:
     """Word vectors from all documents, and the network from at most ``train_rows`` labelled rows that aren't held out."""
     small_batches(docs.sparkSession)
+    free(docs.sparkSession)  # what was planned before
     vectors = word_vectors(docs)
+    trim(docs.sparkSession)
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows of 12 bytes
     rows = sample.mapInArrow(_features_of(vectors), "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # train_rows at most
     give_back()  # the driver's own memory too
+    trim(docs.sparkSession)
     if not rows:
         return vectors, None
     return vectors, fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["quality"] for r in rows]))

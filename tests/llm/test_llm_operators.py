@@ -883,3 +883,22 @@ def test_stored_tables_go_with_their_plans(spark):
             break
         time.sleep(0.25)
     assert not os.path.isdir(path) and path not in there()
+
+
+def test_pipeline_row_keys_need_no_join(spark, tmp_path):
+    """A row's key comes from its file and its place there by an expression, however often the rows are read."""
+    import corpus_pipeline as p
+
+    spark.range(100).selectExpr("id as doc_id", "'x' as text").repartition(5).write.parquet(str(tmp_path / "rows"))
+    numbered = p._numbered(spark.read.parquet(str(tmp_path / "rows")), "test-rows")
+    assert "Join" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    files = {f: i for i, f in enumerate(sorted(r[0] for r in numbered.select("_metadata.file_path").distinct().collect()))}
+    rows = numbered.select("_nr", "_metadata.file_path", "_metadata.row_index").collect()
+    assert len({r[0] for r in rows}) == 100 and len(files) == 5
+    assert [r[0] for r in sorted(rows, key=lambda r: (files[r[1]], r[2]))] == sorted(r[0] for r in rows)
+
+
+def test_driver_gives_memory_back(spark):
+    from kinfold.llm._store import trim
+
+    assert trim(spark)
